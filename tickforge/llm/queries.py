@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickforge.llm import minhash_dedup, toxicity
+from tickforge.llm import line_dedup, minhash_dedup, packing, pii, quality_rules, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": quality_rules.op3,
+    "op4_pii": pii.op4,
+    "op6_packing": packing.op6,
     "op7_minhash_dedup": minhash_dedup.op7,
+    "op8_line_dedup": line_dedup.op8,
+    "op9_token_counts": tokens.op9,
     "op10_toxicity": toxicity.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.OP8_SQL}
