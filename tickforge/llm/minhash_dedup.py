@@ -20,18 +20,21 @@ table gives an empty result; further columns are ignored. Ties have no effect.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import connected_components, forest, hash_words, mixed, ngram_hashes, read, slices, utf8, written
+from tickforge.llm.common import connected_components, hash_words, mixed, ngram_hashes, read, slices, utf8, written
 
 SHINGLE = 5
 SIMILAR = (75, 100)
+#: Flipped, so that the order of hashes is also that of the signed values in sketches.
+SIGN = np.uint64(1 << 63)
 
 
 def shingle_set(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -62,22 +65,18 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             h1 = np.array([int(np.bitwise_xor.reduce(mixed(s))) if len(s) else 0 for s in sets], np.uint64)
             h2 = np.array([int(np.add.reduce(mixed(s ^ np.uint64(0x9E3779B97F4A7C15)))) if len(s) else 0 for s in sets], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([s[:k].view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([(s[:k] ^ SIGN).view(np.int64) for s in sets], pa.list_(pa.int64()))],
                 ["doc_id", "n", "h1", "h2", "sketch"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch array<long>")
 
 
-def estimated(k: int):
-    """Column of the union-sketch estimate from sketches sa and sb: of the k least values of the union, the share in both.
-
-    The values are signed views of unsigned hashes, so they are ordered by their bits with the sign flipped.
-    """
-    order = "array_sort(transform(array_union(sa, sb), x -> x ^ (-9223372036854775807L - 1)))"
-    return F.expr(f"""
-        size(filter(array_intersect(sa, sb), y -> (y ^ (-9223372036854775807L - 1)) <=
-          element_at(slice({order}, 1, {k}), -1))) / least({k}, size(array_union(sa, sb)))""")
+def estimated(k: int) -> Column:
+    """The union-sketch estimate from sketches sa and sb: of the k least values of the union, the share in both."""
+    union = F.array_union("sa", "sb")
+    both = F.array_intersect(F.slice(F.sort_array(union), 1, k), F.array_intersect("sa", "sb"))
+    return F.size(both) / F.least(F.lit(k), F.size(union))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -112,39 +111,45 @@ def with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def block_pairs(rows: DataFrame, k: int, least: float) -> DataFrame:
-    """Pairs of rows (value, i, j, side, doc_id, n, component, sketch) of one block with different components and an estimate of `least`."""
+    """Pairs of rows (value, band, i, j, side, home, doc_id, n, component, sketch) of one block with different
+    components, at least one of them at home in the band, that share enough sketch values for an estimate of `least` and have sets of like sizes."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         ids, sizes, comps, sides = (block[c].to_numpy() for c in ("doc_id", "n", "component", "side"))
-        values = [np.asarray(s, np.int64).view(np.uint64) for s in block["sketch"]]
-        same = block["i"].iat[0] == block["j"].iat[0]
+        lengths = np.array([len(s) for s in block["sketch"]])
+        values, spot = np.unique(np.concatenate(block["sketch"].to_list()), return_inverse=True)
+        held = np.bincount(spot) > 1
+        column = np.cumsum(held) - 1
+        shared = held[spot]
+        table = np.zeros((len(ids), int(held.sum())), np.float32)
+        table[np.repeat(np.arange(len(ids)), lengths)[shared], column[spot[shared]]] = 1
+        homes = (block["home"] == block["band"]).to_numpy()
+        across = not (block["i"].iat[0] == block["j"].iat[0])
         out = []
-        order = np.argsort(sizes, kind="stable")
-        spots = {int(x): n for n, x in enumerate(np.unique(np.concatenate(values)))}
-        table = np.zeros((len(ids), len(spots)), np.float32) if len(spots) * len(ids) < 40_000_000 else None
-        if table is not None:
-            for r, v in enumerate(values):
-                table[r, [spots[int(x)] for x in v]] = 1
-        for r in order:
-            near = np.flatnonzero((comps != comps[r]) & (sizes >= sizes[r]) & (100 * sizes[r] >= 75 * sizes) & ((ids > ids[r]) | (sizes > sizes[r])) & (True if same else sides != sides[r]))
-            if table is not None and len(near):
-                near = near[table[near] @ table[r] >= 0.2 * min(k, len(values[r]))]
-            for q in near:
-                union = np.union1d(values[r], values[q])[:k]
-                both = np.intersect1d(values[r], values[q], assume_unique=True)
-                if np.count_nonzero(both <= union[-1]) >= least * len(union):
-                    out.append((min(ids[r], ids[q]), max(ids[r], ids[q])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return rows.groupBy("value", "i", "j").applyInPandas(run, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, k: int = 64, indexed: int = 16, long_list: int = 64, common: float = 0.4, slack: float = 0.3, block: int = 1024) -> DataFrame:
+        for at in range(0, len(ids), 256):
+            own = slice(at, at + 256)
+            both = table[own] @ table.T
+            enough = both >= least * np.minimum(k, lengths[own, None] + lengths[None, :] - both)
+            enough &= (ids[own, None] < ids[None, :]) & (comps[own, None] != comps[None, :])
+            enough &= (100 * sizes[own, None] >= SIMILAR[0] * sizes[None, :]) & (100 * sizes[None, :] >= SIMILAR[0] * sizes[own, None])
+            enough &= homes[own, None] | homes[None, :]
+            if across:
+                enough &= sides[own, None] != sides[None, :]
+            left, right = np.nonzero(enough)
+            out.append(np.stack([ids[left + at], ids[right]]))
+        a, b = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": a.astype("int64"), "b": b.astype("int64")})
+
+    return rows.groupBy("value", "band", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, k: int = 64, indexed: int = 16, long_list: int = 64, common: float = 0.4, long_keys: int = 8, slack: float = 0.3, block: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents (doc_id, text).
 
     k: values retained in a sketch; indexed: of them, those with inverted lists; long_list: a list
     with more documents is long; common: share of long lists from which a document is also
-    compared within long ones; slack: how far under the threshold (by the estimate) exact checks go
+    compared within long ones; long_keys: of the long lists of such a document, those in which it is
+    compared (the least by one order of all values); slack: how far under the threshold (by the estimate) exact checks go
     (five standard deviations at k = 64); block: documents of a long list compared at a time.
     """
     spark = docs.sparkSession
@@ -185,14 +190,17 @@ def near_duplicates(docs: DataFrame, k: int = 64, indexed: int = 16, long_list:
         .select(F.col("l_doc_id").alias("a"), F.col("r_doc_id").alias("b"))
         .distinct()
     )
-    pairs = with_sketches(pairs, reps).where(estimated(k) >= least).select("a", "b")
     heavy = posted.where(F.col("docs") > long_list).join(share, "doc_id", "left_semi")
-    blocks = heavy.groupBy("value").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    heavy = heavy.join(blocks.select("value", F.ceil(F.col("held") / block).cast("int").alias("blocks")), "value").join(reps.select("doc_id", "sketch"), "doc_id")
+    heavy = heavy.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("value"), "value"))).where(F.col("place") <= long_keys)
+    # Similar sets' sizes lie in one band of ratio 4/3 or in neighbours: each document also visits the next band.
+    heavy = heavy.withColumn("home", F.floor(F.log("n") / math.log(SIMILAR[1] / SIMILAR[0])).cast("int"))
+    heavy = heavy.withColumn("band", F.explode(F.array("home", F.col("home") + 1)))
+    blocks = heavy.groupBy("value", "band").agg(F.count(F.lit(1)).alias("held"), F.max("home").alias("top"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and top = band")
+    heavy = heavy.join(blocks.select("value", "band", F.ceil(F.col("held") / block).cast("int").alias("blocks")), ["value", "band"]).join(reps.select("doc_id", "sketch"), "doc_id")
     heavy = heavy.withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    heavy = heavy.select("value", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "n", "component", "sketch")
+    heavy = heavy.select("value", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "home", "doc_id", "n", "component", "sketch")
     pairs = pairs.union(block_pairs(heavy, k, least)).distinct()
-    second = confirmed(pairs, docs)
+    second = confirmed(with_sketches(pairs, reps).where(estimated(k) >= least).select("a", "b"), docs)
 
     links = first.union(second).union(same)
     parts, _ = written(connected_components(links))
