@@ -1,17 +1,71 @@
-"""A training-corpus pipeline of five operators over the documents table."""
+"""A training-corpus pipeline of five operators over the documents table.
+
+Each stage takes what its predecessor kept and returns the columns of documents; the last returns the packed
+pieces. Toxic documents go, boilerplate lines of a source go, one document of each group of near-duplicates stays,
+personal data is written as its kind in angle brackets, and what is left is packed.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickforge.llm.common import read, written
+from tickforge.llm.line_dedup import without_boilerplate
+from tickforge.llm.minhash_dedup import near_duplicates
+from tickforge.llm.packing import packed
+from tickforge.llm.pii import redact
+from tickforge.llm.tokens import VOCABULARY, vocabulary_path
+from tickforge.llm.toxicity import scored, trained
+
+#: A line in more than this share of a source's documents, and in so many of them at least, is boilerplate.
+LINE_RATIO, LINE_LEAST = 0.02, 5
+
+
+def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """n_chars follows the text."""
+    return docs.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.lit(0))).select(*columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    columns = docs.columns
+    model = trained(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return scored(docs, model).where("score < 0.5").select(*columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _sized(without_boilerplate(docs, "source", "text", LINE_RATIO, 20, LINE_LEAST), docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _sized(redact(docs), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = packed(docs.select("doc_id", "text"), vocabulary_path(VOCABULARY))
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("minhash_dedup", drop_copies),
+    ("pii", hide_personal_data),
+    ("packing", pack),
+]
+#: The stages learn weights, hash and tokenise, which SQL does not express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs, _ = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -71,6 +72,12 @@ def utf8(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [v or b"" for v in values]
 
 
+@cache
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """64-bit hashes, alike in every process."""
     if not words:

@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency.
 
 Within each host, the pages that contain a line are divided by the host's pages; lines over `ratio` are
-boilerplate and dropped. Only hosts of at least `least_pages` pages are judged. Frequencies are partial counts
+boilerplate and dropped. Only hosts of at least `least_pages` pages are judged,
+and a line must be in `least_found` pages of the host. Frequencies are partial counts
 of 64-bit line hashes, so a host with a third of all pages is no hot group; what is dropped per host is at most
 (lines per page) / ratio hashes.
 
@@ -44,7 +45,7 @@ def _keys(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.xxhash64(F.trim(x)))
 
 
-def without_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def without_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_found: int = 2) -> DataFrame:
     """pages with the host's boilerplate lines taken out of `text`, and with n_lines and n_dropped (lines that are not blank)."""
     lines = F.split(F.col(text), "\n", -1)
     full = F.filter(lines, lambda x: F.trim(x) != "")
@@ -55,7 +56,7 @@ def without_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = R
         .groupBy("_host", "_line")
         .agg(F.count(F.lit(1)).alias("_in"))
     )
-    common = seen.join(sizes.where(F.col("_pages") >= least_pages), "_host").where(F.col("_in") > ratio * F.col("_pages"))
+    common = seen.join(sizes.where(F.col("_pages") >= least_pages), "_host").where((F.col("_in") > ratio * F.col("_pages")) & (F.col("_in") >= least_found))
     common = common.groupBy("_host").agg(F.collect_list("_line").alias("_common"))
     joined = pages.join(common, pages[host] == common["_host"], "left")
     bad = F.coalesce(F.col("_common"), F.array().cast("array<bigint>"))
@@ -87,7 +88,7 @@ WITH p AS (
 each_line AS (SELECT page_id, host, i, lines[i] AS raw, trim(lines[i], ' ') AS line FROM p, unnest(generate_series(1, len(lines))) AS g(i)),
 bad AS (
   SELECT s.host, l.line FROM (SELECT host, line, count(DISTINCT page_id) AS c FROM each_line WHERE line <> '' AND host IS NOT NULL GROUP BY host, line) l
-  JOIN size s ON s.host = l.host WHERE s.n >= {LEAST_PAGES} AND l.c > {RATIO} * s.n
+  JOIN size s ON s.host = l.host WHERE s.n >= {LEAST_PAGES} AND l.c > {RATIO} * s.n AND l.c >= 2
 )
 SELECT e.page_id, e.host, CAST(count(*) FILTER (e.line <> '') AS BIGINT) AS n_lines, CAST(count(b.line) AS BIGINT) AS n_dropped,
   md5(string_agg(e.raw, chr(10) ORDER BY i) FILTER (b.line IS NULL)) AS text_md5

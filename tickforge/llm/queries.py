@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickforge.llm import line_dedup, minhash_dedup, packing, pii, quality_rules, tokens, toxicity
+from tickforge.llm import embedding_dedup, language_id, line_dedup, minhash_dedup, packing, pii, quality_rules, sentencepiece_codec, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": embedding_dedup.op1,
+    "op2_language_id": language_id.op2,
     "op3_quality_rules": quality_rules.op3,
     "op4_pii": pii.op4,
+    "op5_sentencepiece": sentencepiece_codec.op5,
     "op6_packing": packing.op6,
     "op7_minhash_dedup": minhash_dedup.op7,
     "op8_line_dedup": line_dedup.op8,
