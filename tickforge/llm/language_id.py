@@ -74,19 +74,23 @@ def automaton(symbols: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def steps_of(edges: tuple[np.ndarray, np.ndarray, np.ndarray], width: int) -> np.ndarray:
-    """For state * width + symbol: 2 * width * next state, plus 1 where a new phrase starts there."""
+    """For state * width + symbol: 2 * width * next state, plus 1 where a new phrase starts there.
+
+    The last state is that of a phrase's end: every symbol starts a phrase there, and one that the
+    automaton never saw is a phrase of its own.
+    """
     state, symbol, to = edges
-    table = np.zeros((int(max(state.max(initial=0), to.max(initial=0))) + 1, width), np.int32)
+    end = int(max(state.max(initial=0), to.max(initial=0))) + 1
+    table = np.zeros((end + 1, width), np.int32)
     table[state, symbol] = to
-    start = table[0].copy()
-    ends = table == 0
-    return np.where(ends, 2 * width * start[None, :] + 1, 2 * width * table).astype(np.int32).ravel()
+    start = np.where(table[0] == 0, end, table[0])
+    return np.where(table == 0, 2 * width * start[None, :] + 1, 2 * width * table).astype(np.int32).ravel()
 
 
-def parsed(windows: np.ndarray, lengths: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Phrases of each window (a column of symbols per position; lengths fall): the first phrase counts."""
-    at = np.zeros(windows.shape[1], np.int32)
-    phrases = np.ones(windows.shape[1], np.int32)
+def parsed(windows: np.ndarray, lengths: np.ndarray, steps: np.ndarray, width: int) -> np.ndarray:
+    """Phrases of each window (a column of symbols per position; lengths fall)."""
+    at = np.full(windows.shape[1], 2 * (len(steps) - width), np.int32)
+    phrases = np.zeros(windows.shape[1], np.int32)
     for row, live in zip(windows, np.searchsorted(-lengths, -np.arange(len(windows)), side="left"), strict=True):
         if not live:
             break
@@ -133,7 +137,7 @@ def classes(symbols: np.ndarray) -> np.ndarray:
     return table
 
 
-def bits_of(texts: list[str | None], table: np.ndarray, automata: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bits_of(texts: list[str | None], table: np.ndarray, automata: list[np.ndarray], sizes: list[int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bits, chars, lettered): the cost of each text (row) in each language (column), its length, whether it has a letter."""
     coded = [points(t or "") for t in texts]
     chars = np.array([len(c) for c in coded])
@@ -153,7 +157,7 @@ def bits_of(texts: list[str | None], table: np.ndarray, automata: list[np.ndarra
     padded = np.append(seen, np.zeros(WINDOW, np.uint8))
     for i in range(int(size.max(initial=0))):
         board[i] = padded[begin + i]
-    bits = np.stack([np.bincount(owner, parsed(board, size, steps), len(texts)) * math.log2(n) for steps, n in zip(automata, sizes, strict=True)], axis=1)
+    bits = np.stack([np.bincount(owner, parsed(board, size, steps, width), len(texts)) * math.log2(n) for steps, n in zip(automata, sizes, strict=True)], axis=1)
     return bits, chars, lettered
 
 
@@ -170,7 +174,7 @@ def predicted(docs: DataFrame, model: dict) -> DataFrame:
         for part in slices(batches, "text"):
             lang, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
             if names:
-                bits, chars, lettered = bits_of(part.column(part.schema.get_field_index("text")).to_pylist(), table, automata, own["sizes"])
+                bits, chars, lettered = bits_of(part.column(part.schema.get_field_index("text")).to_pylist(), table, automata, own["sizes"], width)
                 best = bits.argmin(axis=1)
                 # Each language's weight falls with its excess bits; the square root keeps long texts off the ends.
                 excess = (bits - bits.min(axis=1, keepdims=True)) / np.sqrt(np.maximum(chars, 1))[:, None]

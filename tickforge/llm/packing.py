@@ -4,7 +4,7 @@ Lengths fall into reciprocal-capacity classes: capacity / 1, / 2, / 4 ... down t
 what is left under that, one class per length. A document is cut into at most a few pieces, each exactly
 as long as its class, so a bin of a class always holds the same number of pieces and a piece's place
 follows from its rank in its class alone: each task numbers its own pieces, per-task counts give the
-tasks' offsets, and no bin is ever gathered anywhere. Only the last bin of a class is short.
+tasks' offsets, and no full bin is ever gathered anywhere. What is left of all classes shares a few bins.
 
 Padding: a sequence is padded to the capacity unless its length is a power of two.
 
@@ -70,21 +70,32 @@ def pieces(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
 
 def placed(found: DataFrame) -> DataFrame:
-    """pieces() with sequence_id and offset instead of task and rank."""
+    """pieces() with sequence_id and offset instead of task and rank.
+
+    The pieces that fill no whole bin of their class, fewer than one bin holds of each class and so a
+    bounded number, share bins: halvings of the capacity, longest first, leave no gap, and of the shorter ones
+    a bin takes those that begin under CAPACITY - SMALLEST.
+    """
     counts = found.groupBy("length", "task").agg(F.count(F.lit(1)).alias("held"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.withColumn("shift", F.coalesce(F.sum("held").over(before), F.lit(0))).select("length", "task", "shift")
     per_bin = F.floor(F.lit(CAPACITY) / F.col("length")).cast("long")
-    # At most CAPACITY / SMALLEST classes, so this window is over a few rows.
-    bins = counts.groupBy("length").agg(F.sum("held").alias("held")).withColumn("bins", F.ceil(F.col("held") / per_bin).cast("long"))
-    bases = bins.withColumn("base", F.coalesce(F.sum("bins").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("length", "base")
+    # At most log2(CAPACITY / SMALLEST) + SMALLEST classes, so this window is over a few rows.
+    bins = counts.groupBy("length").agg(F.sum("held").alias("held")).withColumn("bins", F.floor(F.col("held") / per_bin).cast("long"))
+    bases = bins.withColumn("base", F.coalesce(F.sum("bins").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    bases = bases.withColumn("all_bins", F.sum("bins").over(Window.partitionBy())).select("length", "base", "bins", "all_bins")
     rank = F.col("shift") + F.col("rank")
-    return (
-        found.join(shifts.join(bases, "length"), ["length", "task"])
-        .withColumn("sequence_id", F.col("base") + F.floor(rank / per_bin).cast("long"))
-        .withColumn("offset", (rank % per_bin) * F.col("length"))
-        .drop("task", "rank", "shift", "base")
-    )
+    rows = found.join(shifts.join(bases, "length"), ["length", "task"]).withColumn("rank", rank)
+    columns = [c for c in found.columns if c not in ("task", "rank")]
+    full = rows.where(F.col("rank") < F.col("bins") * per_bin).select(*columns, (F.col("base") + F.floor(F.col("rank") / per_bin).cast("long")).alias("sequence_id"), ((F.col("rank") % per_bin) * F.col("length")).alias("offset"))
+    short = F.col("length") < SMALLEST
+    rest = rows.where(F.col("rank") >= F.col("bins") * per_bin)
+    at = F.sum("length").over(Window.partitionBy(short).orderBy(F.desc("length"), "rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
+    rest = rest.withColumn("at", at).withColumn("bin", F.floor(F.col("at") / F.when(short, CAPACITY - SMALLEST).otherwise(CAPACITY)).cast("long"))
+    rest = rest.withColumn("offset", F.col("at") - F.min("at").over(Window.partitionBy(short, "bin")))
+    # Whole bins, then two per number of shared bins: even for the halvings, odd for the shorter ones.
+    rest = rest.select(*columns, (F.col("all_bins") + 2 * F.col("bin") + short.cast("long")).alias("sequence_id"), "offset")
+    return full.union(rest)
 
 
 def packed(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
