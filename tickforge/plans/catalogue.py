@@ -1,10 +1,6 @@
-"""Query names, their Spark form, and the SQL that checks each."""
+"""All queries on the star-schema tables: their Spark form, and the SQL that checks each."""
 
-from __future__ import annotations
+from tickforge.plans import filings, incremental, quant, screening, technical, text
+from tickforge.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "filings", "incremental", "quant", "screening", "technical", "text"]
