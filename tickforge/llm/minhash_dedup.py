@@ -1,15 +1,16 @@
 """MinHash near-dedup with bottom-k sketches of one hash function.
 
 Every document keeps the `k` least hash values of its set of shingles. The `indexed` least of them
-go to inverted lists. Documents with equal sets are first put together; then two passes follow.
+go to inverted lists. Documents with equal sets are first put together; then three passes follow.
 
 1. Each document of a list is paired with the list's smallest document (linear in the lists), the
    union-sketch estimate picks one such partner per document, and exact Jaccard on the full sets
-   confirms it. Components of the confirmed links follow.
-2. Documents of different components that share a list are compared: all pairs of short lists, and
-   for long ones (`long_list`) all pairs of documents that are mostly made of long lists' values,
-   in blocks. A document less than `common` of whose indexed values have long lists shares a
-   short one with any partner of similarity 0.75 (missed with probability under 0.42 ** 10).
+   confirms it.
+2. Documents that are mostly made of the values of long lists (`long_list`), such as large groups of near copies, are
+   compared exactly with each other in blocks of those lists; a block returns a spanning forest of its links.
+3. Documents of different components so far that share a short list are paired, the union-sketch
+   estimate filters, exact Jaccard confirms. A document less than `common` of whose indexed values have long
+   lists shares a short one with any partner of similarity 0.75 (missed with probability under 0.42 ** 10).
 
 Pairs inside one component need no comparison, as only components are returned.
 
@@ -33,6 +34,8 @@ from tickforge.llm.common import connected_components, hash_words, mixed, ngram_
 
 SHINGLE = 5
 SIMILAR = (75, 100)
+#: Shingles of a block's documents together, so that a block of long documents holds fewer of them.
+BLOCK_SHINGLES = 1_500_000
 #: Flipped, so that the order of hashes is also that of the signed values in sketches.
 SIGN = np.uint64(1 << 63)
 
@@ -110,39 +113,68 @@ def with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(side.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(side.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
 
 
-def block_pairs(rows: DataFrame, k: int, least: float) -> DataFrame:
-    """Pairs of rows (value, band, i, j, side, home, doc_id, n, component, sketch) of one block with different
-    components, at least one of them at home in the band, that share enough sketch values for an estimate of `least` and have sets of like sizes."""
+def spanning(near: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges (child, parent) that join what a symmetric matrix of links joins, a tree for each component."""
+    open_ = near.any(axis=1)
+    out = []
+    while open_.any():
+        frontier = np.array([int(np.argmax(open_))])
+        open_[frontier] = False
+        while len(frontier):
+            links = near[frontier]
+            reached = np.flatnonzero(links.any(axis=0) & open_)
+            out.append((reached, frontier[links[:, reached].argmax(axis=0)]))
+            open_[reached] = False
+            frontier = reached
+    return out
+
+
+def block_links(rows: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of the exact links within each block of rows (value, band, i, j, side, home, doc_id, n, members).
+
+    Full sets are compared, so nothing is left to confirm, and a block of m documents returns fewer than m rows. Of two
+    documents one at least is at home in the band; in a block of two sides, they are on different sides.
+    """
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes, comps, sides = (block[c].to_numpy() for c in ("doc_id", "n", "component", "side"))
-        lengths = np.array([len(s) for s in block["sketch"]])
-        values, spot = np.unique(np.concatenate(block["sketch"].to_list()), return_inverse=True)
-        held = np.bincount(spot) > 1
-        column = np.cumsum(held) - 1
-        shared = held[spot]
-        table = np.zeros((len(ids), int(held.sum())), np.float32)
-        table[np.repeat(np.arange(len(ids)), lengths)[shared], column[spot[shared]]] = 1
+        ids, sides = block["doc_id"].to_numpy(), block["side"].to_numpy()
+        sizes = np.array([len(x) for x in block["members"]], np.int64)
+        values, spot = np.unique(np.concatenate(block["members"].to_list()), return_inverse=True)
+        held = np.bincount(spot, minlength=len(values)) > 1
+        row = np.repeat(np.arange(len(ids)), sizes)[held[spot]]
+        column = (np.cumsum(held) - 1)[spot[held[spot]]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(ids), len(ids)), np.float32)
+        for at in range(0, int(held.sum()), 2048):
+            own = slice(*np.searchsorted(column, [at, at + 2048]))
+            table = np.zeros((len(ids), 2048), np.float32)
+            table[row[own], column[own] - at] = 1
+            both += table @ table.T
+        near = (SIMILAR[0] + SIMILAR[1]) * both.astype(np.int64) >= SIMILAR[0] * (sizes[:, None] + sizes[None, :])
+        near &= both > 0
         homes = (block["home"] == block["band"]).to_numpy()
-        across = not (block["i"].iat[0] == block["j"].iat[0])
-        out = []
-        for at in range(0, len(ids), 256):
-            own = slice(at, at + 256)
-            both = table[own] @ table.T
-            enough = both >= least * np.minimum(k, lengths[own, None] + lengths[None, :] - both)
-            enough &= (ids[own, None] < ids[None, :]) & (comps[own, None] != comps[None, :])
-            enough &= (100 * sizes[own, None] >= SIMILAR[0] * sizes[None, :]) & (100 * sizes[None, :] >= SIMILAR[0] * sizes[own, None])
-            enough &= homes[own, None] | homes[None, :]
-            if across:
-                enough &= sides[own, None] != sides[None, :]
-            left, right = np.nonzero(enough)
-            out.append(np.stack([ids[left + at], ids[right]]))
-        a, b = np.concatenate(out, axis=1)
-        return pd.DataFrame({"a": a.astype("int64"), "b": b.astype("int64")})
+        near &= homes[:, None] | homes[None, :]
+        if block["i"].iat[0] != block["j"].iat[0]:
+            near &= sides[:, None] != sides[None, :]
+        np.fill_diagonal(near, False)
+        edges = spanning(near)
+        child, parent = np.concatenate([ids[c] for c, _ in edges] or [ids[:0]]), np.concatenate([ids[p] for _, p in edges] or [ids[:0]])
+        return pd.DataFrame({"a": np.minimum(child, parent), "b": np.maximum(child, parent)})
 
     return rows.groupBy("value", "band", "i", "j").applyInPandas(run, "a long, b long")
 
 
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, members) of the documents in ids (doc_id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 2 << 20):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in shingle_sets(utf8(part, "text"))], pa.list_(pa.int64()))], ["doc_id", "members"])
+
+    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, members array<long>").dropDuplicates(["doc_id"])
+
+
 def near_duplicates(docs: DataFrame, k: int = 64, indexed: int = 16, long_list: int = 64, common: float = 0.4, long_keys: int = 8, slack: float = 0.3, block: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents (doc_id, text).
 
@@ -171,17 +203,32 @@ def near_duplicates(docs: DataFrame, k: int = 64, indexed: int = 16, long_list:
     stars = posted.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = with_sketches(stars, reps).withColumn("estimate", estimated(k)).where(F.col("estimate") >= least)
     stars = stars.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
-    first, _ = written(confirmed(stars.select("a", "b"), docs))
+    first = confirmed(stars.select("a", "b"), docs)
     same = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+
+    # Pass 2: documents that are mostly made of long lists' values, compared exactly in blocks of those lists.
+    share = posted.groupBy("doc_id").agg(F.sum(F.when(F.col("docs") > long_list, 1).otherwise(0)).alias("long"), F.max("n").alias("size"))
+    share = share.where(F.col("long") >= common * F.least(F.col("size"), F.lit(indexed))).select("doc_id")
+    heavy = posted.where(F.col("docs") > long_list).join(share, "doc_id", "left_semi")
+    heavy = heavy.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("value"), "value"))).where(F.col("place") <= long_keys)
+    # Similar sets' sizes lie in one band of ratio 4/3 or in neighbours: each document also visits the next band.
+    heavy = heavy.withColumn("home", F.floor(F.log("n") / math.log(SIMILAR[1] / SIMILAR[0])).cast("int"))
+    heavy = heavy.withColumn("band", F.explode(F.array("home", F.col("home") + 1))).select("value", "band", "home", "doc_id", "n")
+    heavy, _ = written(heavy)
+    blocks = heavy.groupBy("value", "band").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("longest"), F.max("home").alias("top")).where("held > 1 and top = band")
+    sides = F.ceil(F.greatest(F.col("held") / block, F.col("held") * F.col("longest") / F.lit(BLOCK_SHINGLES))).cast("int")
+    heavy = heavy.join(blocks.select("value", "band", sides.alias("blocks")), ["value", "band"])
+    sets = full_sets(docs, heavy.select("doc_id").distinct())
+    heavy = heavy.withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).join(sets, "doc_id")
+    heavy = heavy.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    heavy = heavy.select("value", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "home", "doc_id", "n", "members")
+    first, _ = written(first.union(block_links(heavy)))
     parts, _ = written(connected_components(first))
 
-    # Pass 2: what lies in different components yet shares a list.
-    posted = posted.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # Pass 3: what lies in different components yet shares a short list.
+    posted = posted.where(F.col("docs") <= long_list).join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed_lists = posted.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
-    share = posted.groupBy("doc_id").agg((F.sum(F.when(F.col("docs") > long_list, 1).otherwise(0)) / F.lit(float(indexed))).alias("share"), F.max("n").alias("size"))
-    share = share.where(F.col("share") * indexed >= common * F.least(F.col("size"), F.lit(indexed))).select("doc_id")
-    posted, _ = written(posted.join(mixed_lists, "value", "left_semi").select("value", "doc_id", "n", "docs", "component"))
-    short = posted.where(F.col("docs") <= long_list)
+    short, _ = written(posted.join(mixed_lists, "value", "left_semi").select("value", "doc_id", "n", "component"))
     left = short.select("value", *(F.col(c).alias(f"l_{c}") for c in ("doc_id", "n", "component")))
     right = short.select("value", *(F.col(c).alias(f"r_{c}") for c in ("doc_id", "n", "component")))
     pairs = (
@@ -190,16 +237,6 @@ def near_duplicates(docs: DataFrame, k: int = 64, indexed: int = 16, long_list:
         .select(F.col("l_doc_id").alias("a"), F.col("r_doc_id").alias("b"))
         .distinct()
     )
-    heavy = posted.where(F.col("docs") > long_list).join(share, "doc_id", "left_semi")
-    heavy = heavy.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("value"), "value"))).where(F.col("place") <= long_keys)
-    # Similar sets' sizes lie in one band of ratio 4/3 or in neighbours: each document also visits the next band.
-    heavy = heavy.withColumn("home", F.floor(F.log("n") / math.log(SIMILAR[1] / SIMILAR[0])).cast("int"))
-    heavy = heavy.withColumn("band", F.explode(F.array("home", F.col("home") + 1)))
-    blocks = heavy.groupBy("value", "band").agg(F.count(F.lit(1)).alias("held"), F.max("home").alias("top"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi and top = band")
-    heavy = heavy.join(blocks.select("value", "band", F.ceil(F.col("held") / block).cast("int").alias("blocks")), ["value", "band"]).join(reps.select("doc_id", "sketch"), "doc_id")
-    heavy = heavy.withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    heavy = heavy.select("value", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "home", "doc_id", "n", "component", "sketch")
-    pairs = pairs.union(block_pairs(heavy, k, least)).distinct()
     second = confirmed(with_sketches(pairs, reps).where(estimated(k) >= least).select("a", "b"), docs)
 
     links = first.union(second).union(same)
