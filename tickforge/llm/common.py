@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step inside a Python worker looks at together.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
+#: Rows of texts that Spark sends to a Python worker together.
+BATCH_ROWS = 500
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -23,6 +25,12 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return frame.select(*columns) if columns else frame
 
 
+def batched(docs: DataFrame) -> DataFrame:
+    """docs, whose rows the session's Python workers now get BATCH_ROWS at a time: whole texts are long rows."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

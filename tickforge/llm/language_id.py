@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import letters, read, slices
+from tickforge.llm.common import batched, letters, read, slices
 
 UNKNOWN = "und"
 SYMBOLS = 94
@@ -164,7 +164,7 @@ def bits_of(texts: list[str | None], table: np.ndarray, automata: list[np.ndarra
 def predicted(docs: DataFrame, model: dict) -> DataFrame:
     """docs (doc_id, text, ...) with lang_pred and score instead of text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [c for c in batched(docs).columns if c != "text"]
     width = 2 + len(model["symbols"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

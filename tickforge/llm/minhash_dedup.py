@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import connected_components, hash_words, mixed, ngram_hashes, read, slices, utf8, written
+from tickforge.llm.common import batched, connected_components, hash_words, mixed, ngram_hashes, read, slices, utf8, written
 
 SHINGLE = 5
 SIMILAR = (75, 100)
 #: Shingles of a block's documents together, so that a block of long documents holds fewer of them.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 750_000
 #: Flipped, so that the order of hashes is also that of the signed values in sketches.
 SIGN = np.uint64(1 << 63)
 
@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, k: int = 64, indexed: int = 16, long_list:
     (five standard deviations at k = 64); block: documents of a long list compared at a time.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     least = SIMILAR[0] / SIMILAR[1] - slack
     rows, _ = written(sketches(docs, k))
     real = rows.where("doc_id is not null and n > 0")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import read, slices, utf8, written
+from tickforge.llm.common import batched, read, slices, utf8, written
 from tickforge.llm.tokens import VOCABULARY, token_ids, vocabulary_path
 
 CAPACITY = 2048
@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                     start += n
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if n == "task" else pa.binary() if n == "ids" else pa.int64()) for n, x in zip(names, out, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return batched(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def placed(found: DataFrame) -> DataFrame:

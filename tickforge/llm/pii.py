@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import read, slices
+from tickforge.llm.common import batched, read, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -229,12 +229,12 @@ def found(docs: DataFrame) -> DataFrame:
                 rows[6].append(joined(base + new))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(r, pa.int64()) for r in rows[:5]), pa.array(rows[5], pa.string()), pa.array(rows[6], pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string")
+    return batched(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, column: str = "text") -> DataFrame:
     """docs with the spans of `column` replaced; nulls stay null, other columns stay as they are."""
-    at = docs.columns.index(column)
+    at = batched(docs).columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import hash_words, mixed, read, slices, utf8, written
+from tickforge.llm.common import batched, hash_words, mixed, read, slices, utf8, written
 
 LEAST_WORDS = 50
 MOST_REPEATED = 50
@@ -74,7 +74,7 @@ def counts(docs: DataFrame) -> DataFrame:
             repeated = np.bincount(doc[covered], minlength=len(texts))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.asarray(x, np.int64)) for x in (lengths, chars, symbols, again, repeated, lines))], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    return batched(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import read, slices, utf8
+from tickforge.llm.common import batched, read, slices, utf8
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE = 300_000
+CACHE = 150_000
 LONGEST = 48
 
 
@@ -113,7 +113,7 @@ def lengths(docs: DataFrame, path: str) -> DataFrame:
         for part in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in token_ids(utf8(part, "text"), path)], pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long")
+    return batched(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def histogram(docs: DataFrame, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tickforge.llm.common import hash_words, mixed, read, slices, utf8
+from tickforge.llm.common import batched, hash_words, mixed, read, slices, utf8
 
 BITS = 18
 SKIP = 2
@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12000, alpha: flo
 def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """docs (doc_id, text, ...) with score double; other columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    names = batched(docs).columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = shared.value
