@@ -89,7 +89,7 @@ def tfidf_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest vectors of the same label for every hundredth one."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    asked = F.broadcast(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "label", F.col("e").alias("x")))
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "label", F.col("e").alias("x"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     score = rounded(F.try_divide(dot("x", "e"), F.sqrt(dot("x", "x") * dot("e", "e"))))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "v")
