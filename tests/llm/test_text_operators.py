@@ -160,6 +160,31 @@ def test_disguises_map_to_source_characters(text, kind, covered):
     assert (kind, covered) in found
 
 
+@pytest.mark.parametrize(
+    "text,kind,covered",
+    [
+        ("call plus 49 one seven zero 1234567 now", "phone", "plus 49 one seven zero 1234567"),
+        ("call plus 49 30 1234567 now", "phone", "plus 49 30 1234567"),
+        ("call plus 49 30 12345 six 7 now", "phone", "plus 49 30 12345 six 7"),
+        ("host 192 dot 168 dot one dot five end", "ip", "192 dot 168 dot one dot five"),
+        ("host 10 dot 20 dot 30 dot four end", "ip", "10 dot 20 dot 30 dot four"),
+        ("card 4111 1111 1111 one one one 1 end", "card", "4111 1111 1111 one one one 1"),
+        ('ring: "plus four nine; no, plus four nine three zero one two three four five"', "phone", "plus four nine three zero one two three four five"),
+        ("write to jane.doe at example.com today", "email", "jane.doe at example.com"),
+        ("écrire à jane arobase exemple.fr vite", "email", "jane arobase exemple.fr"),
+        ("a jane arroba mail.ejemplo.es hoy", "email", "jane arroba mail.ejemplo.es"),
+    ],
+)
+def test_few_spelled_digits_and_bare_at(text, kind, covered):
+    base, new = pii.spans_of(text)
+    assert {(pii.KINDS[k], text[s:e]) for s, k, e in base + new} == {(kind, covered)}
+
+
+def test_prose_with_few_spelled_digits_and_at_is_left_alone():
+    for text in ("find us at example.com today", "one or 2 of 3000 came, plus 1500 more", "at 9.30 we met at work.then left", "une ou deux fois, un 12 mai, trois 4"):
+        assert pii.spans_of(text) == ([], [])
+
+
 def test_plain_prose_is_left_alone():
     for text in ("we met at noon. dot the i at home", "two or three of four five people", "she looked at the point and left", "version 1.2.3 of 2024"):
         assert pii.spans_of(text) == ([], [])

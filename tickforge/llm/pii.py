@@ -63,7 +63,11 @@ MAIL = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.|{_
 ATS, DOTS = re.compile(f"(?i){_AT}"), re.compile(f"(?i){_DOT}")
 #: An address whose dots alone are disguised.
 NUMBER_DOTS = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:(?:\s*[\[({{]\s*(?:dot|point|punto|punkt|\.)\s*[\])}}]\s*|\s+(?:dot|punkt|punto|point)\s+|\.)[0-9]{{1,3}}){{3}}(?![0-9.])")
-HINT = re.compile(r"(?i)\bdot\b|\bpoint\b|\bpunto\b|\bpunkt\b|[\[({<]\s*[.@]\s*[\])}>]|\s@|@\s|[\[({<]\s*(?:at|arobase|arroba)\s*[\])}>]")
+#: Bare at, arobase or arroba before a dotted domain with a common suffix.
+BARE = rf"\s(?:at|arobase|arroba)\s+(?:[A-Za-z0-9-]{{1,63}}\.){{1,5}}(?:{'|'.join(sorted(SUFFIXES))})(?![A-Za-z0-9-])"
+# Words of prose that stand before "at" and a domain without being an address's local part.
+BEFORE_AT = frozenset("us me you him her them it is are was were be been look looks looked looking here there available online found hosted located live read see seen more posted published page pages site website visit visited and or not".split())
+HINT = re.compile(r"(?i)\bdot\b|\bpoint\b|\bpunto\b|\bpunkt\b|[\[({<]\s*[.@]\s*[\])}>]|\s@|@\s|[\[({<]\s*(?:at|arobase|arroba)\s*[\])}>]|" + BARE)
 
 
 def luhn(digits: str) -> bool:
@@ -128,19 +132,23 @@ def _folded(m: re.Match) -> list[tuple[str, int, int]]:
 
 
 def _digits(m: re.Match) -> list[tuple[str, int, int]]:
-    """A run with its words as digits and points, and nothing between them; a run without such words stays."""
-    if not WORDED.search(m[0]):
+    """A run with its words as digits and points, and nothing between them; a run without spelled digits or "plus" stays."""
+    if not (m[1] and m[1] != "+") and not WORDED.search(m[0]):
         return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m[0])]
     plus = [("+", m.start(1), m.end(1))] if m[1] else []
     return plus + [(SPELLED.get(d[0].lower(), d[0] if d[0].isdigit() else "."), d.start(), d.end()) for d in ITEM.finditer(m.string, m.end(1) if m[1] else m.start(), m.end())]
 
 
 def _plain(m: re.Match) -> list[tuple[str, int, int]]:
-    """The match with its at and dot disguises undone: there must be a bracket, an @, or both words and a common suffix."""
+    """The match with its at and dot disguises undone: there must be a bracket, an @, or the word at and a common suffix.
+
+    Before a bare at and a plain domain, a word of BEFORE_AT is prose.
+    """
     text, base = m[0], m.start()
     marks = [("@", x) for x in ATS.finditer(text)] + [(".", x) for x in DOTS.finditer(text)]
     bracketed = any(re.search(r"[\[({<]", x[0]) for _, x in marks)
-    worded = {k for k, _ in marks} == {"@", "."} and text.rsplit(None, 1)[-1].rsplit(".", 1)[-1].lower() in SUFFIXES
+    worded = marks and marks[0][0] == "@" and text.rsplit(None, 1)[-1].rsplit(".", 1)[-1].lower() in SUFFIXES
+    worded = worded and (len(marks) > 1 or text.split(None, 1)[0].lower() not in BEFORE_AT)
     if not marks or not (bracketed or "@" in text or worded):
         return [(c, base + i, base + i + 1) for i, c in enumerate(text)]
     out, at = [], 0
@@ -159,11 +167,9 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     if not text.isascii():
         folded = folded.replaced(FOLDS, _folded)
     views = [folded] if folded.starts is not None else []
-    lowered = folded.text.lower()
-    for mark in ",.-()/+":
-        lowered = lowered.replace(mark, " ")
-    if sum(map(SPELLED.__contains__, lowered.split())) >= 4:
-        views.append(folded.replaced(RUN, _digits))
+    digits = folded.replaced(RUN, _digits)
+    if digits is not folded:
+        views.append(digits)
     if HINT.search(folded.text):
         plain = folded.replaced(MAIL, _plain).replaced(NUMBER_DOTS, _plain_ip)
         if plain is not folded:
