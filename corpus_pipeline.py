@@ -22,6 +22,8 @@ from tickforge.llm.toxicity import scored, trained
 
 #: A line in more than this share of a source's documents, and in so many of them at least, is boilerplate.
 LINE_RATIO, LINE_LEAST = 0.02, 5
+#: A line of more words than this is boilerplate in LINE_LEAST different texts of a source, whatever their share.
+LONG_WORDS = 50
 
 
 def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -36,7 +38,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _sized(without_boilerplate(docs, "source", "text", LINE_RATIO, 20, LINE_LEAST), docs.columns)
+    return _sized(without_boilerplate(docs, "source", "text", LINE_RATIO, 20, LINE_LEAST, LONG_WORDS), docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

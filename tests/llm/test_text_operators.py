@@ -332,6 +332,33 @@ def test_lines(spark):
     assert got[10]["text"] == "Menu\nx" and got[11]["text"] is None and got[12]["text"] == "Menu" and got[13]["text"] == "Rare\nRare"
 
 
+def test_long_passages_go_by_a_fixed_number_of_texts(spark):
+    import corpus_pipeline
+
+    passage = {s: " ".join(f"{s}{i}" for i in range(51)) for s in ("small", "large", "third")}
+    short, copied = " ".join(f"w{i}" for i in range(50)), " ".join(f"c{i}" for i in range(60))
+    rows = []
+    for source, n in (("small", 8), ("large", 600), ("third", 1200), *((f"other{i}", 300) for i in range(6))):
+        for i in range(n):
+            lines = [f"own {source} {i}"]
+            if source in passage and i < 5:
+                lines += [passage[source], short]
+            if source.startswith("other") and i < 4:
+                lines.append(passage["large"])
+            if source == "large" and 10 <= i < 20:
+                lines = ["copy", copied]
+            rows.append((len(rows), "\n".join(lines), "en", source, 0))
+    rows += [(None, None, "en", "large", 0), (-1, passage["large"], "en", None, 0)]
+    got = corpus_pipeline.drop_lines(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert len(got) == len(rows)
+    left = Counter((r["source"], line) for r in got for line in (r["text"] or "").split("\n"))
+    for source in passage:
+        assert left[source, passage[source]] == 0 and left[source, short] == 5
+    assert all(left[f"other{i}", passage["large"]] == 4 for i in range(6)) and left[None, passage["large"]] == 1
+    assert left["large", copied] == 10
+    assert sum(line.startswith("own ") for _, line in left.elements()) == sum(r[1] is not None and r[1].startswith("own ") for r in rows)
+
+
 # Toxicity
 
 

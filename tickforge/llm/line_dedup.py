@@ -6,6 +6,10 @@ and a line must be in `least_found` pages of the host. Frequencies are partial c
 of 64-bit line hashes, so a host with a third of all pages is no hot group; what is dropped per host is at most
 (lines per page) / ratio hashes.
 
+A passage of many words does not repeat by chance: with `long_words`, a line of more words than that is also
+boilerplate if it is in `least_found` different texts of the host, whatever their share and the host's size.
+Copies of one text count once for this. As such lines have no bound per host, they are matched by (host, line).
+
 Defined results: null text stays null; lines are compared without white space around them, blank ones are
 kept and never counted; pages with a null host are left as they are; a line repeated in a page counts once;
 repeated rows count as pages each; an empty table gives an empty result; further columns stay.
@@ -45,7 +49,7 @@ def _keys(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.xxhash64(F.trim(x)))
 
 
-def without_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_found: int = 2) -> DataFrame:
+def without_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_found: int = 2, long_words: int | None = None) -> DataFrame:
     """pages with the host's boilerplate lines taken out of `text`, and with n_lines and n_dropped (lines that are not blank)."""
     lines = F.split(F.col(text), "\n", -1)
     full = F.filter(lines, lambda x: F.trim(x) != "")
@@ -59,7 +63,15 @@ def without_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = R
     common = seen.join(sizes.where(F.col("_pages") >= least_pages), "_host").where((F.col("_in") > ratio * F.col("_pages")) & (F.col("_in") >= least_found))
     common = common.groupBy("_host").agg(F.collect_list("_line").alias("_common"))
     joined = pages.join(common, pages[host] == common["_host"], "left")
-    bad = F.coalesce(F.col("_common"), F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+    bad = F.coalesce(F.col("_common"), none)
+    if long_words is not None:
+        passages = F.filter(full, lambda x: F.size(F.split(F.trim(x), r"\s+", -1)) > long_words)
+        held = counted.select(F.col(host).alias("_h"), F.xxhash64(text).alias("_t"), F.explode(F.array_distinct(_keys(passages))).alias("_line")).distinct()
+        often = held.groupBy("_h", "_line").agg(F.count(F.lit(1)).alias("_in")).where(F.col("_in") >= least_found).drop("_in")
+        own = held.join(often, ["_h", "_line"]).groupBy("_h", "_t").agg(F.collect_list("_line").alias("_passages"))
+        joined = joined.join(own, (pages[host] == own["_h"]) & (F.xxhash64(pages[text]) == own["_t"]), "left")
+        bad = F.concat(bad, F.coalesce(F.col("_passages"), none))
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(bad, F.xxhash64(F.trim(x))))
     dropped = F.size(lines) - F.size(kept)
     return joined.select(
