@@ -300,10 +300,38 @@ def packing_faults(rows, texts, capacity=2048):
 
 def test_packing(spark, sf, docs):
     total, padded = packing_faults(packing.op6(spark, sf).collect(), dict(docs))
-    assert total >= 0.95 * padded
+    assert total == padded
+    path = tokens.vocabulary_path(tokens.VOCABULARY)
     rows = [r for r in enumerate(ODD)]
-    packing_faults(packing.packed(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, length int").repartition(3), tokens.vocabulary_path(tokens.VOCABULARY)).collect(), dict(rows))
-    assert packing.packed(odd(spark).limit(0), tokens.vocabulary_path(tokens.VOCABULARY)).collect() == []
+    packing_faults(packing.packed(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, length int").repartition(3), path).collect(), dict(rows))
+    assert packing.packed(odd(spark).limit(0), path).collect() == []
+    # A null id and repeated rows are documents each.
+    again = packing.packed(spark.createDataFrame([(None, "null id"), (5, "one two"), (5, "one two"), (6, None)], "doc_id long, text string").coalesce(1), path, with_ids=True).collect()
+    lengths = [len(x) + 1 for x in reference_ids(["null id", "one two", "one two", ""])]
+    assert sum(r["length"] for r in again) == sum(lengths) and all(len(r["ids"]) == 4 * r["length"] for r in again)
+    assert {(r["doc_id"], r["doc_tokens"]) for r in again} == {(None, lengths[0]), (5, lengths[1]), (6, 1)}
+
+
+def test_bins_take_a_fixed_number_of_each_class():
+    draw = np.random.default_rng(4)
+    lengths = draw.integers(1, 2049, 4000).tolist() + draw.integers(1, 130, 6000).tolist()
+    bins = packing.Bins(0)
+    for doc, n in enumerate(lengths):
+        bins.add(doc, bytes(4 * n))
+        assert all(len(w) < max(k, 1) for k, w in enumerate(bins.waiting)) and bins.filling <= packing.FILLER + packing.CAPACITY
+    bins.finish()
+    held = defaultdict(list)
+    for (doc, start, ids, total), sequence, offset in bins.rows:
+        held[sequence].append((offset, len(ids) // 4, total, start))
+    whole = Counter()
+    for own in held.values():
+        own.sort()
+        assert [o for o, *_ in own] == [sum(n for _, n, *_ in own[:i]) for i in range(len(own))]
+        first = own[0]
+        if first[1] == first[2] > packing.CAPACITY // packing.CLASSES:
+            k = packing.CAPACITY // first[1]
+            whole[k, sum(packing.CAPACITY // n == k for _, n, total, start in own[:k] if n == total)] += 1
+    assert sum(n for (k, found), n in whole.items() if k == found) > 0.9 * sum(whole.values())
 
 
 def test_histogram(spark, sf, docs):

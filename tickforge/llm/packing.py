@@ -1,109 +1,177 @@
 """Harmonic packing of documents into sequences of at most `CAPACITY` tokens.
 
-Lengths fall into reciprocal-capacity classes: capacity / 1, / 2, / 4 ... down to `SMALLEST`, and, for
-what is left under that, one class per length. A document is cut into at most a few pieces, each exactly
-as long as its class, so a bin of a class always holds the same number of pieces and a piece's place
-follows from its rank in its class alone: each task numbers its own pieces, per-task counts give the
-tasks' offsets, and no full bin is ever gathered anywhere. What is left of all classes shares a few bins.
+Lengths fall into reciprocal-capacity classes: class k holds documents longer than CAPACITY / (k + 1) and up to
+CAPACITY / k, and a bin of class k takes exactly k of them, so no search for a fitting bin is needed and every
+worker fills its bins on its own: nothing is shuffled, and a bin never leaves its task. A document longer than the
+capacity fills whole bins first. What is left of it, and documents under CAPACITY / CLASSES, are the filler: they are
+cut to fill the gap that the k documents of a bin leave. Only where a task has no filler at hand is a document of
+the shortest waiting class cut instead. At a task's end the few that wait are laid out one after another, and the
+last of them is cut at powers of two.
 
-Padding: a sequence is padded to the capacity unless its length is a power of two.
+Padding: a sequence is padded to the capacity unless its length is a power of two; so nothing is padded here.
+A task holds fewer than k documents of each class and a filler of FILLER tokens, whatever it reads.
 
 Defined results: null or empty text is a document of the end id alone; repeated rows and null ids are
-packed each as a document; an empty table gives an empty result; further columns are ignored. The ids of
-the sequences depend on how the input is split into tasks, the invariants do not.
+packed each as a document; very long texts are cut at every CAPACITY ids; an empty table gives an empty result;
+further columns are ignored. Which documents share a sequence depends on how the input is split into tasks and on
+its order there, the invariants do not; a task that is run again writes all of its sequences again.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import batched, read, slices, utf8, written
+from tickforge.llm.common import batched, read, slices, utf8
 from tickforge.llm.tokens import VOCABULARY, token_ids, vocabulary_path
 
 CAPACITY = 2048
-SMALLEST = 16
+CLASSES = 16
+FILLER = 8 * CAPACITY
 END = (1).to_bytes(4, "little")
+#: Sequences that one task can number.
+SEQUENCES = 1 << 40
+
+#: A piece: document, start, its ids (four bytes each), the document's length.
+Piece = tuple[int | None, int, memoryview, int]
+
+
+class Bins:
+    """The bins of one task; `rows` holds what was placed since it was last taken: (piece, sequence, offset)."""
+
+    def __init__(self, task: int):
+        self.next = task * SEQUENCES
+        self.rows: list[tuple[Piece, int, int]] = []
+        self.waiting: list[list[Piece]] = [[] for _ in range(CLASSES)]
+        self.filler: deque[Piece] = deque()
+        self.filling = 0
+        self.open, self.used = -1, 0
+
+    def put(self, piece: Piece) -> None:
+        self.rows.append((piece, self.open, self.used))
+        self.used += len(piece[2]) // 4
+
+    def begin(self) -> None:
+        self.open, self.used = self.next, 0
+        self.next += 1
+
+    def fill(self, piece: Piece) -> Piece | None:
+        """The open bin takes the piece, or as much of it as fits; what does not fit is returned."""
+        doc, start, ids, total = piece
+        gap = CAPACITY - self.used
+        if len(ids) // 4 <= gap:
+            self.put(piece)
+            return None
+        self.put((doc, start, ids[: 4 * gap], total))
+        return doc, start + gap, ids[4 * gap :], total
+
+    def close(self) -> None:
+        """Fills the open bin's gap; without filler it stays open for the next document."""
+        while self.used < CAPACITY:
+            if self.filler:
+                piece = self.filler.popleft()
+                self.filling -= len(piece[2]) // 4
+            elif short := next((w for w in reversed(self.waiting) if w), None):
+                piece = short.pop()
+            else:
+                return
+            if left := self.fill(piece):
+                self.filler.appendleft(left)
+                self.filling += len(left[2]) // 4
+        self.open = -1
+
+    def add(self, doc: int | None, ids: bytes) -> None:
+        total, view, start = len(ids) // 4, memoryview(ids), 0
+        if self.open >= 0:
+            left = self.fill((doc, 0, view, total))
+            if self.used == CAPACITY:
+                self.open = -1
+            if not left:
+                return
+            _, start, view, _ = left
+        while len(view) >= 4 * CAPACITY:
+            self.begin()
+            self.put((doc, start, view[: 4 * CAPACITY], total))
+            self.open = -1
+            view, start = view[4 * CAPACITY :], start + CAPACITY
+        if not view:
+            return
+        rest = len(view) // 4
+        if start or CAPACITY // rest >= CLASSES:
+            self.filler.append((doc, start, view, total))
+            self.filling += rest
+            if self.filling > FILLER:
+                self.begin()
+                self.close()
+            return
+        own = self.waiting[CAPACITY // rest]
+        own.append((doc, 0, view, total))
+        if len(own) == CAPACITY // rest:
+            self.begin()
+            for piece in own:
+                self.put(piece)
+            own.clear()
+            self.close()
+
+    def finish(self) -> None:
+        """Lays out what waits; the last bin is cut at powers of two."""
+        left = [p for own in self.waiting for p in own] + list(self.filler)
+        self.waiting, self.filler = [[] for _ in range(CLASSES)], deque()
+        whole = sum(len(p[2]) // 4 for p in left) + (self.used if self.open >= 0 else 0)
+        full = whole - whole % CAPACITY
+        # A bin that is open already keeps what it has: it is the first of the sequences counted here.
+        ends = [CAPACITY] * (full // CAPACITY) + [1 << b for b in range(CAPACITY.bit_length() - 2, -1, -1) if (whole - full) >> b & 1]
+        held = self.open >= 0
+        if held and not full:
+            # Fewer tokens than one bin: its own pieces are laid out anew.
+            again = [r for r in self.rows if r[1] == self.open]
+            self.rows = [r for r in self.rows if r[1] != self.open]
+            left = [r[0] for r in again] + left
+            held = False
+        queue = deque(left)
+        for size in ends:
+            if not held:
+                self.begin()
+            held = False
+            while self.used < size:
+                doc, start, ids, total = queue.popleft()
+                room = 4 * (size - self.used)
+                self.put((doc, start, ids[:room], total))
+                if len(ids) > room:
+                    queue.appendleft((doc, start + room // 4, ids[room:], total))
+        self.open = -1
 
 
-def cut(length: int) -> list[int]:
-    """Lengths of a document's pieces, in order: full bins, then one piece per halving that fits, then the rest."""
-    pieces = [CAPACITY] * (length // CAPACITY)
-    rest, size = length % CAPACITY, CAPACITY // 2
-    while size >= SMALLEST:
-        if rest >= size:
-            pieces.append(size)
-            rest -= size
-        size //= 2
-    return pieces + [rest] * (rest > 0)
-
-
-def pieces(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, task, rank[, ids]) of documents (doc_id, text): rank is the piece's number among its task's pieces of that length."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, rank long" + ", ids binary" * with_ids
+def packed(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of documents (doc_id, text): one row per piece."""
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
 
+    def table(rows: list[tuple[Piece, int, int]]) -> pa.RecordBatch:
+        columns = [[p[0] for p, _, _ in rows], [p[1] for p, _, _ in rows], [len(p[2]) // 4 for p, _, _ in rows], [zlib.crc32(p[2]) for p, _, _ in rows], [p[3] for p, _, _ in rows], [s for _, s, _ in rows], [o for _, _, o in rows]]
+        arrays = [pa.array(x, pa.int64()) for x in columns]
+        return pa.RecordBatch.from_arrays(arrays + [pa.array([bytes(p[2]) for p, _, _ in rows], pa.binary())] * with_ids, names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: Counter = Counter()
-        task = TaskContext.get().partitionId()
+        bins = Bins(TaskContext.get().partitionId())
         for part in slices(batches, "text"):
-            out: list[list] = [[] for _ in names]
             for doc, ids in zip(part.column(0).to_pylist(), token_ids(utf8(part, "text"), path), strict=True):
-                ids += END
-                view, start, total = memoryview(ids), 0, len(ids) // 4
-                for n in cut(total):
-                    own = view[4 * start : 4 * (start + n)]
-                    row = (doc, start, n, zlib.crc32(own), total, task, met[n], bytes(own) if with_ids else None)
-                    for column, value in zip(out, row, strict=False):
-                        column.append(value)
-                    met[n] += 1
-                    start += n
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if n == "task" else pa.binary() if n == "ids" else pa.int64()) for n, x in zip(names, out, strict=True)], names)
+                bins.add(doc, ids + END)
+            # An open bin's pieces stay until it is full, as a task's last bin may be laid out anew.
+            done = [r for r in bins.rows if r[1] != bins.open]
+            bins.rows = [r for r in bins.rows if r[1] == bins.open]
+            yield table(done)
+        bins.finish()
+        yield table(bins.rows)
 
     return batched(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def placed(found: DataFrame) -> DataFrame:
-    """pieces() with sequence_id and offset instead of task and rank.
-
-    The pieces that fill no whole bin of their class, fewer than one bin holds of each class and so a
-    bounded number, share bins: halvings of the capacity, longest first, leave no gap, and of the shorter ones
-    a bin takes those that begin under CAPACITY - SMALLEST.
-    """
-    counts = found.groupBy("length", "task").agg(F.count(F.lit(1)).alias("held"))
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.withColumn("shift", F.coalesce(F.sum("held").over(before), F.lit(0))).select("length", "task", "shift")
-    per_bin = F.floor(F.lit(CAPACITY) / F.col("length")).cast("long")
-    # At most log2(CAPACITY / SMALLEST) + SMALLEST classes, so this window is over a few rows.
-    bins = counts.groupBy("length").agg(F.sum("held").alias("held")).withColumn("bins", F.floor(F.col("held") / per_bin).cast("long"))
-    bases = bins.withColumn("base", F.coalesce(F.sum("bins").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    bases = bases.withColumn("all_bins", F.sum("bins").over(Window.partitionBy())).select("length", "base", "bins", "all_bins")
-    rank = F.col("shift") + F.col("rank")
-    rows = found.join(shifts.join(bases, "length"), ["length", "task"]).withColumn("rank", rank)
-    columns = [c for c in found.columns if c not in ("task", "rank")]
-    full = rows.where(F.col("rank") < F.col("bins") * per_bin).select(*columns, (F.col("base") + F.floor(F.col("rank") / per_bin).cast("long")).alias("sequence_id"), ((F.col("rank") % per_bin) * F.col("length")).alias("offset"))
-    short = F.col("length") < SMALLEST
-    rest = rows.where(F.col("rank") >= F.col("bins") * per_bin)
-    at = F.sum("length").over(Window.partitionBy(short).orderBy(F.desc("length"), "rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
-    rest = rest.withColumn("at", at).withColumn("bin", F.floor(F.col("at") / F.when(short, CAPACITY - SMALLEST).otherwise(CAPACITY)).cast("long"))
-    rest = rest.withColumn("offset", F.col("at") - F.min("at").over(Window.partitionBy(short, "bin")))
-    # Whole bins, then two per number of shared bins: even for the halvings, odd for the shorter ones.
-    rest = rest.select(*columns, (F.col("all_bins") + 2 * F.col("bin") + short.cast("long")).alias("sequence_id"), "offset")
-    return full.union(rest)
-
-
-def packed(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """(length, doc_id, start, ids_crc32, doc_tokens[, ids], sequence_id, offset): one row per piece."""
-    found, _ = written(pieces(docs, path, with_ids))
-    return placed(found)
-
-
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packed(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_path(VOCABULARY))
-    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return packed(read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_path(VOCABULARY))

@@ -1,8 +1,8 @@
 """Token ids and token counts with the public tokenizers' files.
 
-`word_ids` rests on what word_bpe_49k does with white space: it separates words and is dropped, so a
-text's ids are those of its words one after another. Words met before come from a table of each
-Python worker that holds at most CACHE words; the others go to the tokenizer. Results never depend on it.
+`Words` rests on what word_bpe_49k does with white space: it separates words and is dropped, so a
+text's ids are those of its words one after another. Words met before come from two tables of each
+Python worker of about CACHE words each; the others go to the tokenizer. Results never depend on them.
 
 Token counts are one histogram of encoded lengths; suffix sums over its distinct lengths answer totals,
 quantiles and truncated totals of every context limit.
@@ -14,6 +14,7 @@ an empty table gives an empty histogram; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import cache
 
 import numpy as np
@@ -26,6 +27,8 @@ from tickforge.llm.common import batched, read, slices, utf8
 VOCABULARY = "word_bpe_49k.json"
 CACHE = 150_000
 LONGEST = 48
+#: ASCII marks that belong to no contraction: a run of them before or behind letters is a piece of its own.
+MARKS = b'.,:;!?#*"()[]{}<>|$%&/\\=+-_~^`@'
 
 
 @cache
@@ -41,11 +44,17 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Words(dict):
-    """Word (UTF-8, A-Z lower-cased) to its ids as little-endian unsigned 32-bit integers."""
+class Words:
+    """Ids of words (UTF-8, A-Z lower-cased) as little-endian unsigned 32-bit integers.
+
+    Two generations of at most CACHE words each: words that are asked for again move to the young one, and
+    when it is full it becomes the old one, so frequent words stay and rare ones go.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {b"": b""}
         self.tokenizer = tokenizer(path)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
@@ -55,42 +64,60 @@ class Words(dict):
             return []
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def run(self, marks: bytes) -> bytes:
+        """Ids of a run of MARKS, which the tokenizer keeps apart from the letters beside it."""
+        if marks in self.runs:
+            return self.runs[marks]
+        (ids,) = self.encoded([marks.decode()])
+        if len(self.runs) < CACHE and len(marks) <= LONGEST:
+            self.runs[marks] = ids
+        return ids
+
     def met(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that are not in the table. Words of letters are encoded as one text and cut where a word's last piece ends."""
-        found, letters, others = {}, [], []
+        """Ids of words that are not in the tables. Letters are encoded as one text and cut where a word's last piece ends."""
+        found, letters, others, marked = {}, set(), [], []
+        known = lambda w: self.young.get(w) or self.old.get(w)
         for w in words:
-            (letters if w.decode("utf-8").isalpha() else others).append(w)
+            core = w.strip(MARKS)
+            if not core or not core.decode("utf-8").isalpha():
+                others.append(w)
+                continue
+            if core != w:
+                marked.append((w, core))
+            if core == w or not known(core):
+                letters.add(core)
         if letters:
-            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(letters).decode()], add_special_tokens=False)[0].ids, "<u4")
+            asked = list(letters)
+            ids = np.asarray(self.tokenizer.encode_batch_fast([b" ".join(asked).decode()], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(letters):
+            if len(cuts) == len(asked):
                 raw, at = ids.tobytes(), 0
-                for w, cut in zip(letters, (4 * cuts).tolist(), strict=True):
+                for w, cut in zip(asked, (4 * cuts).tolist(), strict=True):
                     found[w] = raw[at:cut]
                     at = cut
             else:  # a letter that lower case splits
-                others += letters
-        rest = []
-        for w in others:
-            mark, stem = w[-1:], w[:-1]
-            if mark in b".,:;!?" and stem.decode("utf-8", "replace").isalpha() and (known := self.get(stem) or found.get(stem)) and (end := self.get(mark)):
-                found[w] = known + end
-            else:
-                rest.append(w)
-        found.update(zip(rest, self.encoded([w.decode("utf-8") for w in rest]), strict=True))
+                found.update(zip(asked, self.encoded([w.decode("utf-8") for w in asked]), strict=True))
+        for w, core in marked:
+            at = w.index(core)
+            found[w] = self.run(w[:at]) + (found.get(core) or known(core)) + self.run(w[at + len(core) :])
+        found.update(zip(others, self.encoded([w.decode("utf-8") for w in others]), strict=True))
         return found
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids, its words' one after another."""
-        plain = [b"" if b"<|" in t else t.lower() for t in texts]
-        words = [t.split() for t in plain]
-        found = self.met(set().union(*words).difference(self)) if words else {}
-        if found and len(self) < CACHE:
-            self.update((w, i) for w, i in found.items() if len(w) <= LONGEST)
-        get = self.__getitem__
-        if any(w not in self for w in found):
-            get = lambda w: self[w] if w in self else found[w]
-        out = [b"".join(map(get, w)) for w in words]
+        words = [() if b"<|" in t else t.lower().split() for t in texts]
+        missing = set().union(*words).difference(self.young)
+        if missing:
+            again = missing & self.old.keys()
+            self.young.update((w, self.old[w]) for w in again)
+            missing -= again
+            self.young.update(self.met(missing))
+        out = [b"".join(map(self.young.__getitem__, w)) for w in words]
+        for w in missing:
+            if len(w) > LONGEST:
+                del self.young[w]
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
         for i, t in enumerate(texts):
             if b"<|" in t:
                 out[i] = self.encoded([t.decode("utf-8")])[0]
@@ -132,20 +159,24 @@ def histogram(docs: DataFrame, path: str) -> DataFrame:
 
 
 def at_limits(table: DataFrame, limits: list[int]) -> DataFrame:
-    """For each context limit: documents over it and tokens kept under it, read off the histogram."""
-    wanted = table.sparkSession.createDataFrame([(x,) for x in limits], "context_limit long")
-    joined = wanted.join(F.broadcast(table), F.lit(True), "left")
-    inside = F.col("length") <= F.col("context_limit")
-    return joined.groupBy("context_limit").agg(
-        F.coalesce(F.sum(F.when(~inside, F.col("n_docs"))), F.lit(0)).alias("docs_over"),
-        F.coalesce(F.sum(F.least("length", "context_limit") * F.col("n_docs")), F.lit(0)).alias("tokens_kept"),
-    )
+    """(context_limit, docs_over, tokens_kept): documents over each limit and tokens kept under it, in one pass over the histogram."""
+    none = F.lit(0).cast("long")
+    rows = [
+        F.struct(
+            F.lit(limit).cast("long").alias("context_limit"),
+            F.coalesce(F.sum(F.when(F.col("length") > limit, F.col("n_docs"))), none).alias("docs_over"),
+            F.coalesce(F.sum(F.least("length", F.lit(limit).cast("long")) * F.col("n_docs")), none).alias("tokens_kept"),
+        )
+        for limit in limits
+    ]
+    return table.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def length_at(table: DataFrame, shares: list[float]) -> DataFrame:
-    """The least length that at least each share of the documents reaches down to (exact quantiles)."""
-    picks = [F.min(F.when(F.col("share_upto") >= s, F.col("length"))).alias(f"q{i}") for i, s in enumerate(shares)]
-    return table.agg(*picks)
+    """The least length that at least each share of the documents reaches down to (exact quantiles, in whole numbers)."""
+    parts = [Fraction(str(s)) for s in shares]
+    total = F.col("docs_upto") + F.col("docs_over")
+    return table.agg(*(F.min(F.when(F.col("docs_upto") * p.denominator >= total * p.numerator, F.col("length"))).alias(f"q{i}") for i, p in enumerate(parts)))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
