@@ -136,7 +136,7 @@ def test_documents_match_brute_force(spark):
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, n int, component string")
     assert as_map(minhash_dedup.near_duplicates(df)) == brute_documents(rows)
     # Long lists and small blocks reach the same links.
-    assert as_map(minhash_dedup.near_duplicates(df, long_list=4, block=8)) == brute_documents(rows)
+    assert as_map(minhash_dedup.near_duplicates(df, long_list=4, members=8, strays=3)) == brute_documents(rows)
 
 
 def test_documents_query_on_the_table(spark, sf):

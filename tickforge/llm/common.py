@@ -32,25 +32,40 @@ def batched(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share; one of our own only in local mode, where none need be set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _own_dir()
     return base
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
+
+#: Lets Spark delete a write's shuffle files as soon as the write is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, *observed) -> tuple[DataFrame, dict]:
     """df as a Parquet table in the shared folder, and the values of the aggregates in `observed`.
 
-    Cuts lineage and survives lost executors.
+    Cuts lineage and survives lost executors. The write's shuffle files go with it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tickforge-{uuid.uuid4().hex}"
     if observed:
         seen = Observation()
         df = df.observe(seen, *observed)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), (seen.get if observed else {}) | {"path": path}
 
 

@@ -1,41 +1,41 @@
 """MinHash near-dedup with bottom-k sketches of one hash function.
 
-Every document keeps the `k` least hash values of its set of shingles. The `indexed` least of them
-go to inverted lists. Documents with equal sets are first put together; then three passes follow.
-
-1. Each document of a list is paired with the list's smallest document (linear in the lists), the
-   union-sketch estimate picks one such partner per document, and exact Jaccard on the full sets
-   confirms it.
-2. Documents that are mostly made of the values of long lists (`long_list`), such as large groups of near copies, are
-   compared exactly with each other in blocks of those lists; a block returns a spanning forest of its links.
-3. Documents of different components so far that share a short list are paired, the union-sketch
-   estimate filters, exact Jaccard confirms. A document less than `common` of whose indexed values have long
-   lists shares a short one with any partner of similarity 0.75 (missed with probability under 0.42 ** 10).
-
-Pairs inside one component need no comparison, as only components are returned.
+Every document keeps the `k` least hash values of its set of shingles. Documents with equal sets are first put
+together. The `indexed` least values of the others go to inverted lists. Two sets at the threshold have `shared` of
+these values in common at least (all but about one pair in a million; surely, where sets are small), so a document only needs the lists of
+its rarest values, all but `shared` - 1 of them: any such pair still meets in one of them, and a passage that many texts
+share lists none of them unless the text is mostly made of it. Three passes follow.
+
+1. Overlaps in the lists: each document is paired with that list leader (smallest id) with which it shares most
+   lists, so linear in the lists; the union-sketch estimate filters, exact Jaccard on the full sets confirms.
+2. Lists of at most `long_list` documents: pairs of different components so far, the estimate filters, exact
+   Jaccard confirms.
+3. Longer lists: those outside a list's largest component (the strays) are compared with all of the list, in blocks of
+   bounded size. Inside a block the estimate picks who is open, and full sets decide; a block returns a spanning
+   forest of its links, never its pairs.
+
+Pairs inside one component need no comparison, as only components are returned. Tables of a pass are dropped when
+the last reader is done.
 
 Defined results: null or blank text has an empty set and links with nothing; rows with a null
-doc_id link with nothing and are kept; rows that share a doc_id count as one document; an empty
-table gives an empty result; further columns are ignored. Ties have no effect.
+doc_id link with nothing and are kept; rows that share a doc_id count as one document with what any of them links; an empty
+table gives an empty result; very long texts are one row each, taken whole; further columns are ignored. Ties have no effect.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import batched, connected_components, hash_words, mixed, ngram_hashes, read, slices, utf8, written
+from tickforge.llm.common import batched, connected_components, drop_table, hash_words, mixed, ngram_hashes, read, slices, utf8, written
 
 SHINGLE = 5
 SIMILAR = (75, 100)
-#: Shingles of a block's documents together, so that a block of long documents holds fewer of them.
-BLOCK_SHINGLES = 750_000
 #: Flipped, so that the order of hashes is also that of the signed values in sketches.
 SIGN = np.uint64(1 << 63)
 
@@ -82,35 +82,45 @@ def estimated(k: int) -> Column:
     return F.size(both) / F.least(F.lit(k), F.size(union))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-    both = (
-        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        .select("a", "b", "ta", "tb")
-    )
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity; texts (doc_id, text) holds the candidates.
+
+    Only b's text is shuffled with the pair, so b should be the side with fewer pairs.
+    """
+    named = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+    both = pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "ta", 2 << 20, 500):
-            texts: dict[bytes, np.ndarray] = {}
             left, right = utf8(part, "ta"), utf8(part, "tb")
             unseen = list({*left, *right})
-            texts = dict(zip(unseen, shingle_sets(unseen), strict=True))
+            sets = dict(zip(unseen, shingle_sets(unseen), strict=True))
             held = []
             for a, b in zip(left, right, strict=True):
-                a, b = texts[a], texts[b]
+                a, b = sets[a], sets[b]
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 held.append(bool(both) and SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(held))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long")
+
 
+def open_pairs(pairs: DataFrame, sketches_: DataFrame, k: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose union-sketch estimate reaches `least`."""
+    named = lambda x: sketches_.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"))
+    return pairs.join(named("b"), "b").join(named("a"), "a").where(estimated(k) >= least).select("a", "b").distinct()
 
-def with_sketches(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    side = reps.select("doc_id", "sketch")
-    return pairs.join(side.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(side.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
+
+def prefixes(real: DataFrame, copies: DataFrame, indexed: int, shared: int) -> DataFrame:
+    """(value, doc_id, n): the lists each document needs, by its rarest values first."""
+    lone = real.select("doc_id", "n", "h1", "h2", F.slice("sketch", 1, indexed).alias("values"))
+    lone = lone.join(copies.select("doc_id", "h1", "h2"), ["doc_id", "h1", "h2"], "left_anti")
+    posted = lone.select("doc_id", "n", "h1", "h2", F.explode("values").alias("value"))
+    lists = posted.groupBy("value").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    own = posted.join(lists, "value").groupBy("doc_id", "h1", "h2").agg(F.max("n").alias("n"), F.sort_array(F.collect_set(F.struct("docs", "value"))).alias("own"))
+    need = F.least(F.lit(shared), F.ceil(F.least("n", F.lit(indexed)) * (SIMILAR[0] / SIMILAR[1])).cast("int"))
+    more = F.size("own") - need + 1
+    return own.where(more > 0).select("doc_id", "n", F.explode(F.slice("own", 1, F.greatest(more, F.lit(1)))).alias("at")).select(F.col("at.value").alias("value"), "doc_id", "n").distinct()
 
 
 def spanning(near: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -129,123 +139,156 @@ def spanning(near: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def block_links(rows: DataFrame) -> DataFrame:
-    """(a, b): a spanning forest of the exact links within each block of rows (value, band, i, j, side, home, doc_id, n, members).
-
-    Full sets are compared, so nothing is left to confirm, and a block of m documents returns fewer than m rows. Of two
-    documents one at least is at home in the band; in a block of two sides, they are on different sides.
-    """
+def estimates(one: np.ndarray, sets: list[np.ndarray], k: int) -> np.ndarray:
+    """The union-sketch estimate of one sorted sketch against each of a block's sketches, all of k values at most."""
+    sizes = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.searchsorted(one, flat)
+    both = (at < len(one)) & (one[np.minimum(at, len(one) - 1)] == flat)
+    so_far = np.cumsum(both)
+    before = so_far - both - np.append(0, so_far)[np.cumsum(sizes) - sizes][owner]
+    total = np.bincount(owner, both, len(sets))
+    width = np.minimum(k, sizes + len(one) - total)
+    return np.bincount(owner, both & (place + at - before < width[owner]), len(sets)) / width
+
+
+def linked(strays: list[np.ndarray], members: list[np.ndarray]) -> np.ndarray:
+    """Whether each stray's full set (row) and each member's (column) reach the similarity."""
+    sets = strays + members
+    sizes = np.array([len(x) for x in sets], np.int64)
+    values, spot = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.bincount(spot, minlength=len(values)) > 1
+    row = np.repeat(np.arange(len(sets)), sizes)[held[spot]]
+    column = (np.cumsum(held) - 1)[spot[held[spot]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(strays), len(members)), np.float32)
+    for at in range(0, int(held.sum()), 2048):
+        own = slice(*np.searchsorted(column, [at, at + 2048]))
+        table = np.zeros((len(sets), 2048), np.float32)
+        table[row[own], column[own] - at] = 1
+        both += table[: len(strays)] @ table[len(strays) :].T
+    near = (SIMILAR[0] + SIMILAR[1]) * both.astype(np.int64) >= SIMILAR[0] * (sizes[: len(strays), None] + sizes[None, len(strays) :])
+    return near & (both > 0)
+
+
+def block_links(rows: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b): a spanning forest of the links between the strays and the members of each block of rows (value, i, j, stray, doc_id, component, members)."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        ids, sides = block["doc_id"].to_numpy(), block["side"].to_numpy()
-        sizes = np.array([len(x) for x in block["members"]], np.int64)
-        values, spot = np.unique(np.concatenate(block["members"].to_list()), return_inverse=True)
-        held = np.bincount(spot, minlength=len(values)) > 1
-        row = np.repeat(np.arange(len(ids)), sizes)[held[spot]]
-        column = (np.cumsum(held) - 1)[spot[held[spot]]]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        both = np.zeros((len(ids), len(ids)), np.float32)
-        for at in range(0, int(held.sum()), 2048):
-            own = slice(*np.searchsorted(column, [at, at + 2048]))
-            table = np.zeros((len(ids), 2048), np.float32)
-            table[row[own], column[own] - at] = 1
-            both += table @ table.T
-        near = (SIMILAR[0] + SIMILAR[1]) * both.astype(np.int64) >= SIMILAR[0] * (sizes[:, None] + sizes[None, :])
-        near &= both > 0
-        homes = (block["home"] == block["band"]).to_numpy()
-        near &= homes[:, None] | homes[None, :]
-        if block["i"].iat[0] != block["j"].iat[0]:
-            near &= sides[:, None] != sides[None, :]
-        np.fill_diagonal(near, False)
-        edges = spanning(near)
-        child, parent = np.concatenate([ids[c] for c, _ in edges] or [ids[:0]]), np.concatenate([ids[p] for _, p in edges] or [ids[:0]])
+        sets = [np.frombuffer(x, np.uint64) for x in block["members"]]
+        ids, parts, stray = block["doc_id"].to_numpy(), block["component"].to_numpy(), block["stray"].to_numpy()
+        a, b = np.flatnonzero(stray), np.flatnonzero(~stray)
+        none = pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+        if not len(a) or not len(b):
+            return none
+        sketches_ = [x[:k] for x in sets]
+        others = [sketches_[i] for i in b]
+        open_ = np.stack([estimates(sketches_[i], others, k) >= least for i in a]) & (parts[a][:, None] != parts[b][None, :])
+        a, b = a[open_.any(axis=1)], b[open_.any(axis=0)]
+        if not len(a):
+            return none
+        near = linked([sets[i] for i in a], [sets[i] for i in b]) & (ids[a][:, None] != ids[b][None, :])
+        square = np.zeros((len(a) + len(b),) * 2, bool)
+        square[: len(a), len(a) :] = near
+        square[len(a) :, : len(a)] = near.T
+        edges, names = spanning(square), ids[np.append(a, b)]
+        child, parent = (np.concatenate([names[e[side]] for e in edges] or [ids[:0]]) for side in (0, 1))
         return pd.DataFrame({"a": np.minimum(child, parent), "b": np.maximum(child, parent)})
 
-    return rows.groupBy("value", "band", "i", "j").applyInPandas(run, "a long, b long")
+    return rows.groupBy("value", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, members) of the documents in ids (doc_id)."""
+def full_sets(texts: DataFrame) -> DataFrame:
+    """(doc_id, members) of texts (doc_id, text): the sorted hashes of the whole set, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 2 << 20):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in shingle_sets(utf8(part, "text"))], pa.list_(pa.int64()))], ["doc_id", "members"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(utf8(part, "text"))], pa.binary())], ["doc_id", "members"])
+
+    return texts.mapInArrow(run, "doc_id long, members binary")
 
-    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, members array<long>").dropDuplicates(["doc_id"])
 
+def blocks_of(long: DataFrame, sets: DataFrame, members: int, strays: int, shingles: int) -> DataFrame:
+    """Rows of block_links for lists (value, doc_id, n, component, main, docs, away, longest): every stray of a list meets all of the list in some block.
 
-def near_duplicates(docs: DataFrame, k: int = 64, indexed: int = 16, long_list: int = 64, common: float = 0.4, long_keys: int = 8, slack: float = 0.3, block: int = 1024) -> DataFrame:
+    A block has about `members` documents and `strays` strays, fewer where sets are large (`shingles` together).
+    """
+    stray = F.col("component") != F.col("main")
+    sides = lambda count, most: F.ceil(F.greatest(count / most, count * F.col("longest") / shingles)).cast("int")
+    rows = long.withColumn("p", sides(F.col("docs"), members)).withColumn("q", sides(F.col("away"), strays))
+    side = lambda count: F.pmod(F.xxhash64("doc_id"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    keys = ["value", "doc_id", "component"]
+    as_member = rows.select(*keys, F.lit(False).alias("stray"), side("p").alias("j"), every("q").alias("i"))
+    as_stray = rows.where(stray).select(*keys, F.lit(True).alias("stray"), every("p").alias("j"), side("q").alias("i"))
+    return as_member.unionByName(as_stray).join(sets, "doc_id")
+
+
+def near_duplicates(docs: DataFrame, k: int = 64, indexed: int = 16, shared: int = 6, slack: float = 0.25, long_list: int = 64, members: int = 2048, strays: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents (doc_id, text).
 
-    k: values retained in a sketch; indexed: of them, those with inverted lists; long_list: a list
-    with more documents is long; common: share of long lists from which a document is also
-    compared within long ones; long_keys: of the long lists of such a document, those in which it is
-    compared (the least by one order of all values); slack: how far under the threshold (by the estimate) exact checks go
-    (five standard deviations at k = 64); block: documents of a long list compared at a time.
+    k: values retained in a sketch; indexed: of them, those with inverted lists; shared: of these, what a pair at the
+    threshold has in common at least; slack: how far under the threshold (by the estimate) exact checks go
+    (4.6 standard deviations at k = 64); long_list: a list with more documents is compared in blocks of
+    `members` documents by `strays` strays.
     """
     spark = docs.sparkSession
     docs = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     least = SIMILAR[0] / SIMILAR[1] - slack
-    rows, _ = written(sketches(docs, k))
-    real = rows.where("doc_id is not null and n > 0")
-    alike = real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    members, _ = written(real.select("doc_id", "h1", "h2", "n").join(alike, ["h1", "h2", "n"]).select("doc_id", "rep", "n"))
-    reps = rows.where("doc_id is not null and n > 0").join(members.where("doc_id = rep").select("doc_id", "n"), ["doc_id", "n"], "left_semi").select("doc_id", "n", "sketch")
-    reps, _ = written(reps)
-
-    # Inverted lists, without values that one document alone has.
-    posted = reps.select("doc_id", "n", F.explode(F.slice("sketch", 1, indexed)).alias("value"))
-    lists = posted.groupBy("value").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").drop("last")
-    posted, _ = written(posted.join(lists, "value").select("value", "doc_id", "n", "docs", "leader"))
-
-    # Pass 1: the best of the lists' leaders for each document.
-    stars = posted.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = with_sketches(stars, reps).withColumn("estimate", estimated(k)).where(F.col("estimate") >= least)
-    stars = stars.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
-    first = confirmed(stars.select("a", "b"), docs)
-    same = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-
-    # Pass 2: documents that are mostly made of long lists' values, compared exactly in blocks of those lists.
-    share = posted.groupBy("doc_id").agg(F.sum(F.when(F.col("docs") > long_list, 1).otherwise(0)).alias("long"), F.max("n").alias("size"))
-    share = share.where(F.col("long") >= common * F.least(F.col("size"), F.lit(indexed))).select("doc_id")
-    heavy = posted.where(F.col("docs") > long_list).join(share, "doc_id", "left_semi")
-    heavy = heavy.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("value"), "value"))).where(F.col("place") <= long_keys)
-    # Similar sets' sizes lie in one band of ratio 4/3 or in neighbours: each document also visits the next band.
-    heavy = heavy.withColumn("home", F.floor(F.log("n") / math.log(SIMILAR[1] / SIMILAR[0])).cast("int"))
-    heavy = heavy.withColumn("band", F.explode(F.array("home", F.col("home") + 1))).select("value", "band", "home", "doc_id", "n")
-    heavy, _ = written(heavy)
-    blocks = heavy.groupBy("value", "band").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("longest"), F.max("home").alias("top")).where("held > 1 and top = band")
-    sides = F.ceil(F.greatest(F.col("held") / block, F.col("held") * F.col("longest") / F.lit(BLOCK_SHINGLES))).cast("int")
-    heavy = heavy.join(blocks.select("value", "band", sides.alias("blocks")), ["value", "band"])
-    sets = full_sets(docs, heavy.select("doc_id").distinct())
-    heavy = heavy.withColumn("side", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).join(sets, "doc_id")
-    heavy = heavy.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    heavy = heavy.select("value", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "home", "doc_id", "n", "members")
-    first, _ = written(first.union(block_links(heavy)))
-    parts, _ = written(connected_components(first))
-
-    # Pass 3: what lies in different components yet shares a short list.
-    posted = posted.where(F.col("docs") <= long_list).join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed_lists = posted.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
-    short, _ = written(posted.join(mixed_lists, "value", "left_semi").select("value", "doc_id", "n", "component"))
-    left = short.select("value", *(F.col(c).alias(f"l_{c}") for c in ("doc_id", "n", "component")))
-    right = short.select("value", *(F.col(c).alias(f"r_{c}") for c in ("doc_id", "n", "component")))
-    pairs = (
-        left.join(right, "value")
-        .where("l_doc_id < r_doc_id and l_component <> r_component and 100 * l_n >= 75 * r_n and 100 * r_n >= 75 * l_n")
-        .select(F.col("l_doc_id").alias("a"), F.col("r_doc_id").alias("b"))
-        .distinct()
-    )
-    second = confirmed(with_sketches(pairs, reps).where(estimated(k) >= least).select("a", "b"), docs)
+    spent: list[str] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        table, seen = written(df)
+        spent.append(seen["path"])
+        return table
 
-    links = first.union(second).union(same)
-    parts, _ = written(connected_components(links))
-    return (
+    rows = kept(sketches(docs, k))
+    real = rows.where("doc_id is not null and n > 0")
+    alike = real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    copies = kept(real.select("doc_id", "h1", "h2", "n").join(alike, ["h1", "h2", "n"]).where("doc_id <> rep").select("doc_id", "h1", "h2", "rep"))
+    posts = kept(prefixes(real, copies, indexed, shared))
+    leaders = posts.groupBy("value").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("value", "leader")
+    posts = kept(posts.join(leaders, "value"))
+    candidates = kept(posts.select("doc_id").distinct())
+    texts = kept(docs.join(candidates, "doc_id", "left_semi"))
+    values = kept(real.select("doc_id", "sketch").join(candidates, "doc_id", "left_semi"))
+
+    # Pass 1: the leader that a document shares most lists with.
+    stars = posts.where("doc_id <> leader").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
+    stars = stars.groupBy("b").agg(F.max_by("a", F.struct("lists", -F.col("a"))).alias("a"))
+    first = kept(confirmed(open_pairs(stars, values, k, least), texts))
+    parts = kept(connected_components(first))
+
+    # What is left: lists with documents of more than one component.
+    named = posts.select("value", "doc_id", "n").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    each = named.groupBy("value", "component").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("longest"))
+    mixed_lists = each.groupBy("value").agg(F.max_by("component", F.struct("held", -F.col("component"))).alias("main"), F.sum("held").alias("docs"), (F.sum("held") - F.max("held")).alias("away"), F.max("longest").alias("longest")).where("away > 0")
+    mixed = kept(named.join(mixed_lists, "value"))
+
+    # Pass 2: short lists, by pairs.
+    side = lambda x: mixed.where(F.col("docs") <= long_list).select("value", *(F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "n", "component")))
+    pairs = side("l").join(side("r"), "value").where("l_doc_id < r_doc_id and l_component <> r_component and 100 * l_n >= 75 * r_n and 100 * r_n >= 75 * l_n")
+    pairs = pairs.select(F.col("l_doc_id").alias("a"), F.col("r_doc_id").alias("b")).distinct()
+    second = kept(confirmed(open_pairs(pairs, values, k, least), texts))
+
+    # Pass 3: long lists, in blocks.
+    long = mixed.where(F.col("docs") > long_list)
+    sets = full_sets(texts.join(long.select("doc_id").distinct(), "doc_id", "left_semi"))
+    third = kept(block_links(blocks_of(long, sets, members, strays, 1_500_000), k, least))
+
+    same = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    parts = kept(connected_components(first.union(second).union(third).union(same)))
+    out = (
         rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+    out, _ = written(out)
+    for path in spent:
+        drop_table(spark, path)
+    return out
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
