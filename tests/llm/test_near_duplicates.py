@@ -62,6 +62,32 @@ def test_embeddings_match_brute_force(spark):
     assert got == brute_vectors(as_float)
 
 
+def test_thousands_of_vectors_around_the_threshold(spark):
+    draw = np.random.default_rng(11)
+    dim, rows = 32, []
+    for clump in range(150):  # spread so that cosines within a clump lie on both sides of 0.98
+        centre = draw.normal(size=dim)
+        for _ in range(20):
+            rows.append((len(rows), (centre + draw.uniform(0.03, 0.25) * draw.normal(size=dim)).tolist(), clump % 2))
+    rows += [(len(rows) + i, draw.normal(size=dim).tolist(), i % 2) for i in range(1500)]
+    rows += [(10_000 + i, rows[i][1], rows[i][2]) for i in range(0, 200, 10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df).collect()}
+    ids, label = [r[0] for r in rows], np.array([r[2] for r in rows])
+    unit = embedding_dedup.units(np.array([r[1] for r in rows]))
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    comp = components(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(near)), strict=True)])
+    assert near.sum() > 10_000
+    assert got == {i: (int(n), comp[i], comp[i] == i) for i, n in zip(ids, near.sum(axis=1), strict=True)}
+
+
+def test_embeddings_repeated_vec_ids(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.001], 1), (None, [1.0, 0.0], 1), (3, [0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(rows).collect()), key=str)
+    assert got == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True), (None, 3, None, True)]
+
+
 def test_embedding_query_on_the_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.op1(spark, sf).collect()}
