@@ -1,22 +1,25 @@
 """Quality rules whose cutoffs are learnt with a limit on false rejections.
 
-Each rule scores a document; a document is rejected by a rule if its score lies over the rule's
-cutoff in the document's stratum (band of word counts). Cutoffs come from labelled documents:
-going from the laxest cutoff of a fixed grid to the strictest, one is certified as long as the exact
-binomial test rejects "more than `alpha` / rules of good documents are lost" at level `delta` /
-(rules * strata). Within a rule and stratum the fixed sequence needs no further correction; across them
-Bonferroni's holds. Of the certified cutoffs, the laxest of those that reject the most bad documents is
-taken; where none is certified or none rejects a bad document, the rule does not act.
+Each rule scores a document; a document is rejected if one of its scores lies over that rule's
+cutoff in the document's stratum (band of word counts). Labelled documents that pass the base rule are split by hash. On
+one third a path of cutoffs is laid for each stratum: from no cutoffs, always the tightening that rejects most
+further bad documents per further good one. On the other two thirds the path is walked, and a step is certified as long as the exact
+binomial test rejects "more than `alpha` of the stratum's good documents are lost" at level `delta` / strata. The test
+is of all rules' losses together, so rules need no correction; along a path the fixed sequence needs none; across strata
+Bonferroni's holds. The last certified step's cutoffs act. With probability 1 - delta no stratum loses more than `alpha`.
+
+A stratum needs log(strata / delta) / -log(1 - alpha) good documents among the two thirds at least (80 at alpha and
+delta of 0.05, about 120 in all); with fewer, the base rule alone acts there.
 
 Defined results: null or blank text has counts of 0 and fails the base rule; without labels only the
-base rule acts; labels that are null or clash within a doc_id are not used; repeated rows are judged
+base rule acts; labels that are null or clash within a doc_id are not used; a labelled doc_id counts once, however many
+rows it has (the one of the greatest counts); repeated rows and null ids are judged
 each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +35,14 @@ SYMBOLS = "#*$%&|<>"
 WHITE = "\t\n\x0b\x0c\r "
 #: Lower ends of the strata, in words.
 BANDS = (0, 200, 1000)
+#: Cutoffs of a rule.
+STEPS = 12
 #: Each rule's score, and its cutoffs from strict to lax.
 RULES = {
-    "symbols": ("n_symbols / greatest(word_chars, 1)", [0.005 * 1.35**i for i in range(18)]),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.05 * i for i in range(1, 19)]),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", [0.05 * i for i in range(1, 19)]),
-    "word_length": ("word_chars / greatest(n_words, 1)", [5.0 * 1.12**i for i in range(18)]),
+    "symbols": ("n_symbols / greatest(word_chars, 1)", [0.005 * 1.6**i for i in range(STEPS)]),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.075 * i for i in range(1, STEPS + 1)]),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", [0.04 * i for i in range(1, STEPS + 1)]),
+    "word_length": ("word_chars / greatest(n_words, 1)", [5.0 * 1.19**i for i in range(STEPS)]),
 }
 
 
@@ -86,40 +91,67 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return math.exp(top) * math.fsum(math.exp(x - top) for x in logs)
 
 
-def certified(good: list[int], bad: list[int], limit: float, level: float) -> int | None:
-    """Index of the cutoff to take. good, bad: documents by how many cutoffs their score exceeds (0 to all)."""
-    total, best, most = sum(good), None, 0
-    for i in range(len(good) - 2, -1, -1):
-        lost, caught = sum(good[i + 1 :]), sum(bad[i + 1 :])
-        if not total or lost > limit * total or binomial_tail(lost, total, limit) > level:
+def path(over: np.ndarray, good: np.ndarray, bad: np.ndarray, alpha: float) -> list[tuple[int, ...]]:
+    """Cutoff indices per rule (STEPS: none), from lax to strict.
+
+    over: a row per kind of document, a column per rule: how many of the rule's cutoffs its score exceeds; good, bad: documents of the kind.
+    A cutoff index i rejects kinds with over > i. Ends where the good ones lost here pass alpha, or nothing bad is left to reject.
+    """
+    state, steps = (STEPS,) * over.shape[1], []
+    while True:
+        left = ~(over > np.array(state)).any(axis=1)
+        best = None
+        for rule in range(over.shape[1]):
+            for i in range(state[rule] - 1, -1, -1):
+                more = left & (over[:, rule] > i)
+                caught, lost = int(bad[more].sum()), int(good[more].sum())
+                if caught and (best is None or (caught / (lost + 1), caught, -rule, i) > best[0]):
+                    best = (caught / (lost + 1), caught, -rule, i), (*state[:rule], i, *state[rule + 1 :])
+        if best is None:
+            return steps
+        state = best[1]
+        steps.append(state)
+        if good[(over > np.array(state)).any(axis=1)].sum() > alpha * good.sum():
+            return steps
+
+
+def certified(steps: list[tuple[int, ...]], over: np.ndarray, good: np.ndarray, alpha: float, level: float) -> tuple[int, ...] | None:
+    """The last step that the exact test passes, with all before it."""
+    total, best = int(good.sum()), None
+    for state in steps:
+        lost = int(good[(over > np.array(state)).any(axis=1)].sum())
+        if not total or lost > alpha * total or binomial_tail(lost, total, alpha) > level:
             break
-        if caught > most:
-            best, most = i, caught
+        best = state
     return best
 
 
-def learnt(features: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> dict[tuple[int, str], float]:
-    """(stratum, rule) to cutoff."""
+def learnt(features: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> dict[tuple[int, str], float]:
+    """(stratum, rule) to cutoff.
+
+    What the driver gets is a count for each kind of labelled document: fewer than (STEPS + 1) ** rules * strata * 4.
+    """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("q2")).where("quality = q2")
-    rows = features.join(known, "doc_id").select(
-        "stratum",
-        F.col("quality") == 1,
-        F.posexplode(F.array(*(sum((F.expr(score) > c).cast("int") for c in cuts) for score, cuts in RULES.values()))),
-    ).toDF("stratum", "good", "rule", "over")
-    found = rows.groupBy("stratum", "rule", "over", "good").agg(F.count(F.lit(1)).alias("n")).collect()
-    tables: dict = defaultdict(lambda: [[0] * 19, [0] * 19])
-    for r in found:
-        tables[r["stratum"], r["rule"]][0 if r["good"] else 1][r["over"]] += r["n"]
-    names = list(RULES)
+    overs = F.array(*(sum((F.expr(score) > c).cast("int") for c in cuts) for score, cuts in RULES.values()))
+    rows = features.join(known, "doc_id").groupBy("doc_id").agg(F.max(F.struct("n_words", "stratum", overs.alias("over"))).alias("d"), F.first("quality").alias("quality"))
+    tuning = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(3)) == 0
+    found = rows.groupBy(F.col("d.stratum").alias("stratum"), tuning.alias("tuning"), F.col("d.over").alias("over")).agg(F.count(F.when(F.col("quality") == 1, 1)).alias("good"), F.count(F.when(F.col("quality") != 1, 1)).alias("bad")).collect()
     out = {}
-    for (stratum, rule), (good, bad) in tables.items():
-        i = certified(good, bad, alpha / len(RULES), delta / (len(RULES) * len(BANDS)))
-        if i is not None:
-            out[stratum, names[rule]] = RULES[names[rule]][1][i]
+    for stratum in range(len(BANDS)):
+        of = lambda half: sorted((tuple(r["over"]), r["good"], r["bad"]) for r in found if r["stratum"] == stratum and r["tuning"] == half)
+        here, there = of(True), of(False)
+        if not here or not there:
+            continue
+        columns = lambda rows: (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+        over, good, _ = columns(there)
+        state = certified(path(*columns(here), alpha), over, good, alpha, delta / len(BANDS))
+        for (name, (_, cuts)), i in zip(RULES.items(), state or (), strict=False):
+            if i < STEPS:
+                out[stratum, name] = cuts[i]
     return out
 
 
-def judged(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Counts, base_failed, kept and the first rule that rejects each document."""
     stratum = sum((F.col("n_words") >= b).cast("int") for b in BANDS[1:])
     features, _ = written(counts(docs).withColumn("stratum", stratum).withColumn("base_failed", F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words")))

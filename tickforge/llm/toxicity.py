@@ -1,14 +1,15 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A document's features are binary: the hashed words, word pairs and pairs that skip up to `SKIP`
-words, lower-cased (A-Z). Per-coordinate learning rates and the L1 term leave few non-zero weights,
+words, lower-cased (A-Z), whole texts; pairs that skip one word and two are one feature. Per-coordinate learning rates and the L1 term leave few non-zero weights,
 which are broadcast (at most 2 ** BITS of them).
 
 Training takes a sample of labelled rows of at most `most_rows` documents (those of least
 xxhash64(doc_id), half of either label at most where enough are there), so it is bounded at any size.
 
 Defined results: null or empty text is scored by the intercept; with no labelled rows, every score
-is 0 (predicted 0); null labels are not learnt from; repeated rows are scored each; rows with a null
+is 0 (predicted 0); null labels are not learnt from, of labels that clash within a doc_id the toxic one counts;
+repeated rows are scored each (and learnt from each); rows with a null
 doc_id are scored and not held out; further columns are ignored.
 """
 
@@ -102,10 +103,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12000, alpha: flo
     return got["at"].to_numpy(np.int64), got["w"].to_numpy(np.float64)
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """docs (doc_id, text, ...) with score double; other columns stay."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str = "score") -> DataFrame:
+    """docs (text, ...) with the score as a double column `name`, which replaces one of that name; other columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = batched(docs).columns
+    docs = batched(docs).drop(name)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = shared.value
@@ -116,9 +118,9 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             doc, found = features(utf8(part, "text"), wanted)
             total = np.bincount(doc, weights[found], part.num_rows) + weights[-1]
             score = 1 / (1 + np.exp(-np.clip(total, -35, 35))) if len(at) else np.zeros(part.num_rows)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def held_out() -> Column:
