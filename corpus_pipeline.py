@@ -3,6 +3,12 @@
 Each stage takes what its predecessor kept and returns the columns of documents; the last returns the packed
 pieces. Toxic documents go, boilerplate lines of a source go, one document of each group of near-duplicates stays,
 personal data is written as its kind in angle brackets, and what is left is packed.
+
+Defined results: rows with a null text are kept up to packing, where they are the end id alone (null texts are no
+copies of each other); rows with a null source keep all their lines; rows with a null doc_id are judged and packed, but no
+copies of others; rows that share a doc_id are one document to the near-duplicate stage and rows of their own to the
+others; without labels no document is toxic; an empty table gives an empty result; further columns stay up to packing, whatever
+their names; n_chars is counted anew where a stage changes texts.
 """
 
 from __future__ import annotations
@@ -34,11 +40,14 @@ def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     model = trained(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return scored(docs, model).where("score < 0.5").select(*columns)
+    name = "score"
+    while name in columns:
+        name = f"_{name}"
+    return scored(docs, model, name).where(F.col(name) < 0.5).select(*columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _sized(without_boilerplate(docs, "source", "text", LINE_RATIO, 20, LINE_LEAST, LONG_WORDS), docs.columns)
+    return _sized(without_boilerplate(docs, "source", "text", LINE_RATIO, 20, LINE_LEAST, LONG_WORDS, counts=False), docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
