@@ -41,15 +41,34 @@ def brute_phrases(text, corpus):
     return n
 
 
-def test_parse_equals_brute_force():
+@pytest.mark.parametrize("width", [8, 1000])
+def test_parse_equals_brute_force(width):
+    """Dense and hashed automata, texts of less than a window, of a window's length and of many windows."""
     draw = np.random.default_rng(1)
-    corpus = draw.integers(2, 5, 400).tolist()
-    width = 8
-    steps = language_id.steps_of(language_id.automaton(corpus), width)
-    text = draw.integers(2, 6, 200)
-    joined = "".join(map(chr, [c + 60 for c in corpus]))
-    got = language_id.parsed(text.astype(np.uint8)[:, None], np.array([200]), steps, width)[0]
-    assert got == brute_phrases("".join(chr(int(c) + 60) for c in text), joined)
+    letter = "".join(map(chr, range(0x4E00, 0x4E00 + width - 2)))
+    steps = language_id.Steps(language_id.automaton(corpus := draw.integers(2, width, 3000).tolist()), width)
+    joined = "".join(letter[c - 2] for c in corpus)
+    stretch = lambda n: "".join(joined[i : i + int(draw.integers(1, 400))] + letter[int(draw.integers(0, width - 2))] for i in draw.integers(0, 2900, n))
+    texts = ["", joined[5:60], joined[:256], stretch(3), stretch(40), joined * 2, "z" * 300 + stretch(9)]
+    cut = language_id.Windows(texts)
+    symbols = np.array([ord(c) for c in letter])
+    got = cut.phrases(cut.board(language_id.classes(symbols)), steps)
+    assert got.tolist() == [brute_phrases(t, joined) for t in texts]
+
+
+def test_languages_of_many_letters_and_text_behind_a_long_head(spark):
+    draw = np.random.default_rng(2)
+    scripts = {"aa": [chr(0x4E00 + i) for i in range(600)], "bb": [chr(0x4E00 + i) for i in range(300, 900)], "cc": list("abcdefghij")}
+    words = {lang: ["".join(draw.choice(own, int(draw.integers(1, 4)))) for _ in range(400)] for lang, own in scripts.items()}
+    text = lambda lang, n: "".join(draw.choice(words[lang], n))
+    # Every text begins alike; what tells its language comes after 5,000 characters.
+    rows = [(i, "0 " * 2500 + text(lang, 300), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 60)]
+    got = language_id.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {i: lang for i, _, lang in rows}
+    held = [r for r in got if r["held_out"]]
+    assert len(held) > 20 and sum(r["lang_pred"] == want[r["doc_id"]] for r in held) >= 0.95 * len(held)
+    again = language_id.identified(spark.createDataFrame([*rows, *rows[:5], (None, text("cc", 50), "cc")], "doc_id long, text string, lang string"))
+    assert again.count() == len(rows) + 6
 
 
 def test_language_accuracy_on_held_out(spark, sf):
@@ -222,6 +241,12 @@ def test_disguises_map_to_source_characters(text, kind, covered):
         ("write to jane.doe at example.com today", "email", "jane.doe at example.com"),
         ("écrire à jane arobase exemple.fr vite", "email", "jane arobase exemple.fr"),
         ("a jane arroba mail.ejemplo.es hoy", "email", "jane arroba mail.ejemplo.es"),
+        ("ask jane four two at example dot com now", "email", "jane four two at example dot com"),
+        ("ask jane four two [at] example.com now", "email", "jane four two [at] example.com"),
+        ("ask 𝐣𝐚𝐧𝐞@𝐞𝐱𝐚𝐦𝐩𝐥𝐞.𝐜𝐨𝐦 now", "email", "𝐣𝐚𝐧𝐞@𝐞𝐱𝐚𝐦𝐩𝐥𝐞.𝐜𝐨𝐦"),
+        ("ask ⓙⓐⓝⓔ at ⓔⓧⓐⓜⓟⓛⓔ dot com now", "email", "ⓙⓐⓝⓔ at ⓔⓧⓐⓜⓟⓛⓔ dot com"),
+        ("call +⁴⁹ ³⁰ one two three four five six now", "phone", "+⁴⁹ ³⁰ one two three four five six"),
+        ("host 192 dot 168 dot ① dot five end", "ip", "192 dot 168 dot ① dot five"),
     ],
 )
 def test_few_spelled_digits_and_bare_at(text, kind, covered):
@@ -239,6 +264,29 @@ def test_plain_prose_is_left_alone():
         assert pii.spans_of(text) == ([], [])
 
 
+def test_planted_disguises_are_found():
+    """Recall over made disguises of each kind, at random places of prose, and no other span."""
+    draw = np.random.default_rng(6)
+    names, homes = ["jane", "joe.doe", "m_smith", "anna"], ["example.com", "mail.example.org", "firma.de"]
+    prose = "the river ran under the old bridge and nobody came to see it".split()
+    style = lambda t, base: "".join(chr(base + ord(c) - 97) if c.islower() else c for c in t)
+    words = {v: k for k, v in [*pii.SPELLED.items()][:10]}
+    spell = lambda digits: " ".join(words[d] for d in digits)
+    found = made = 0
+    for _ in range(400):
+        name, home = str(draw.choice(names)), str(draw.choice(homes))
+        number = "49" + "".join(map(str, draw.integers(0, 10, 9)))
+        kind, text = [
+            ("email", f"{name.replace('.', ' dot ')} at {home.replace('.', ' dot ')}"), ("email", f"{name} [at] {home.replace('.', ' [dot] ')}"), ("email", f"{name}@{home}".replace("a", "а").replace("e", "е")),
+            ("email", style(f"{name}@{home}", 0x1D41A)), ("email", f"{name}\u200b@\u200b{home}"), ("phone", f"plus {spell(number)}"), ("phone", f"＋{number}"), ("ip", " dot ".join(str(x) for x in draw.integers(1, 256, 4))),
+        ][int(draw.integers(0, 8))]
+        before, after = " ".join(draw.choice(prose, 5)), " ".join(draw.choice(prose, 5))
+        base, new = pii.spans_of(f"{before}, {text}; {after}")
+        made += 1
+        found += [(pii.KINDS[k], s, e) for s, k, e in sorted(base + new)] == [(kind, len(before) + 2, len(before) + 2 + len(text))]
+    assert found >= 0.98 * made, (found, made)
+
+
 def test_pii_query(spark, docs):
     rows = docs + [(10**6 + i, t) for i, t in enumerate(ODD + TRICKY)]
     got = {r["doc_id"]: r for r in pii.found(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_email int")).collect()}
@@ -251,6 +299,9 @@ def test_pii_query(spark, docs):
         assert {f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans} <= set(own)
     cleaned = pii.redact(spark.createDataFrame([(1, "mail a@b.co or +49 30 1234567"), (2, None)], "doc_id long, text string")).collect()
     assert [r["text"] for r in cleaned] == ["mail <email> or <phone>", None]
+    again = pii.found(spark.createDataFrame([(None, "a@b.co"), (None, "a@b.co"), (3, None)], "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_email"], r["spans"]) for r in again) == [("3", 0, ""), ("None", 1, "email:0:6"), ("None", 1, "email:0:6")]
+    assert pii.found(spark.createDataFrame([], "doc_id long, text string, spans string")).collect() == []
 
 
 # SentencePiece
@@ -296,14 +347,43 @@ def test_every_segmentation_comes_once():
     assert {tuple(o[0].tolist()) for o in own} == set(want) and len(own) == len(want)
 
 
+def test_long_units_keep_every_edge():
+    """A unit of thousands of letters: node by node, the chances are those of an exact recursion over all edges."""
+    path = tokens.vocabulary_path(sentencepiece_codec.MODEL)
+    words = sentencepiece_codec.vocabulary(path)
+    weight = {b.decode(): words.weights[i] for i, b in enumerate(words.surface) if b and i not in words.bytes_of}
+    draw = np.random.default_rng(8)
+    text = "".join(draw.choice(list("thequickbrownfox"), 3000)) + "鿕" * 40  # the last letter is no piece
+    units = sentencepiece_codec.Units(words, [text])
+    lattice = sentencepiece_codec.Lattice(words, units.codes, units.sizes)
+    assert len(units.sizes) == 1
+    whole = " " + text
+    byte = math.prod(words.weights[words.bytes_of[b]] for b in "鿕".encode())
+    behind = [0.0] * len(whole) + [0.0]  # logarithms
+    for i in range(len(whole) - 1, -1, -1):
+        terms = [math.log(weight[whole[i:j]]) + behind[j] for j in range(i + 1, min(len(whole), i + words.longest) + 1) if whole[i:j] in weight]
+        terms = terms or [math.log(byte) + behind[i + 1]]
+        behind[i] = max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms))
+    for i in (0, 1, 63, 64, 65, 1000, 2990):
+        own = range(int(lattice.first[i]), int(lattice.first[i + 1]))
+        assert abs(sum(lattice.chance[e] for e in own) - 1) < 1e-9
+        for e in own:
+            j = int(lattice.to[e])
+            assert abs(lattice.chance[e] - math.exp(math.log(weight[whole[i:j]]) + behind[j] - behind[i])) < 1e-9
+    (samples,) = sentencepiece_codec.segmented([text], sentencepiece_codec.row_keys([1]), path, 2)
+    assert all(sentencepiece_codec.decoded(ids, path).decode() == text for ids, *_ in samples) and samples[0][0].tolist() != samples[1][0].tolist()
+
+
 def test_round_trip(spark, docs):
     path = tokens.vocabulary_path(sentencepiece_codec.MODEL)
     rows = docs[:60] + [(10**6 + i, t) for i, t in enumerate(ODD)] + [(None, "null id")]
     coded = sentencepiece_codec.encoded(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, ids string"), path, 3)
+    assert all(r["round_trip"] for r in coded.select("round_trip").collect())
     back = defaultdict(list)
     for r in sentencepiece_codec.texts_of(coded, path).collect():
         back[r["doc_id"]].append(r["text"])
     assert all(t == (text or "") for doc, text in rows for t in back[doc]) and set(back) == {d for d, _ in rows}
+    assert sentencepiece_codec.encoded(spark.createDataFrame([], "doc_id long, text string, sample int"), path).collect() == []
     again = sentencepiece_codec.encoded(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3), path, 3)
     assert sorted(map(str, coded.drop("ids").collect())) == sorted(map(str, again.drop("ids").collect()))
 
@@ -469,9 +549,48 @@ def test_toxicity_on_held_out(spark, sf):
     assert sum(r["predicted"] == labels[r["doc_id"]] for r in known) >= 0.9 * len(known)
 
 
+def test_features_and_weights_equal_a_plain_loop():
+    """FTRL-proximal as published, one coordinate at a time, over features that are told apart by their words."""
+    texts = ["You are a fool, a FOOL", "a fine day", "fool you", "what a day it is", "you fool", "fine"] * 4
+    labels = [1, 0, 1, 0, 1, 0] * 4
+    doc, at = toxicity.features([t.encode() for t in texts])
+    sets = [sorted(set(at[doc == i].tolist())) for i in range(len(texts))]
+
+    def named(text):
+        words = [w.strip(".,:;!?\"'()[]") for w in text.lower().split()]
+        return set(words) | {(a, b, min(g, 2)) for g in (1, 2, 3) for a, b in zip(words, words[g:], strict=False)}
+
+    assert [len(x) for x in sets] == [len(named(t)) for t in texts]
+    alpha, beta, l1, l2, epochs = 1.0, 1.0, 0.4, 0.1, 3
+    z, n, bias = Counter(), Counter(), 1 << toxicity.BITS
+
+    def weight(i):
+        if abs(z[i]) <= (0 if i == bias else l1):
+            return 0.0
+        return -(z[i] - math.copysign(0 if i == bias else l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for own, y in zip(sets, labels, strict=True):
+            w = {i: weight(i) for i in [*own, bias]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in w:
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    got = dict(zip(*(x.tolist() for x in toxicity.ftrl([(np.array([*own, bias]), y) for own, y in zip(sets, labels, strict=True)], alpha, beta, l1, l2, epochs)), strict=True))
+    want = {i: weight(i) for i in z if weight(i)}
+    assert got.keys() == want.keys() and all(abs(got[i] - w) < 1e-9 for i, w in want.items())
+
+
 def test_toxicity_edge_cases(spark):
     docs = odd(spark)
     none = toxicity.classified(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert len(none) == len(ODD) + 1 and {(r["score"], r["predicted"]) for r in none} == {(0.0, 0)}
     some = toxicity.classified(docs, spark.createDataFrame([(4, 1), (5, 0), (6, None), (None, 1)], "doc_id long, toxic int")).collect()
     assert all(0 <= r["score"] <= 1 for r in some)
+    both = toxicity.train(docs, spark.createDataFrame([(4, 1), (4, 0), (5, 0)], "doc_id long, toxic int"))
+    toxic = toxicity.train(docs, spark.createDataFrame([(4, 1), (5, 0)], "doc_id long, toxic int"))
+    assert all((a == b).all() for a, b in zip(both, toxic, strict=True))  # of clashing labels the toxic one counts
+    named = toxicity.scored(docs, toxic)
+    assert named.columns == ["doc_id", "text", "lang", "score"] and toxicity.scored(docs, toxic, "t").columns == [*docs.columns, "t"]
+    assert toxicity.scored(docs.union(docs), toxic).count() == 2 * docs.count() and toxicity.scored(docs.limit(0), toxic).collect() == []

@@ -5,23 +5,26 @@ longest matches, as in Ziv-Merhav cross-parsing: a phrase ends where the automat
 one starts there. Phrases times log2 of the automaton's text length, over the text's length, estimate the cross
 entropy; the language with the least wins, ties go to the name that sorts first.
 
-Texts are lower-cased (Unicode); letters that the labelled text holds are symbols of their own (the most frequent
-ones of all languages, SYMBOLS at most), all other letters are one symbol that no automaton has, and whatever is no
-letter is one more symbol. Whole texts are parsed, in windows of WINDOW characters that all advance
-together; a phrase also ends at a window's end.
+Texts are lower-cased (Unicode); letters that a language's labelled text holds are symbols of their own to its automaton, all other
+letters are one symbol that it never has, and whatever is no letter is one more symbol. Whole texts are parsed,
+in windows of WINDOW characters that all advance together: a window starts in the state in which the one before it ended,
+and where that state turns out otherwise than taken at first, the window is parsed again. So the phrases are exactly those of one pass over the text.
 
-Training takes `most_chars` characters of a language at most, out of `most_rows` documents or so (those of least
-hash), so it is bounded at any size; everything that is labelled is counted.
+An automaton is a dense table of states by symbols where the languages' letters together are DENSE or fewer, and otherwise a hash
+table of its transitions, which is of the size of the labelled text whatever the script.
+
+Training takes `most_chars` characters of a language at most, out of about `most_rows` documents (those of least
+hash), and from each of these `passages` stretches of `passage` characters evenly over the whole text (all of a shorter one), so it is
+bounded at any size but for the number of languages; everything that is labelled is counted.
 
 Defined results: null text and text without a letter give `und` and score 0; without labelled text all give
-`und`; repeated rows and null ids are predicted each; an empty table gives an empty result; further columns are
+`und`; repeated rows and null ids are predicted each, repeated labelled texts are learnt once; an empty table gives an empty result; further columns are
 ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import batched, letters, read, slices
+from tickforge.llm.common import batched, letters, mixed, read, slices
 
 UNKNOWN = "und"
-SYMBOLS = 94
+#: Letters of all languages together, up to which their automata are dense tables.
+DENSE = 126
 WINDOW = 256
 #: Symbols 0 and 1: letters that no labelled text holds, and whatever is no letter.
 FOREIGN, OTHER = 0, 1
@@ -73,108 +77,180 @@ def automaton(symbols: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return edges[:, 0], edges[:, 1], edges[:, 2]
 
 
-def steps_of(edges: tuple[np.ndarray, np.ndarray, np.ndarray], width: int) -> np.ndarray:
-    """For state * width + symbol: 2 * width * next state, plus 1 where a new phrase starts there.
+class Steps:
+    """An automaton's moves, one way for dense and hashed tables: state and symbol to the next state, and whether a phrase starts.
 
-    The last state is that of a phrase's end: every symbol starts a phrase there, and one that the
-    automaton never saw is a phrase of its own.
+    States are numbers that `move` takes back; `begin` is that of a phrase's end, where every symbol starts a phrase,
+    also one that the automaton never saw.
     """
-    state, symbol, to = edges
-    end = int(max(state.max(initial=0), to.max(initial=0))) + 1
-    table = np.zeros((end + 1, width), np.int32)
-    table[state, symbol] = to
-    start = np.where(table[0] == 0, end, table[0])
-    return np.where(table == 0, 2 * width * start[None, :] + 1, 2 * width * table).astype(np.int32).ravel()
-
-
-def parsed(windows: np.ndarray, lengths: np.ndarray, steps: np.ndarray, width: int) -> np.ndarray:
-    """Phrases of each window (a column of symbols per position; lengths fall)."""
-    at = np.full(windows.shape[1], 2 * (len(steps) - width), np.int32)
-    phrases = np.zeros(windows.shape[1], np.int32)
+
+    def __init__(self, edges: tuple[np.ndarray, np.ndarray, np.ndarray], width: int):
+        state, symbol, to = (x.astype(np.int64) for x in edges)
+        end = int(max(state.max(initial=0), to.max(initial=0))) + 1
+        start = np.full(width, end, np.int64)
+        start[symbol[state == 0]] = to[state == 0]
+        self.width = width
+        if width <= DENSE + 2:
+            table = np.zeros((end + 1, width), np.int32)
+            table[state, symbol] = to
+            # 2 * width * next state, plus 1 where a new phrase starts there.
+            self.table = np.where(table == 0, 2 * width * start[None, :] + 1, 2 * width * table).astype(np.int32).ravel()
+            self.begin = 2 * width * end
+            self.move = self.dense
+            return
+        self.start, self.begin, self.move = 2 * start + 1, 2 * end, self.hashed
+        key = state * width + symbol
+        self.mask = (1 << max(4, int(len(key) * 4).bit_length())) - 1
+        self.keys, self.next = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int64)
+        self.deep, slot, open_ = 0, self.slots(key), np.arange(len(key))
+        while len(open_):
+            free = open_[self.keys[slot[open_]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            taken = free[first]
+            self.keys[slot[taken]], self.next[slot[taken]] = key[taken], 2 * to[taken]
+            left = np.ones(len(key), bool)
+            left[taken] = False
+            open_ = open_[left[open_]]
+            slot[open_] = (slot[open_] + 1) & self.mask
+            self.deep += 1
+
+    def slots(self, key: np.ndarray) -> np.ndarray:
+        return (mixed(key.astype(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
+
+    def dense(self, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        return self.table[(at >> 1) + symbols]
+
+    def hashed(self, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        key = (at >> 1) * self.width + symbols
+        slot, out, open_ = self.slots(key), self.start[symbols], np.arange(len(key))
+        for _ in range(self.deep):
+            found = self.keys[slot]
+            hit = found == key[open_]
+            out[open_[hit]] = self.next[slot[hit]]
+            more = ~hit & (found >= 0)
+            open_, slot = open_[more], (slot[more] + 1) & self.mask
+            if not len(open_):
+                break
+        return out
+
+
+def parsed(windows: np.ndarray, lengths: np.ndarray, steps: Steps, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrases begun, last state) of each window (a column of symbols per position; lengths fall) that starts in state `at`."""
+    at, phrases = at.copy(), np.zeros(windows.shape[1], np.int64)
     for row, live in zip(windows, np.searchsorted(-lengths, -np.arange(len(windows)), side="left"), strict=True):
         if not live:
             break
-        got = steps[(at[:live] >> 1) + row[:live]]
+        got = steps.move(at[:live], row[:live])
         phrases[:live] += got & 1
         at[:live] = got & ~1
-    return phrases
+    return phrases, at
 
 
-def learnt(docs: DataFrame, most_rows: int = 256, most_chars: int = 40_000) -> dict:
-    """The model from labelled documents (doc_id, text, lang)."""
+def learnt(docs: DataFrame, most_rows: int = 256, most_chars: int = 40_000, passages: int = 5, passage: int = 500) -> dict:
+    """The model from labelled documents (doc_id, text, lang): (name, symbols, automaton's edges, its text's length) of each language."""
     known = docs.where("lang is not null and text is not null and doc_id is not null")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return {"names": [], "symbols": np.empty(0, np.int64), "edges": [], "sizes": []}
+        return {"names": [], "symbols": [], "edges": [], "sizes": []}
     # A share of each language's documents by hash: about most_rows of them, however many there are.
     share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, most_rows / n)))), F.col("lang"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.where(place < share).select("lang", F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id", F.substring("text", 1, most_chars // 16).alias("text")).collect()
+    spare = F.char_length("text") - passage
+    stretches = F.concat_ws(" ", *(F.substring(F.col("text"), F.floor(spare * i / max(passages - 1, 1)).cast("int") + 1, F.lit(passage)) for i in range(passages)))
+    text = F.when(F.char_length("text") <= passages * passage, F.col("text")).otherwise(stretches)
+    sample = known.where(place < share).select("lang", F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id", text.alias("text")).collect()
     texts: dict[str, dict[str, None]] = {lang: {} for lang in counts}
     for row in sorted(sample, key=lambda r: (r["h"], r["doc_id"], r["text"])):
         if sum(map(len, texts[row["lang"]])) < most_chars:
             texts[row["lang"]][row["text"]] = None
     names = sorted(lang for lang, own in texts.items() if own)
-    whole = {lang: points(" ".join(texts[lang])[:most_chars]) for lang in names}
-    met: Counter = Counter()
-    for own in whole.values():
-        at, n = np.unique(own[letters()[own]], return_counts=True)
-        met.update(dict(zip(at.tolist(), (n / max(len(own), 1)).tolist(), strict=True)))
-    symbols = np.array(sorted(c for c, _ in sorted(met.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS]), np.int64)
-    model = {"names": names, "symbols": symbols, "edges": [], "sizes": []}
-    table = classes(symbols)
-    for lang in names:
-        own = table[whole[lang]]
-        model["edges"].append(automaton([s for s in own.tolist() if s != FOREIGN]))
-        model["sizes"].append(max(2, len(own)))
+    whole = [points(" ".join(texts[lang])[:most_chars]) for lang in names]
+    found = [np.unique(own[letters()[own]]).astype(np.int64) for own in whole]
+    together = np.unique(np.concatenate(found))
+    symbols = [together] * len(names) if len(together) <= DENSE else found
+    model = {"names": names, "symbols": symbols, "edges": [], "sizes": [max(2, len(own)) for own in whole]}
+    for own, letters_ in zip(whole, symbols, strict=True):
+        model["edges"].append(automaton([s for s in classes(letters_)[own].tolist() if s != FOREIGN]))
     return model
 
 
 def classes(symbols: np.ndarray) -> np.ndarray:
     """The symbol of each code point."""
-    table = np.where(letters(), FOREIGN, OTHER).astype(np.uint8)
+    table = np.where(letters(), FOREIGN, OTHER).astype(np.uint8 if len(symbols) <= 254 else np.int32)
     table[symbols] = np.arange(2, 2 + len(symbols))
     return table
 
 
-def bits_of(texts: list[str | None], table: np.ndarray, automata: list[np.ndarray], sizes: list[int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Windows:
+    """A batch of texts, cut into windows that are sorted by falling length."""
+
+    def __init__(self, texts: list[str | None]):
+        coded = [points(t or "") for t in texts]
+        self.chars = np.array([len(c) for c in coded])
+        self.flat = np.concatenate(coded) if coded else np.empty(0, np.uint32)
+        ends = np.cumsum(self.chars)
+        found = np.append(0, np.cumsum(letters()[self.flat]))
+        self.lettered = found[ends] > found[ends - self.chars]
+        windows = -(-self.chars // WINDOW)
+        owner = np.repeat(np.arange(len(texts)), windows)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        begin = (ends - self.chars)[owner] + nth * WINDOW
+        size = np.minimum(WINDOW, ends[owner] - begin)
+        order = np.argsort(-size, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.owner, self.begin, self.size = owner[order], begin[order], size[order]
+        #: The place of the window before each one, -1 for a text's first.
+        self.before = np.where(nth > 0, np.append(0, place)[:-1], -1)[order] if len(order) else np.empty(0, np.int64)
+
+    def board(self, table: np.ndarray) -> np.ndarray:
+        """The symbols, a row per position of the windows."""
+        padded = np.append(table[self.flat], np.zeros(WINDOW, table.dtype))
+        rows = int(self.size.max(initial=0))
+        out = np.zeros((rows, len(self.owner)), table.dtype)
+        for i in range(rows):
+            out[i] = padded[self.begin + i]
+        return out
+
+    def phrases(self, board: np.ndarray, steps: Steps) -> np.ndarray:
+        """Phrases of each text, as one pass over it has them."""
+        at = np.full(len(self.owner), steps.begin, np.int64)
+        count, last = parsed(board, self.size, steps, at)
+        while True:
+            enters = np.where(self.before >= 0, last[self.before], steps.begin)
+            again = np.flatnonzero(enters != at)
+            if not len(again):
+                return np.bincount(self.owner, count, int(len(self.chars)))
+            at[again] = enters[again]
+            count[again], last[again] = parsed(board[:, again], self.size[again], steps, at[again])
+
+
+def bits_of(texts: list[str | None], model: dict, automata: list[Steps], tables: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bits, chars, lettered): the cost of each text (row) in each language (column), its length, whether it has a letter."""
-    coded = [points(t or "") for t in texts]
-    chars = np.array([len(c) for c in coded])
-    flat = np.concatenate(coded) if coded else np.empty(0, np.uint32)
-    seen = table[flat]
-    ends = np.cumsum(chars)
-    found = np.append(0, np.cumsum(seen != OTHER))
-    lettered = found[ends] > found[ends - chars]
-    windows = -(-chars // WINDOW)
-    owner = np.repeat(np.arange(len(texts)), windows)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    begin = (ends - chars)[owner] + nth * WINDOW
-    size = np.minimum(WINDOW, ends[owner] - begin)
-    order = np.argsort(-size, kind="stable")
-    owner, begin, size = owner[order], begin[order], size[order]
-    board = np.zeros((WINDOW, len(owner)), np.uint8)
-    padded = np.append(seen, np.zeros(WINDOW, np.uint8))
-    for i in range(int(size.max(initial=0))):
-        board[i] = padded[begin + i]
-    bits = np.stack([np.bincount(owner, parsed(board, size, steps, width), len(texts)) * math.log2(n) for steps, n in zip(automata, sizes, strict=True)], axis=1)
-    return bits, chars, lettered
+    cut, boards = Windows(texts), {}
+    bits = []
+    for symbols, steps, n in zip(model["symbols"], automata, model["sizes"], strict=True):
+        key = symbols.tobytes()
+        if key not in boards:
+            boards = {key: cut.board(tables[key])}
+        bits.append(cut.phrases(boards[key], steps) * math.log2(n))
+    return np.stack(bits, axis=1), cut.chars, cut.lettered
 
 
 def predicted(docs: DataFrame, model: dict) -> DataFrame:
     """docs (doc_id, text, ...) with lang_pred and score instead of text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in batched(docs).columns if c != "text"]
-    width = 2 + len(model["symbols"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        names, table = own["names"], classes(own["symbols"])
-        automata = [steps_of(e, width) for e in own["edges"]]
+        names = own["names"]
+        tables = {s.tobytes(): classes(s) for s in own["symbols"]}
+        automata = [Steps(e, 2 + len(s)) for e, s in zip(own["edges"], own["symbols"], strict=True)]
         for part in slices(batches, "text"):
             lang, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
             if names:
-                bits, chars, lettered = bits_of(part.column(part.schema.get_field_index("text")).to_pylist(), table, automata, own["sizes"], width)
+                bits, chars, lettered = bits_of(part.column(part.schema.get_field_index("text")).to_pylist(), own, automata, tables)
                 best = bits.argmin(axis=1)
                 # Each language's weight falls with its excess bits; the square root keeps long texts off the ends.
                 excess = (bits - bits.min(axis=1, keepdims=True)) / np.sqrt(np.maximum(chars, 1))[:, None]

@@ -1,9 +1,10 @@
 """Personal data: base patterns on the raw text, and further finds under disguise.
 
-Two transducers rewrite a text while they keep, for each character written, the source characters it
-stands for: one folds homoglyphs, full-width forms and zero-width characters to ASCII, the other also turns
-spelled digits into digits and "at"/"dot" disguises into @ and dots. Identifiers found in the rewritten text
-are mapped back to source characters and added where they touch no span already there.
+Transducers rewrite a text while they keep, for each character written, the source characters it
+stands for: one folds homoglyphs, styled and full-width forms and zero-width characters to ASCII, one turns runs of spelled digits into
+digits, one "at"/"dot" disguises, with spelled digits before them, into @ and dots. They compose: each works on what the ones before it wrote, and
+identifiers are looked for after the first, after either of the others, and after all. Finds are mapped back to source characters and added
+where they touch no base span; a find that holds an earlier one takes its place.
 
 Offsets are code points, ends exclusive. Defined results: null text is taken as empty; rows are
 independent, so repeated rows and null ids give a row each; an empty table gives an empty result; further
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,8 +40,10 @@ HOMOGLYPHS = {
     "\u2024": ".", "\u3002": ".", "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\ufe63": "-", "\ufe62": "+", "\ufe6b": "@", "\u00a0": " ", "\u2009": " ", "\u202f": " ",
 }
 HIDDEN = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
-#: Full-width forms, Arabic-Indic and extended digits follow by rule.
-FOLDED = HOMOGLYPHS | {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)} | {chr(base + d): str(d) for base in (0x660, 0x6F0) for d in range(10)} | dict.fromkeys(HIDDEN, "")
+#: Blocks whose styled letters, digits and signs (mathematical, circled, raised, lowered, squared) fold as Unicode's compatibility forms do.
+STYLED = [(0xA0, 0xFF), (0x2070, 0x209F), (0x2100, 0x214F), (0x2460, 0x24FF), (0x1D400, 0x1D7FF), (0x1F100, 0x1F1FF)]
+#: Styled and full-width forms, Arabic-Indic and extended digits follow by rule.
+FOLDED = {chr(c): form for a, b in STYLED for c in range(a, b + 1) if len(form := unicodedata.normalize("NFKC", chr(c))) == 1 and "!" <= form <= "~"} | HOMOGLYPHS | {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)} | {chr(base + d): str(d) for base in (0x660, 0x6F0) for d in range(10)} | dict.fromkeys(HIDDEN, "")
 FOLDS = re.compile("[" + re.escape("".join(FOLDED)) + "]")
 # Digits spelled in the four languages of the corpus.
 SPELLED = {
@@ -59,8 +63,9 @@ SUFFIXES = frozenset("com org net edu gov info biz io co de fr es uk eu us ch at
 _AT = r"(?:\s*[\[({<]\s*(?:at|arobase|arroba|@)\s*[\])}>]\s*|\s+(?:at|arobase|arroba)\s+|\s+@\s*|@\s+)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|point|punto|punkt|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto)\s+|\s+point\s+)"
 #: local at domain dot suffix, where at or a dot is disguised.
-MAIL = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(?:{_AT}|@)[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_DOT})[A-Za-z0-9-]{{1,63}}){{1,5}}(?![A-Za-z0-9-])")
+MAIL = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]{{1,64}}){{0,4}}(?:\s+(?:{_DIGIT})(?![A-Za-z0-9])){{0,8}}(?:{_AT}|@)[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_DOT})[A-Za-z0-9-]{{1,63}}){{1,5}}(?![A-Za-z0-9-])")
 ATS, DOTS = re.compile(f"(?i){_AT}"), re.compile(f"(?i){_DOT}")
+TAIL = re.compile(rf"(?i)\s+({_DIGIT})(?![A-Za-z0-9])")
 #: An address whose dots alone are disguised.
 NUMBER_DOTS = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:(?:\s*[\[({{]\s*(?:dot|point|punto|punkt|\.)\s*[\])}}]\s*|\s+(?:dot|punkt|punto|point)\s+|\.)[0-9]{{1,3}}){{3}}(?![0-9.])")
 #: Bare at, arobase or arroba before a dotted domain with a common suffix.
@@ -145,13 +150,18 @@ def _plain(m: re.Match) -> list[tuple[str, int, int]]:
     Before a bare at and a plain domain, a word of BEFORE_AT is prose.
     """
     text, base = m[0], m.start()
-    marks = [("@", x) for x in ATS.finditer(text)] + [(".", x) for x in DOTS.finditer(text)]
+    ats, dots = list(ATS.finditer(text)), list(DOTS.finditer(text))
+    marks = [("@", x) for x in ats] + [(".", x) for x in dots]
     bracketed = any(re.search(r"[\[({<]", x[0]) for _, x in marks)
     worded = marks and marks[0][0] == "@" and text.rsplit(None, 1)[-1].rsplit(".", 1)[-1].lower() in SUFFIXES
     worded = worded and (len(marks) > 1 or text.split(None, 1)[0].lower() not in BEFORE_AT)
     if not marks or not (bracketed or "@" in text or worded):
         return [(c, base + i, base + i + 1) for i, c in enumerate(text)]
+    digits = [(SPELLED[x[1].lower()], x) for x in TAIL.finditer(text, 0, ats[-1].start())] if ats and (dots or bracketed) else []
+    if digits and not all(a.end() == b.start() for (_, a), (_, b) in zip(digits, [*digits[1:], ("", ats[-1])], strict=True)):
+        digits = []
     out, at = [], 0
+    marks += digits
     for kind, x in sorted(marks, key=lambda y: y[1].start()):
         if x.start() < at:
             continue
@@ -161,26 +171,27 @@ def _plain(m: re.Match) -> list[tuple[str, int, int]]:
     return out + [(c, base + i, base + i + 1) for i, c in enumerate(text[at:], at)]
 
 
+def _undone(text: Rewritten) -> Rewritten:
+    """The text without at and dot disguises; itself where it has none."""
+    return text.replaced(MAIL, _plain).replaced(NUMBER_DOTS, _plain_ip) if HINT.search(text.text) else text
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Finds in the rewritten text, mapped to the source, that touch none of the spans there."""
-    folded = Rewritten(text)
-    if not text.isascii():
-        folded = folded.replaced(FOLDS, _folded)
-    views = [folded] if folded.starts is not None else []
+    """Finds in the rewritten text, mapped to the source, that touch no base span and none of each other."""
+    source = Rewritten(text)
+    folded = source if text.isascii() else source.replaced(FOLDS, _folded)
     digits = folded.replaced(RUN, _digits)
-    if digits is not folded:
-        views.append(digits)
-    if HINT.search(folded.text):
-        plain = folded.replaced(MAIL, _plain).replaced(NUMBER_DOTS, _plain_ip)
-        if plain is not folded:
-            views.append(plain)
+    plain = _undone(folded)
+    views = [v for v, before in ((folded, source), (digits, folded), (plain, folded)) if v is not before]
+    if digits is not folded and plain is not folded:
+        views.append(_undone(digits))
     taken, new = [(s, e) for s, _, e in base], []
     for view in views:
         for start, kind, end in base_spans(view.text):
             s, e = view.source(start, end)
-            if all(e <= a or s >= b for a, b in taken):
-                new.append((s, kind, e))
-                taken.append((s, e))
+            inside = [x for x in new if s <= x[0] and x[2] <= e]
+            if all(e <= a or s >= b for a, b in taken) and all(x in inside or e <= x[0] or s >= x[2] for x in new):
+                new = [x for x in new if x not in inside] + [(s, kind, e)]
     return new
 
 

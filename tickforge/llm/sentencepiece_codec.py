@@ -15,8 +15,11 @@ first one that was not emitted (1 where every segmentation was). Noise comes fro
 that is seeded by row key, sample and position, so results do not depend on partitions.
 
 No piece holds a space behind another character, a line feed, or letters beside other characters, so the lattice falls
-into units (spaces and the letters or the signs behind them) and a unit's table serves all its places in a batch; longer units than CUT characters are cut
-there, and no edge crosses the cut.
+into units (spaces and the letters or the signs behind them) and a unit's table serves all its places in a batch. Units have any length: in
+scripts without spaces they reach from sign to sign, and every edge of theirs counts. The masses of units longer than PLAIN
+characters carry an exponent of their own.
+
+Each sample is also decoded: its crc32, and whether it is the text again, are returned beside it.
 
 Defined results: null or empty text has one segmentation, the empty one; repeated rows with one doc_id get
 equal samples; a null doc_id seeds like 0; an empty table gives an empty result; further columns are ignored.
@@ -41,7 +44,8 @@ from tickforge.llm.tokens import vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-CUT = 64
+#: Characters of a unit whose masses fit a double whatever they are.
+PLAIN = 32
 SLOTS = 20
 SPACE, LINE, LETTER, SIGN = range(4)
 FACTOR = np.uint64(0x100000001B3)
@@ -77,7 +81,7 @@ class Vocabulary:
         assert not any("\n" in t or MARK in t.lstrip(MARK) for t in texts), "pieces cross units"
         self.kinds = np.where(letters() if apart else True, LETTER, SIGN).astype(np.uint8)
         self.kinds[[ord(MARK), ord("\n")]] = SPACE, LINE
-        self.multipliers = np.random.default_rng(1).integers(1, 1 << 63, (2, CUT), np.uint64) * np.uint64(2) + np.uint64(1)
+        self.known = self._multipliers(64)
         weights = 1 / (np.arange(size) + 2.0)
         self.weights = weights / weights.sum()
         hashes = np.array([self._hash([ord(c) for c in t]) for t in texts], np.uint64)
@@ -88,6 +92,13 @@ class Vocabulary:
         self.first[slots[order][::-1]] = np.arange(len(ids))[::-1]
         self.deep = int(np.bincount(slots).max())
 
+    @staticmethod
+    def _multipliers(n: int) -> np.ndarray:
+        return np.random.default_rng(1).integers(1, 1 << 63, (2, n), np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def multipliers(self, n: int) -> np.ndarray:
+        return self.known if n <= self.known.shape[1] else self._multipliers(n)
+
     @staticmethod
     def _hash(points: list[int]) -> int:
         h = 0
@@ -167,15 +178,30 @@ class Lattice:
         starts = np.zeros(n + units, np.int64)
         starts[node] = held
         self.first = np.append(0, np.cumsum(starts))
-        # Masses of what lies behind each node, scaled by SCALE per character so that none vanishes.
+        # Masses of what lies behind each node, scaled by a factor per character so that none vanishes.
         mass = np.zeros(n + units)
         mass[self.end] = 1.0
-        by_left = np.argsort(remaining.astype(np.int16), kind="stable")
-        bounds = np.searchsorted(remaining[by_left], np.arange(1, int(remaining.max(initial=0)) + 2))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            own = by_left[a:b]
-            np.add.at(mass, from_node[own], scaled[own] * mass[self.to[own]])
-        self.chance = scaled * mass[self.to] / mass[from_node]
+        longest = int(remaining.max(initial=0))
+        by_left = np.argsort(remaining.astype(np.int16) if longest < 1 << 15 else remaining, kind="stable")
+        bounds = np.searchsorted(remaining[by_left], np.arange(1, longest + 2))
+        if longest <= PLAIN:
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                own = by_left[a:b]
+                np.add.at(mass, from_node[own], scaled[own] * mass[self.to[own]])
+            self.chance = scaled * mass[self.to] / mass[from_node]
+        else:
+            # A mass is times 2 ** power; powers are set anew every PLAIN characters.
+            power = np.zeros(n + units, np.int32)
+            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                own = by_left[a:b]
+                nodes, to = from_node[own], self.to[own]
+                np.add.at(mass, nodes, np.ldexp(scaled[own] * mass[to], power[to] - power[nodes + 1]))
+                power[nodes] = power[nodes + 1]
+                if i % PLAIN == PLAIN - 1:
+                    once = np.unique(nodes)
+                    mass[once], more = np.frexp(mass[once])
+                    power[once] += more
+            self.chance = np.ldexp(scaled * mass[self.to] / mass[from_node], power[self.to] - power[from_node])
         total = np.cumsum(self.chance)
         self.upto = total - (np.append(0, total)[self.first[:-1]])[from_node]
         filled = self.first[1:] > self.first[:-1]
@@ -195,12 +221,12 @@ def noise(key: np.ndarray | np.uint64, sample: int, step: np.ndarray) -> np.ndar
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def drawn(lattice: Lattice, unit: np.ndarray, key: np.ndarray, place: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """A segmentation of every unit's place: (edges in text order, edges per place)."""
+def drawn(lattice: Lattice, unit: np.ndarray, key: np.ndarray, offset: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """A segmentation of every unit's place: (edges in text order, edges per place); offset: of its first character in its text."""
     at, end = lattice.start[unit], lattice.end[unit]
     live, rounds, lengths = np.arange(len(unit)), [], np.zeros(len(unit), np.int64)
     while len(live):
-        u = noise(key[live], sample, place[live] * CUT + len(rounds))
+        u = noise(key[live], sample, offset[live] + len(rounds))
         e = lattice.first[at]
         behind = np.flatnonzero(u >= lattice.upto[e])
         while len(behind):
@@ -299,7 +325,7 @@ def search(lattice: Lattice, unit: np.ndarray, draws: list[tuple[np.ndarray, np.
 
 
 class Units:
-    """The units of texts: `codes` and `sizes` of the distinct ones, `unit` of every place, `count` of places per text."""
+    """The units of texts: `codes` and `sizes` of the distinct ones, `unit` and `offset` of every place, `count` of places per text."""
 
     def __init__(self, words: Vocabulary, texts: list[str]):
         whole = "".join([" " + t for t in texts if t])
@@ -314,13 +340,11 @@ class Units:
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(codes)))
         place = np.arange(len(codes)) - np.repeat(starts, sizes)
-        if sizes.max(initial=0) > CUT:
-            starts = np.flatnonzero(place % CUT == 0)
-            sizes = np.diff(np.append(starts, len(codes)))
-            place %= CUT
         self.count = np.diff(np.append(0, np.searchsorted(starts, ends)))
+        self.offset = starts - np.repeat(begins, self.count)
+        multipliers = words.multipliers(int(sizes.max(initial=0)))
         values = codes.astype(np.uint64) + np.uint64(1)
-        h1, h2 = (np.add.reduceat(values * m[place], starts) if len(starts) else np.empty(0, np.uint64) for m in words.multipliers)
+        h1, h2 = (np.add.reduceat(values * m[place], starts) if len(starts) else np.empty(0, np.uint64) for m in multipliers)
         _, at, self.unit = np.unique(h1, return_index=True, return_inverse=True)
         if (h2[at][self.unit] != h2).any():
             _, at, self.unit = np.unique(np.stack([h1, h2], axis=1), axis=0, return_index=True, return_inverse=True)
@@ -336,9 +360,8 @@ def segmented(texts: list[str], keys: np.ndarray, path: str, samples: int) -> It
     unit, count = units.unit, units.count
     lattice = Lattice(words, units.codes, units.sizes)
     ends = np.cumsum(count)
-    place = np.arange(len(unit)) - np.repeat(ends - count, count)
     key = np.repeat(keys, count)
-    draws = [drawn(lattice, unit, key, place, j) for j in range(samples)]
+    draws = [drawn(lattice, unit, key, units.offset, j) for j in range(samples)]
     cuts = [np.append(0, np.cumsum(d[1])) for d in draws]
     for i, n in enumerate(count.tolist()):
         if not n:
@@ -367,19 +390,24 @@ def row_keys(ids: list[int | None]) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, path: str, samples: int = 2, with_ids: bool = True) -> DataFrame:
-    """One row per document and sample: (doc_id, sample, n_pieces, ids_crc32, log_prob, perturbed, inclusion[, ids])."""
-    schema = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double" + ", ids array<int>" * with_ids
+    """One row per document and sample: (doc_id, sample, n_pieces, ids_crc32, log_prob, perturbed, inclusion, decoded_crc32, round_trip[, ids]).
+
+    decoded_crc32 is that of the decoded sample, round_trip whether it is the text (the mark being a space).
+    """
+    schema = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, inclusion double, decoded_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32())]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", STEP_TEXT):
             texts = [t or "" for t in part.column(1).to_pylist()]
             rows: list[list] = [[] for _ in names]
             docs_ = part.column(0).to_pylist()
-            for doc, own in zip(docs_, segmented(texts, row_keys(docs_), path, samples), strict=True):
+            for doc, text, own in zip(docs_, texts, segmented(texts, row_keys(docs_), path, samples), strict=True):
+                raw = text.replace(MARK, " ").encode()
                 for j, (ids, log_p, value, inclusion) in enumerate(own):
-                    row = (doc, j, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log_p, value, inclusion, ids.astype(np.int32) if with_ids else None)
+                    back = decoded(ids, path)
+                    row = (doc, j, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log_p, value, inclusion, zlib.crc32(back), back == raw, ids.astype(np.int32) if with_ids else None)
                     for column, x in zip(rows, row, strict=False):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=False)], names)
