@@ -91,6 +91,19 @@ def option_terms(s: Column, k: Column, t: Column, rate: Column, sigma: Column) -
     }
 
 
+def implied_volatility(price: Column, s: Column, k: Column, t: Column, rate: Column, low: float = 0.001, high: float = 5.0, steps: int = 20) -> Column:
+    """The volatility whose call price is `price`, by bisection (5 / 2 ** 20 is under 1e-5); null where none in [low, high] has it."""
+    call = lambda v: option_terms(s, k, t, rate, v)["call"]
+
+    def halve(st: Column, _: Column) -> Column:
+        middle = (st["low"] + st["high"]) / 2
+        under = call(middle) < price
+        return F.struct(F.when(under, middle).otherwise(st["low"]).alias("low"), F.when(under, st["high"]).otherwise(middle).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")), halve, lambda st: (st["low"] + st["high"]) / 2)
+    return F.when((call(F.lit(low)) <= price) & (price <= call(F.lit(high))), found)
+
+
 def week_label(d: Column | str) -> Column:
     """ISO week as YYYY-Www."""
     d = col(d)

@@ -34,23 +34,24 @@ def sentences(df: DataFrame, text: str) -> DataFrame:
     return df.select(*(c for c in df.columns if c != text), F.posexplode(parts).alias("position", "sentence"))
 
 
-def term_weights(terms: DataFrame, document: str, n_docs: int | Column, most_docs: int) -> DataFrame:
-    """(document, term, w): counts times ln((n + 1) / (df + 1)) + 1 at unit length; terms in more than most_docs documents are left out.
-
-    Leaving them out keeps a common term's list from being paired with itself.
-    """
+def term_weights(terms: DataFrame, document: str) -> DataFrame:
+    """(document, term, w): counts times ln((n + 1) / (df + 1)) + 1 at unit length, n the number of documents."""
     counts = terms.groupBy(document, "term").agg(F.count(F.lit(1)).alias("tf"))
     known = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = counts.join(known, "term").withColumn("w", F.col("tf") * (F.log((n_docs + 1) / (F.col("df") + 1)) + 1))
+    size = counts.agg(F.count_distinct(document).alias("n"))  # one row
+    weights = counts.join(known, "term").crossJoin(F.broadcast(size)).withColumn("w", F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1))
     lengths = weights.groupBy(document).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.where(F.col("df") <= most_docs).join(lengths, document).select(document, "term", (F.col("w") / F.col("norm")).alias("w"))
+    return weights.join(lengths, document).select(document, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def similar(weights: DataFrame, document: str, k: int) -> DataFrame:
-    """(a, b, score): the k most similar documents of each by the product over shared terms; ties by b."""
-    left = weights.select(F.col(document).alias("a"), "term", F.col("w").alias("x"))
+def similar(weights: DataFrame, document: str, k: int, asked: Column) -> DataFrame:
+    """(a, b, score, place): the k most similar documents of each asked one by the product over shared terms; ties by b.
+
+    A stated query set against all documents: a term's list meets the asked documents that hold it, not itself.
+    """
+    left = weights.where(asked).select(F.col(document).alias("a"), "term", F.col("w").alias("x"))
     right = weights.select(F.col(document).alias("b"), "term", F.col("w").alias("y"))
-    scores = left.join(right, "term").where("a <> b").groupBy("a", "b").agg(rounded(F.sum(F.col("x") * F.col("y")), 6).alias("score"))
+    scores = right.join(left, "term").where("a <> b").groupBy("a", "b").agg(rounded(F.sum(F.col("x") * F.col("y")), 6).alias("score"))
     best = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     return scores.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 

@@ -1,18 +1,17 @@
 """Ordered series per key: frames over the last rows or the last values, and recursive indicators.
 
-Recursive indicators look at the last `LOOKBACK` bars of a key, so the array that a fold runs over is bounded
-however long the history is.
+Recursive indicators run over a key's whole history. A key has one bar per day, so its history is bounded by its
+days, whatever the number of trades; last values are one fold over it, whole series one pass per key.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import ratio
 
-LOOKBACK = 130
-
 
 def by_day(key: str = "k", day: str = "d") -> WindowSpec:
     return Window.partitionBy(key).orderBy(day)
@@ -46,9 +45,14 @@ def latest(df: DataFrame, n: int = 1) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n).drop("_n")
 
 
-def recent(df: DataFrame, columns: list[str], n: int = LOOKBACK) -> DataFrame:
+def history(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(k, rows): an array of each key's rows, one a day, oldest first."""
+    return df.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("d", *columns))).alias("rows"))
+
+
+def recent(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     """(k, rows): an array of each key's last n rows, oldest first."""
-    return latest(df, n).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("d", *columns))).alias("rows"))
+    return history(latest(df, n), columns)
 
 
 def total(xs: Column) -> Column:
@@ -68,16 +72,61 @@ def wilder_last(xs: Column, n: int) -> Column:
     return F.when(F.size(xs) >= n, F.aggregate(tail, total(F.slice(xs, 1, n)) / n, lambda a, x: (a * (n - 1) + x) / n))
 
 
-def changes(xs: Column) -> Column:
-    return F.when(F.size(xs) > 1, F.transform(F.sequence(F.lit(1), F.size(xs) - 1), lambda i: F.get(xs, i) - F.get(xs, i - 1))).otherwise(F.array().cast("array<double>"))
+def rsi_last(xs: Column, n: int) -> Column:
+    """Relative strength of an array of closes, Wilder's smoothing seeded by the mean of the first n moves: 50 where nothing moved, 100 where nothing fell."""
+    zero = F.struct(F.lit(0).alias("i"), *(F.lit(0.0).alias(x) for x in ("x", "gain", "loss")))
+
+    def step(st: Column, x: Column) -> Column:
+        i, move = st["i"], x - st["x"]
+
+        def mean(old: Column, part: Column) -> Column:
+            part = F.greatest(part, F.lit(0.0))
+            return F.when(i == 0, F.lit(0.0)).when(i < n, old + part).when(i == n, (old + part) / n).otherwise((old * (n - 1) + part) / n)
 
+        return F.struct((i + 1).alias("i"), x.alias("x"), mean(st["gain"], move).alias("gain"), mean(st["loss"], -move).alias("loss"))
+
+    def done(st: Column) -> Column:
+        flat = F.when(st["gain"] == 0, 50.0).otherwise(100.0)
+        return F.when(st["i"] > n, F.when(st["loss"] == 0, flat).otherwise(100 - 100 / (1 + F.try_divide(st["gain"], st["loss"]))))
+
+    return F.aggregate(xs, zero, step, done)
 
-def rsi_last(xs: Column, n: int) -> Column:
-    """Relative strength of an array of closes: 50 where nothing moved, 100 where nothing fell."""
-    moves = changes(xs)
-    gain = wilder_last(F.transform(moves, lambda m: F.greatest(m, F.lit(0.0))), n)
-    loss = wilder_last(F.transform(moves, lambda m: F.greatest(-m, F.lit(0.0))), n)
-    return F.when(loss == 0, F.when(gain == 0, 50.0).otherwise(100.0)).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
+
+def rsi_values(closes: list[float], n: int) -> list[float | None]:
+    """The relative strength at each of a list of closes, null for the first n."""
+    out: list[float | None] = []
+    gain = loss = 0.0
+    for i, x in enumerate(closes):
+        move = x - closes[i - 1] if i else 0.0
+        up, down = max(move, 0.0), max(-move, 0.0)
+        if i <= n:
+            gain, loss = gain + up, loss + down
+            if i == n:
+                gain, loss = gain / n, loss / n
+        else:
+            gain, loss = (gain * (n - 1) + up) / n, (loss * (n - 1) + down) / n
+        out.append(None if i < n else (50.0 if gain == 0 else 100.0) if loss == 0 else 100 - 100 / (1 + gain / loss))
+    return out
+
+
+def ema_values(xs: list[float], n: int) -> list[float | None]:
+    """The exponential mean at each of a list, seeded by the mean of the first n, null before."""
+    out: list[float | None] = []
+    for i, x in enumerate(xs):
+        seed = sum(xs[:n]) / n if i == n - 1 else None
+        out.append(seed if i < n else x * (2 / (n + 1)) + out[-1] * (1 - 2 / (n + 1)))
+    return out
+
+
+def series_of(df: DataFrame, values: dict[str, tuple]) -> DataFrame:
+    """(k, d, ...) of (k, d, c): for each name the values of function(closes, n), in one pass over each key's days."""
+
+    def run(days: pd.DataFrame) -> pd.DataFrame:
+        days = days.sort_values("d", ignore_index=True)
+        closes = days["c"].tolist()
+        return days[["k", "d"]].assign(**{name: pd.array(f(closes, n), dtype="Float64") for name, (f, n) in values.items()})
+
+    return df.select("k", "d", "c").groupBy("k").applyInPandas(run, "k long, d date, " + ", ".join(f"{x} double" for x in values))
 
 
 def true_range(rows: Column) -> Column:
@@ -119,5 +168,17 @@ def mid_rank(value: str, partition: list[str]) -> Column:
     return F.when(F.col(value).isNotNull(), (upto - equal + 0.5 * equal) / F.count(value).over(over) * 100)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with each row's number in a total order: ranges are sorted apart, and begin behind the rows of the ranges before.
+
+    No task holds more than a range; what meets in one is a count per range.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = ranged.withColumns({"_range": F.shiftright("_at", 33), "_own": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = counts.select("_range", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranged.join(before, "_range").withColumn(name, F.col("_before") + F.col("_own") + 1).drop("_at", "_range", "_own", "_before")
+
+
 def mean_change(now: Column, before: Column) -> Column:
     return (ratio(now, before) - 1) * 100

@@ -73,16 +73,17 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("k", "month", "indicator", rounded("value", 2).alias("value"), rounded(F.col("value") - before, 2).alias("change"))
 
 
-@query(None)
+@query("SELECT event_type, date_trunc('hour', ts) AS ts, arg_min(value, {'a': ts, 'b': event_id}) AS o, max(value) AS h, min(value) AS l, arg_max(value, {'a': ts, 'b': event_id}) AS c, count(*) AS v FROM events GROUP BY event_type, date_trunc('hour', ts)")
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream.run(spark, stream.bars(stream.source(spark, sf_dir)), "append")
+    return stream.run(spark, stream.bars(stream.source(spark, sf_dir)), "update", ["event_type", "ts"])
 
 
-@query(None)
+@query("SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream.run(spark, stream.first_of_day(stream.source(spark, sf_dir)), "append")
+    return stream.run(spark, stream.first_of_day(stream.source(spark, sf_dir)), "append", [])
 
 
-@query(None)
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, nth""")
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream.run(spark, stream.sessions(stream.source(spark, sf_dir)), "append")
+    return stream.run(spark, stream.sessions(stream.source(spark, sf_dir)), "complete", ["user_id", "start"])

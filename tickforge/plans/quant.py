@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.functions.columns import option_terms, ratio, rounded
-from tickforge.operators.series import by_day, latest
+from tickforge.functions.columns import implied_volatility, option_terms, ratio, rounded
+from tickforge.operators.series import by_day, latest, numbered
 from tickforge.plans.registry import query
+from tickforge.plans.technical import RECENT_SQL, TR_SQL, atr14_wilder, wilder_sql
 from tickforge.sources.tables import BARS_SQL, MARKET_SQL, STOCKS_SQL, bars_daily, market, stocks, table
 
 LOGS_SQL = "logs AS (SELECT k, d, c, ln(c / lag(c) OVER (PARTITION BY k ORDER BY d)) AS r FROM bars WHERE c > 0)"
@@ -47,13 +46,14 @@ def momentum_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = log_returns(latest(bars_daily(spark, sf_dir).where("c > 0"), 60))
     s = rows.groupBy("k").agg((F.max_by("c", "d") / F.min_by("c", "d") - 1).alias("cum"), (F.stddev_samp("r") * YEAR).alias("vol"), F.count(F.lit(1)).alias("n")).where("n = 60")
     s = s.withColumn("score", F.when(F.col("vol") == 0, 0.0).otherwise(F.col("cum") / F.col("vol")))
-    return s.select("k", rounded("cum", 6).alias("cum"), rounded("score", 6).alias("score"), F.row_number().over(Window.orderBy(F.desc("score"), "k")).alias("place"))
+    ranked = numbered(s, [F.desc("score"), F.col("k")], "place")
+    return ranked.select("k", rounded("cum", 6).alias("cum"), rounded("score", 6).alias("score"), F.col("place").cast("int").alias("place"))
 
 
-@query(f"WITH {BARS_SQL}, {LOGS_SQL} SELECT k, round(stddev_samp(r) * sqrt(252), 6) AS vol FROM logs GROUP BY k HAVING count(r) >= 20 AND stddev_samp(r) > 0 ORDER BY stddev_samp(r), k LIMIT 20")
+@query(f"WITH {BARS_SQL}, {RECENT_SQL} SELECT k, round(pct, 4) AS atr_pct FROM (SELECT k, {wilder_sql(TR_SQL, 14)} / rows[-1].c * 100 AS pct FROM recent WHERE len(rows) >= 15) WHERE pct > 0 AND pct < 30")
 def low_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = log_returns(bars_daily(spark, sf_dir)).groupBy("k").agg(F.stddev_samp("r").alias("s"), F.count("r").alias("n")).where("n >= 20 and s > 0")
-    return rows.orderBy("s", "k").limit(20).select("k", rounded(F.col("s") * YEAR, 6).alias("vol"))
+    """Stocks whose average true range is over 0 and under a bound, in per cent of the close (1.5 for daily prices; 30 for the tables' wide bars)."""
+    return atr14_wilder(spark, sf_dir).where("atr_pct > 0 and atr_pct < 30").select("k", "atr_pct")
 
 
 @query(f"WITH {STOCKS_SQL} SELECT code, round(s_acctbal, 2) AS cap FROM stocks JOIN supplier ON s_suppkey = k WHERE s_acctbal > 0 AND s_acctbal < 5000")
@@ -107,11 +107,11 @@ def market_share_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.coalesce("r_name", F.lit("all")).alias("region"), F.coalesce("c_mktsegment", F.lit("all")).alias("segment"), "n", "total")
 
 
-@query("SELECT p_partkey AS k, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(CASE WHEN r > g + 1e-9 THEN p_retailprice * 0.03 * (1 + g) / (r - g) END, 4) AS fair FROM (SELECT *, 0.06e0 + (i - 2) * 0.01e0 AS r, 0.02e0 + (j - 2) * 0.02e0 AS g FROM part, generate_series(0, 4) AS a(i), generate_series(0, 4) AS b(j) WHERE p_size = 1)")
+@query("SELECT p_partkey AS k, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(CASE WHEN r > g + 1e-9 THEN p_retailprice * 0.03 * (1 + g) / (r - g) END, 4) AS fair FROM (SELECT *, 0.06e0 + (i - 2) * 0.01e0 AS r, 0.02e0 + (j - 2) * 0.02e0 AS g FROM part, generate_series(0, 4) AS a(i), generate_series(0, 4) AS b(j))")
 def gordon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Constant-growth value over a grid of five rates by five growth rates; null where the rate is not above growth."""
     five = F.sequence(F.lit(0), F.lit(4))
-    rows = table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("k"), "p_retailprice", F.explode(five).alias("i")).withColumn("j", F.explode(five))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_retailprice", F.explode(five).alias("i")).withColumn("j", F.explode(five))
     r, g = 0.06 + (F.col("i") - 2) * 0.01, 0.02 + (F.col("j") - 2) * 0.02
     return rows.select("k", "i", "j", rounded(F.when(r > g + 1e-9, F.try_divide(F.col("p_retailprice") * 0.03 * (1 + g), r - g))).alias("fair"))
 
@@ -141,36 +141,13 @@ def black_scholes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), *(rounded(x, places.get(n, 4)).alias(n) for n, x in terms.items()))
 
 
-def implied(price: pd.Series, s: pd.Series, x: pd.Series, t: pd.Series, rate: float = 0.02) -> pd.Series:
-    """Volatility that gives each call price, by bisection of [0.001, 5]; null outside."""
-
-    def share(z):
-        a = np.abs(z) / math.sqrt(2)
-        y = 1 / (1 + 0.3275911 * a)
-        series = ((((1.061405429 * y - 1.453152027) * y + 1.421413741) * y - 0.284496736) * y + 0.254829592) * y
-        return 0.5 * (1 + np.sign(z) * (1 - series * np.exp(-a * a)))
-
-    def call(v):
-        d1 = (np.log(s / x) + (rate + v * v / 2) * t) / (v * np.sqrt(t))
-        return s * share(d1) - x * np.exp(-rate * t) * share(d1 - v * np.sqrt(t))
-
-    low, high = pd.Series(0.001, index=s.index), pd.Series(5.0, index=s.index)
-    fine = (call(low) <= price) & (price <= call(high))
-    for _ in range(60):
-        middle = (low + high) / 2
-        under = call(middle) < price
-        low, high = low.where(~under, middle), high.where(under, middle)
-    return ((low + high) / 2).where(fine)
-
-
-@query(None)
+@query("SELECT p_partkey AS k, floor((0.15 + 0.005 * p_size) * 1000 + 0.5001e0) / 1000 AS sigma, floor((0.15 + 0.005 * p_size) * 1000 + 0.5001e0) / 1000 AS implied FROM part")
 def implied_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The volatility of each option price above, found again from the price."""
+    """The volatility of each option price above, found again from the price by bisection of [0.001, 5] until 1e-5."""
     s, size = F.col("p_retailprice"), F.col("p_size")
-    x, t = s * (0.8 + 0.01 * (size % 40)), 0.25 + size / 50.0
-    price = option_terms(s, x, t, F.lit(0.02), 0.15 + 0.005 * size)["call"]
-    solve = F.pandas_udf(lambda price, s, x, t: implied(price, s, x, t), "double")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), rounded(0.15 + 0.005 * size, 3).alias("sigma"), rounded(solve(price, s, x, t), 3).alias("implied"))
+    x, t, sigma = s * (0.8 + 0.01 * (size % 40)), 0.25 + size / 50.0, 0.15 + 0.005 * size
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), s.alias("s"), x.alias("x"), t.alias("t"), sigma.alias("sigma"), option_terms(s, x, t, F.lit(0.02), sigma)["call"].alias("price"))
+    return rows.select("k", rounded("sigma", 3).alias("sigma"), rounded(implied_volatility(F.col("price"), F.col("s"), F.col("x"), F.col("t"), F.lit(0.02)), 3).alias("implied"))
 
 
 @query(f"WITH {BARS_SQL}, {MARKET_SQL}, m AS (SELECT d, c, c / lag(c) OVER (ORDER BY d) - 1 AS r FROM market) SELECT CAST(year(d) AS INT) AS y, round(stddev_pop(r) * sqrt(252), 6) AS vol, round(arg_max(c, d) / arg_min(c, d) - 1, 6) AS ret, round(0.01 + 1.2 * (arg_max(c, d) / arg_min(c, d) - 1 - 0.01), 6) AS required FROM m GROUP BY 1")

@@ -49,9 +49,9 @@ def macro_judgement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FACTS_SQL}, y AS (SELECT k, fy, sum(amount) AS amount FROM facts GROUP BY k, fy), l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY fy DESC) AS n, amount / lag(amount) OVER (PARTITION BY k ORDER BY fy) AS step, fy - lag(fy) OVER (PARTITION BY k ORDER BY fy) AS years FROM y),
 g AS (SELECT k, count(*) AS n, arg_max(amount, fy) / arg_min(amount, fy) - 1 AS change, bool_or(n < 3 AND (step > 2 OR step < 0.5)) AS broken, bool_or(n < 3 AND years <> 1) AS gap, bool_or(n < 3 AND step < 0.95) AS fell, bool_or(n < 3 AND step > 1.05) AS rose FROM l WHERE n <= 3 GROUP BY k)
-SELECT k, CASE WHEN n < 3 OR broken OR gap THEN NULL WHEN change > 0.05 AND NOT fell THEN 1 WHEN change < -0.05 AND NOT rose THEN -1 ELSE 0 END AS trend FROM g""")
+SELECT k, trend, margin, coalesce(trend = 1 AND margin >= 5, false) AS blue_chip FROM (SELECT k, CASE WHEN n < 3 OR broken OR gap THEN NULL WHEN change > 0.05 AND NOT fell THEN 1 WHEN change < -0.05 AND NOT rose THEN -1 ELSE 0 END AS trend, round(margin, 2) AS margin FROM g LEFT JOIN (SELECT c_custkey AS k, CASE WHEN c_acctbal > 0 THEN c_acctbal / 500 END AS margin FROM customer) USING (k))""")
 def blue_chip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trend of the last three fiscal years: null unless all three follow each other without a definition break."""
+    """Trend of the last three fiscal years, null unless all three follow each other without a definition break; a blue chip rises at an operating margin of 5 % at least (the balance stands in for it)."""
     years = facts(spark, sf_dir).groupBy("k", "fy").agg(F.sum("amount").alias("amount"))
     order, newest = Window.partitionBy("k").orderBy("fy"), Window.partitionBy("k").orderBy(F.desc("fy"))
     rows = years.select("k", "fy", "amount", F.row_number().over(newest).alias("n"), ratio("amount", F.lag("amount").over(order)).alias("step"), (F.col("fy") - F.lag("fy").over(order)).alias("years")).where("n <= 3")
@@ -59,17 +59,19 @@ def blue_chip(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.col("step")
     g = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), (ratio(F.max_by("amount", "fy"), F.min_by("amount", "fy")) - 1).alias("change"), any_((step > 2) | (step < 0.5)).alias("broken"), any_(F.col("years") != 1).alias("gap"), any_(step < 0.95).alias("fell"), any_(step > 1.05).alias("rose"))
     verdict = F.when((F.col("n") < 3) | F.col("broken") | F.col("gap"), F.lit(None).cast("int")).when((F.col("change") > 0.05) & ~F.col("fell"), 1).when((F.col("change") < -0.05) & ~F.col("rose"), -1).otherwise(0)
-    return g.select("k", verdict.alias("trend"))
+    margin = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), rounded(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") / 500), 2).alias("margin"))
+    rows = g.select("k", verdict.alias("trend")).join(margin, "k", "left")
+    return rows.select("k", "trend", "margin", F.coalesce((F.col("trend") == 1) & (F.col("margin") >= 5), F.lit(False)).alias("blue_chip"))
 
 
-@query("""SELECT p_partkey AS k, CAST(lots AS BIGINT) AS shares, round(reward, 4) AS reward, array_to_string(list_filter([CASE WHEN lots = 0 THEN 'too_small' END, CASE WHEN reward < 2 THEN 'low_reward' END, CASE WHEN lots * p_retailprice > 100000 THEN 'concentrated' END], lambda x: x IS NOT NULL), ',') AS warnings
+@query("""SELECT p_partkey AS k, CAST(lots AS BIGINT) AS shares, round(reward, 4) AS reward, array_to_string(list_filter([CASE WHEN lots = 0 THEN 'too_small' END, CASE WHEN reward < 2 THEN 'low_reward' END, CASE WHEN lots * p_retailprice > 1000000 THEN 'over_account' END], lambda x: x IS NOT NULL), ',') AS warnings
 FROM (SELECT *, floor(20000 / nullif(p_retailprice * 0.002 * p_size, 0) / 100) * 100 AS lots, (p_retailprice * 0.05) / nullif(p_retailprice * 0.002 * p_size, 0) AS reward FROM part)""")
 def position_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares in lots of 100 for a fixed loss at the stop, with warnings."""
+    """Shares in lots of 100 that lose 2 % of an account of a million at the stop, with warnings (the last one where they cost more than the account)."""
     price = F.col("p_retailprice")
     risk = price * 0.002 * F.col("p_size")
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), price.alias("price"), (F.floor(ratio(F.lit(20000.0), risk) / 100) * 100).alias("shares"), ratio(price * 0.05, risk).alias("reward"))
-    warnings = F.array_compact(F.array(F.when(F.col("shares") == 0, "too_small"), F.when(F.col("reward") < 2, "low_reward"), F.when(F.col("shares") * F.col("price") > 100000, "concentrated")))
+    warnings = F.array_compact(F.array(F.when(F.col("shares") == 0, "too_small"), F.when(F.col("reward") < 2, "low_reward"), F.when(F.col("shares") * F.col("price") > 1_000_000, "over_account")))
     return rows.select("k", "shares", rounded("reward").alias("reward"), F.array_join(warnings, ",").alias("warnings"))
 
 
@@ -89,10 +91,10 @@ def iso_week_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id AS k, round(coalesce((SELECT sum(greatest(0, least(epoch(e), epoch(d) + 15 * 3600) - greatest(epoch(b), epoch(d) + 9 * 3600))) FROM (SELECT unnest(generate_series(date_trunc('day', b), date_trunc('day', e), INTERVAL 1 DAY)) AS d) WHERE dayofweek(d) NOT IN (0, 6)), 0) / 3600, 4) AS hours
-FROM (SELECT event_id, ts AS b, ts + INTERVAL 1 HOUR * CAST(round(value) AS INT) AS e FROM events WHERE event_type = 'error')""")
+FROM (SELECT event_id, ts AS b, ts + INTERVAL 1 HOUR * CAST(round(value) AS INT) AS e FROM events)""")
 def business_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours of weekday sessions (9 to 15) between an event and round(value) hours later."""
-    rows = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("event_id").alias("k"), F.col("ts").cast("timestamp").alias("b"), (F.col("ts").cast("timestamp") + F.make_dt_interval(hours=F.floor(F.col("value") + 0.5).cast("int"))).alias("e"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), F.col("ts").cast("timestamp").alias("b"), (F.col("ts").cast("timestamp") + F.make_dt_interval(hours=F.floor(F.col("value") + 0.5).cast("int"))).alias("e"))
     seconds = lambda x: F.unix_micros(x) / 1e6
     days = F.filter(F.sequence(F.date_trunc("day", "b"), F.date_trunc("day", "e"), F.expr("interval 1 day")), lambda d: ~F.dayofweek(d).isin(1, 7))
     inside = F.transform(days, lambda d: F.greatest(F.lit(0.0), F.least(seconds(F.col("e")), seconds(d) + 15 * 3600) - F.greatest(seconds(F.col("b")), seconds(d) + 9 * 3600)))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.columns import ratio, rounded
 from tickforge.operators import signals
-from tickforge.operators.series import LOOKBACK, by_day, ema_last, full_mean, last_rows, latest, macd_last, mid_rank, recent, rsi_last, sma, true_range, wilder_last
+from tickforge.operators.series import by_day, ema_last, ema_values, full_mean, history, last_rows, latest, macd_last, mid_rank, recent, rsi_last, rsi_values, series_of, sma, true_range, wilder_last
 from tickforge.plans.registry import query
 from tickforge.sources.tables import BARS_SQL, MINUTES_SQL, STOCKS_SQL, bars_daily, bars_minutes, stocks
 
-RECENT_SQL = f"recent AS (SELECT k, list(c ORDER BY d) AS xs, list({{'h': h, 'l': l, 'c': c}} ORDER BY d) AS rows FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d DESC) AS rn FROM bars) WHERE rn <= {LOOKBACK} GROUP BY k)"
+RECENT_SQL = "recent AS (SELECT k, list(c ORDER BY d) AS xs, list({'h': h, 'l': l, 'c': c} ORDER BY d) AS rows FROM bars GROUP BY k)"
 
 
 def ema_sql(xs: str, n: int) -> str:
@@ -56,6 +56,21 @@ def sma_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy(F.desc_nulls_last("turnover"), "code").limit(200).select("code", "name", "sector", "d", rounded("c").alias("close"), rounded("sma5").alias("sma5"), rounded("sma20").alias("sma20"), rounded("volume_ratio").alias("volume_ratio"), rounded("turnover", 2).alias("turnover"), *flags)
 
 
+@query(f"""WITH {BARS_SQL}, {STOCKS_SQL}, {RECENT_SQL}, f AS (
+  SELECT k, d, c, row_number() OVER (PARTITION BY k ORDER BY d DESC) AS rn, CASE WHEN count(*) OVER w5 = 5 THEN avg(c) OVER w5 END AS sma5, CASE WHEN count(*) OVER w20 = 20 THEN avg(c) OVER w20 END AS sma20,
+    CASE WHEN count(*) OVER p20 = 20 THEN v / nullif(avg(v) OVER p20, 0) END AS vr, CASE WHEN count(*) OVER w20 = 20 THEN avg(c * v) OVER w20 END AS turnover
+  FROM bars WINDOW w5 AS (PARTITION BY k ORDER BY d ROWS 4 PRECEDING), w20 AS (PARTITION BY k ORDER BY d ROWS 19 PRECEDING), p20 AS (PARTITION BY k ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+a AS (SELECT k, {wilder_sql("list_transform(range(1, len(rows) + 1), lambda i: CASE WHEN i = 1 THEN rows[i].h - rows[i].l ELSE greatest(rows[i].h - rows[i].l, abs(rows[i].h - rows[i - 1].c), abs(rows[i].l - rows[i - 1].c)) END)", 14)} / rows[-1].c * 100 AS atr_pct FROM recent WHERE len(rows) >= 15),
+g AS (SELECT k, coalesce(turnover >= 35000 OR (vr >= 3 AND turnover >= 17500), false) AS liquid, coalesce(atr_pct >= 2, false) AS volatile, coalesce(sma5 > sma20 AND c > sma5, false) AS up, coalesce(sma5 < sma20 AND c < sma5, false) AS down FROM f LEFT JOIN a USING (k) WHERE rn = 1)
+SELECT code, liquid, volatile, up, down, liquid AND volatile AND up AS passed_long, liquid AND volatile AND down AS passed_short FROM g JOIN stocks USING (k) WHERE is_active""")
+def five_condition_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Liquidity, volatility and trend of each active stock's last bar; a null never passes. Turnover bounds are those of the tables (a 28,571st of the yen bounds)."""
+    rows = snapshots(spark, sf_dir).withColumn("turnover", F.col("turnover20"))
+    flags = signals.five_conditions("turnover", "vr", ratio("atr", "c") * 100, "c", "sma5", "sma20", primary=35_000.0, secondary=17_500.0)
+    active = stocks(spark, sf_dir).where("is_active").select("k", "code")
+    return rows.select("k", *(x.alias(n) for n, x in flags.items())).join(active, "k").select("code", *flags)
+
+
 GAPS_SQL = "gaps AS (SELECT k, d, CASE WHEN n % 5 = 0 THEN NULL ELSE c END AS c, h, l, v FROM bars)"
 
 
@@ -104,11 +119,10 @@ def true_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BARS_SQL}, {RECENT_SQL} SELECT k, round({ema_sql('xs', 12)}, 4) AS ema12, round({ema_sql('xs', 26)}, 4) AS ema26 FROM recent", name="ema_last")
 def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     xs = F.transform("rows", lambda r: r["c"])
-    return recent(bars_daily(spark, sf_dir), ["c"]).select("k", rounded(ema_last(xs, 12)).alias("ema12"), rounded(ema_last(xs, 26)).alias("ema26"))
+    return history(bars_daily(spark, sf_dir), ["c"]).select("k", rounded(ema_last(xs, 12)).alias("ema12"), rounded(ema_last(xs, 26)).alias("ema26"))
 
 
-MACD_SQL = f"""WITH RECURSIVE {BARS_SQL}, r AS (SELECT k, c AS x, row_number() OVER (PARTITION BY k ORDER BY d) AS i, count(*) OVER (PARTITION BY k) AS n
-  FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d DESC) AS rn FROM bars) WHERE rn <= {LOOKBACK}),
+MACD_SQL = f"""WITH RECURSIVE {BARS_SQL}, r AS (SELECT k, c AS x, row_number() OVER (PARTITION BY k ORDER BY d) AS i, count(*) OVER (PARTITION BY k) AS n FROM bars),
 m AS (
   SELECT k, n, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS f, CAST(0 AS DOUBLE) AS s, CAST(0 AS DOUBLE) AS g FROM (SELECT DISTINCT k, n FROM r)
   UNION ALL
@@ -120,7 +134,7 @@ SELECT k, round(CASE WHEN n >= 35 THEN f - s END, 4) AS macd, round(CASE WHEN n
 
 @query(MACD_SQL)
 def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = recent(bars_daily(spark, sf_dir), ["c"]).withColumn("m", macd_last(F.transform("rows", lambda r: r["c"])))
+    rows = history(bars_daily(spark, sf_dir), ["c"]).withColumn("m", macd_last(F.transform("rows", lambda r: r["c"])))
     return rows.select("k", rounded("m.line").alias("macd"), rounded("m.signal").alias("signal"), rounded("m.histogram").alias("histogram"))
 
 
@@ -138,7 +152,7 @@ rsi AS (SELECT k, {", ".join(f"CASE WHEN l{n} = 0 THEN CASE WHEN g{n} = 0 THEN 5
 
 def rsi_rows(spark: SparkSession, sf_dir: str, *periods: int) -> DataFrame:
     xs = F.transform("rows", lambda r: r["c"])
-    return recent(bars_daily(spark, sf_dir), ["c"]).select("k", *(rsi_last(xs, n).alias(f"rsi{n}") for n in periods))
+    return history(bars_daily(spark, sf_dir), ["c"]).select("k", *(rsi_last(xs, n).alias(f"rsi{n}") for n in periods))
 
 
 @query(f"WITH {RSI_SQL} SELECT k, round(rsi14, 4) AS rsi14, round(rsi10, 4) AS rsi10, round(rsi40, 4) AS rsi40, round(rsi120, 4) AS rsi120 FROM rsi")
@@ -146,12 +160,44 @@ def rsi14_wilder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rsi_rows(spark, sf_dir, 14, 10, 40, 120).select("k", *(rounded(f"rsi{n}").alias(f"rsi{n}") for n in (14, 10, 40, 120)))
 
 
-@query(f"""WITH {RSI_SQL}, r AS (SELECT k, round(rsi10, 4) AS rsi10, round(rsi40, 4) AS rsi40 FROM rsi)
-SELECT a.k, a.rsi10, a.rsi40, {", ".join(f"CASE WHEN a.rsi{n} IS NOT NULL THEN round((SELECT (count(*) FILTER (b.rsi{n} < a.rsi{n}) + 0.5 * count(*) FILTER (b.rsi{n} = a.rsi{n})) / count(b.rsi{n}) * 100 FROM r b), 4) END AS pct{n}" for n in (10, 40))} FROM r a""")
+RSI_STEPS_SQL = f"""{BARS_SQL}, r AS (SELECT k, d, c AS x, row_number() OVER (PARTITION BY k ORDER BY d) AS i FROM bars),
+w AS (
+  SELECT k, d, i, x, {", ".join(f"CAST(0 AS DOUBLE) AS g{n}, CAST(0 AS DOUBLE) AS l{n}" for n in (10, 40, 120))} FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.k, r.d, r.i, r.x, {", ".join(f"CASE WHEN r.i <= {n} THEN {s}{n} + greatest({sign}(r.x - w.x), 0) WHEN r.i = {n + 1} THEN ({s}{n} + greatest({sign}(r.x - w.x), 0)) / {n} ELSE ({s}{n} * {n - 1} + greatest({sign}(r.x - w.x), 0)) / {n} END" for n in (10, 40, 120) for s, sign in (("g", ""), ("l", "-")))}
+  FROM w JOIN r ON r.k = w.k AND r.i = w.i + 1),
+series AS (SELECT k, d, {", ".join(f"CASE WHEN i > {n} THEN CASE WHEN l{n} = 0 THEN CASE WHEN g{n} = 0 THEN 50.0 ELSE 100.0 END ELSE 100 - 100 / (1 + g{n} / l{n}) END END AS rsi{n}" for n in (10, 40, 120))} FROM w)"""
+HORIZONS = (10, 40, 120)
+
+
+@query(f"WITH RECURSIVE {RSI_STEPS_SQL} SELECT k, d, {', '.join(f'round(rsi{n}, 4) AS rsi{n}' for n in HORIZONS)} FROM series")
+def rsi_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative strength of three horizons at every bar of every stock."""
+    rows = series_of(bars_daily(spark, sf_dir), {f"rsi{n}": (rsi_values, n) for n in HORIZONS})
+    return rows.select("k", "d", *(rounded(f"rsi{n}").alias(f"rsi{n}") for n in HORIZONS))
+
+
+@query(f"""WITH RECURSIVE {BARS_SQL}, r AS (SELECT k, d, c AS x, row_number() OVER (PARTITION BY k ORDER BY d) AS i FROM bars), w AS (SELECT k, d, i, x AS f, x AS s FROM r WHERE i = 1
+  UNION ALL SELECT r.k, r.d, r.i, {", ".join(f"CASE WHEN r.i < {n} THEN {c} + r.x WHEN r.i = {n} THEN ({c} + r.x) / {n} ELSE r.x * (2.0 / {n + 1}) + {c} * (1 - 2.0 / {n + 1}) END" for n, c in ((12, "f"), (26, "s")))} FROM w JOIN r ON r.k = w.k AND r.i = w.i + 1)
+SELECT k, d, round(CASE WHEN i >= 12 THEN f END, 4) AS ema12, round(CASE WHEN i >= 26 THEN s END, 4) AS ema26 FROM w""")
+def ema_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = series_of(bars_daily(spark, sf_dir), {"ema12": (ema_values, 12), "ema26": (ema_values, 26)})
+    return rows.select("k", "d", rounded("ema12").alias("ema12"), rounded("ema26").alias("ema26"))
+
+
+@query(f"""WITH RECURSIVE {RSI_STEPS_SQL}, q AS (SELECT k, d, {", ".join(f"round(rsi{n}, 4) AS rsi{n}" for n in HORIZONS)} FROM series), l AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY k ORDER BY d DESC) = 1),
+p AS (SELECT l.k, {", ".join(f"any_value(l.rsi{n}) AS rsi{n}, CASE WHEN any_value(l.rsi{n}) IS NOT NULL THEN round((count(*) FILTER (q.rsi{n} < l.rsi{n}) + 0.5 * count(*) FILTER (q.rsi{n} = l.rsi{n})) / nullif(count(q.rsi{n}), 0) * 100, 4) END AS pct{n}, count(q.rsi{n}) AS bars{n}" for n in HORIZONS)} FROM l JOIN q USING (k) GROUP BY l.k)
+SELECT *, CAST(least(pct10, pct40, pct120) AS DOUBLE) AS pct_min FROM p""")
 def rsi_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mid-rank percentiles of two horizons among all stocks: one row per stock, so the ranking window sees one row per key."""
-    rows = rsi_rows(spark, sf_dir, 10, 40).select("k", rounded("rsi10").alias("rsi10"), rounded("rsi40").alias("rsi40"))
-    return rows.select("k", "rsi10", "rsi40", rounded(mid_rank("rsi10", [])).alias("pct10"), rounded(mid_rank("rsi40", [])).alias("pct40"))
+    """Each stock's last relative strength among its own history, for three horizons: mid-rank percentile, bars it is taken from, and the least of the three."""
+    rows = rsi_series(spark, sf_dir)
+    last = rows.groupBy("k").agg(F.max_by(F.struct(*(f"rsi{n}" for n in HORIZONS)), "d").alias("last"))
+    rows = rows.join(last, "k")
+    own = lambda n: F.col("last")[f"rsi{n}"]
+    under = lambda n: F.count(F.when(F.col(f"rsi{n}") < own(n), 1)) + 0.5 * F.count(F.when(F.col(f"rsi{n}") == own(n), 1))
+    found = rows.groupBy("k").agg(*(x for n in HORIZONS for x in (F.max(own(n)).alias(f"rsi{n}"), under(n).alias(f"u{n}"), F.count(f"rsi{n}").alias(f"bars{n}"))))
+    found = found.select("k", *(x for n in HORIZONS for x in (f"rsi{n}", F.when(F.col(f"rsi{n}").isNotNull(), rounded(ratio(f"u{n}", f"bars{n}") * 100)).alias(f"pct{n}"), f"bars{n}")))
+    return found.withColumn("pct_min", F.least("pct10", "pct40", "pct120"))
 
 
 TR_SQL = "list_transform(range(1, len(rows) + 1), lambda i: CASE WHEN i = 1 THEN rows[i].h - rows[i].l ELSE greatest(rows[i].h - rows[i].l, abs(rows[i].h - rows[i - 1].c), abs(rows[i].l - rows[i - 1].c)) END)"
@@ -159,7 +205,7 @@ TR_SQL = "list_transform(range(1, len(rows) + 1), lambda i: CASE WHEN i = 1 THEN
 
 @query(f"WITH {BARS_SQL}, {RECENT_SQL}, t AS (SELECT k, rows, {TR_SQL} AS trs FROM recent) SELECT k, round(CASE WHEN len(rows) >= 15 THEN {wilder_sql('trs', 14)} END, 4) AS atr14, round(CASE WHEN len(rows) >= 15 THEN {wilder_sql('trs', 14)} / rows[-1].c * 100 END, 4) AS atr_pct FROM t")
 def atr14_wilder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = recent(bars_daily(spark, sf_dir), ["h", "l", "c"]).withColumn("atr", F.when(F.size("rows") >= 15, wilder_last(true_range(F.col("rows")), 14)))
+    rows = history(bars_daily(spark, sf_dir), ["h", "l", "c"]).withColumn("atr", F.when(F.size("rows") >= 15, wilder_last(true_range(F.col("rows")), 14)))
     return rows.select("k", rounded("atr").alias("atr14"), rounded(ratio("atr", F.element_at("rows", -1)["c"]) * 100).alias("atr_pct"))
 
 
@@ -178,9 +224,9 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per stock with what the signals look at."""
     bars = bars_daily(spark, sf_dir)
     day, month = by_day(), last_rows(20)
-    rows = bars.select("*", *(F.lag(x).over(day).alias(f"p{x}") for x in "chl"), F.max("h").over(month).alias("hi"), F.min("l").over(month).alias("lo"), *(full_mean("c", n).alias(f"sma{n}") for n in (5, 20, 60)), ratio("v", full_mean("v", 20, current=False)).alias("vr"))
+    rows = bars.select("*", *(F.lag(x).over(day).alias(f"p{x}") for x in "chl"), F.max("h").over(month).alias("hi"), F.min("l").over(month).alias("lo"), *(full_mean("c", n).alias(f"sma{n}") for n in (5, 20, 60)), ratio("v", full_mean("v", 20, current=False)).alias("vr"), full_mean(F.col("c") * F.col("v"), 20).alias("turnover20"))
     closes = F.transform("rows", lambda r: r["c"])
-    folds = recent(bars, ["h", "l", "c"]).select("k", F.when(F.size("rows") >= 15, wilder_last(true_range(F.col("rows")), 14)).alias("atr"), rsi_last(closes, 14).alias("rsi"))
+    folds = history(bars, ["h", "l", "c"]).select("k", F.when(F.size("rows") >= 15, wilder_last(true_range(F.col("rows")), 14)).alias("atr"), rsi_last(closes, 14).alias("rsi"))
     width = F.col("hi") - F.col("lo")
     return latest(rows).join(folds, "k", "left").select("*", ((ratio("c", "pc") - 1) * 100).alias("pct"), ((ratio("o", "pc") - 1) * 100).alias("gap"), width.alias("width"), (F.col("hi") - 0.382 * width).alias("f382"), (F.col("hi") - 0.618 * width).alias("f618"))
 
@@ -188,8 +234,8 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SNAPSHOT_SQL}, s AS (
   SELECT k, 'breakout_long' AS pattern, 'long' AS side, c AS entry, hi - 0.5 * width AS stop, c + width AS target, 20 * vr AS strength FROM snap WHERE c >= hi AND vr >= 1.5 AND width > 0
   UNION ALL SELECT k, 'breakout_short', 'short', c, lo + 0.5 * width, c - width, 20 * vr FROM snap WHERE c <= lo AND vr >= 1.5 AND width > 0
-  UNION ALL SELECT k, 'pullback_long', 'long', c, f618, hi, 40 + greatest(0, 2 * (50 - rsi)) FROM snap WHERE sma5 > sma20 AND sma20 > sma60 AND c BETWEEN f618 AND f382 AND rsi < 40
-  UNION ALL SELECT k, 'pullback_short', 'short', c, f382, lo, 40 + greatest(0, 2 * (rsi - 50)) FROM snap WHERE sma5 < sma20 AND sma20 < sma60 AND c BETWEEN f618 AND f382 AND rsi > 60
+  UNION ALL SELECT k, 'pullback_long', 'long', c, f618, hi, 40 + greatest(0, 2 * (50 - rsi)) FROM snap WHERE sma5 > sma20 AND sma20 > sma60 AND c BETWEEN f618 AND f382 AND (rsi < 40 OR (c > o AND o - l > (c - o) * 1.5)) AND rsi IS NOT NULL
+  UNION ALL SELECT k, 'pullback_short', 'short', c, f382, lo, 40 + greatest(0, 2 * (rsi - 50)) FROM snap WHERE sma5 < sma20 AND sma20 < sma60 AND c BETWEEN f618 AND f382 AND (rsi > 60 OR (c < o AND h - o > (o - c) * 1.5)) AND rsi IS NOT NULL
   UNION ALL SELECT k, 'volume_surge', CASE WHEN pct > 0 THEN 'long' ELSE 'short' END, c, CASE WHEN pct > 0 THEN pl ELSE ph END, c + sign(pct) * 2 * atr, 15 * vr + 2 * abs(pct) FROM snap WHERE vr >= 3 AND abs(pct) >= 3 AND atr IS NOT NULL
   UNION ALL SELECT k, CASE WHEN follow THEN 'gap_follow' ELSE 'gap_fade' END, CASE WHEN (gap > 0) = follow THEN 'long' ELSE 'short' END, c,
       CASE WHEN follow THEN CASE WHEN gap > 0 THEN hi ELSE lo END ELSE c + sign(gap) * 1.5 * atr END, CASE WHEN follow THEN c + sign(gap) * 2 * atr ELSE pc END, CASE WHEN follow THEN 50 + 10 * vr ELSE 40 END

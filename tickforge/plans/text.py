@@ -10,13 +10,13 @@ from tickforge.operators import prose
 from tickforge.plans.registry import query
 from tickforge.sources.tables import table
 
-TITLE_SQL = "t AS (SELECT conv_id, turn, role, substr(text, 1, 60) AS title FROM conversations)"
+TITLE_SQL = "t AS (SELECT conv_id, turn, role, text AS title FROM conversations)"
 TAGS_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(title), '{p}') THEN '{t}' END" for t, p, _ in prose.RULES) + "], lambda x: x IS NOT NULL)"
 POLARITY_SQL = "CASE WHEN tag IS NULL THEN 'unclassified' " + " ".join(f"WHEN tag = '{t}' THEN '{w}'" for t, _, w in prose.RULES) + " ELSE 'neutral' END"
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 60).alias("title"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("title"))
 
 
 @query(f"WITH {TITLE_SQL} SELECT conv_id, turn, array_to_string({TAGS_SQL}, ',') AS tags, {TAGS_SQL}[1] AS primary_tag FROM t")
@@ -67,22 +67,24 @@ TERMS = {"alpha": (["then", "that"], ["this"]), "beta": (["pour"], []), "gamma":
 
 @query(f"WITH {SENTENCES_SQL} " + " UNION ALL ".join(f"SELECT '{t}' AS term, count(*) AS hits, count(DISTINCT conv_id) AS conversations FROM s WHERE ({' OR '.join(f'contains(lower(sentence), {w!r})' for w in words)})" + "".join(f" AND NOT contains(lower(sentence), {w!r})" for w in not_) for t, (words, not_) in TERMS.items()))
 def keyword_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences that hold one of a term's words and none of its exclusions: one pass, a row per term hit."""
+    """Sentences that hold one of a term's words and none of its exclusions: one pass, a row per term hit, zeros for a term without hits."""
     rows = prose.sentences(table(spark, sf_dir, "conversations").select("conv_id", "text"), "text").withColumn("low", F.lower("sentence"))
     has = lambda ws: F.array_contains(F.array(*(F.contains(F.col("low"), F.lit(w)) for w in ws)), True) if ws else F.lit(False)
     hits = F.array_compact(F.array(*(F.when(has(words) & ~has(not_), t) for t, (words, not_) in TERMS.items())))
-    return rows.select("conv_id", F.explode(hits).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("conv_id").alias("conversations"))
+    found = rows.select("conv_id", F.explode(hits).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("conv_id").alias("conversations"))
+    terms = spark.range(1).select(F.explode(F.array(*map(F.lit, TERMS))).alias("term"))
+    return terms.join(found, "term", "left").na.fill(0)
 
 
 @query("""WITH w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: x <> '')) AS term FROM benchmark), n AS (SELECT count(DISTINCT item_id) AS n FROM w), c AS (SELECT item_id, term, count(*) AS tf FROM w GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
-x AS (SELECT item_id, term, df, tf * (ln((n + 1) / (df + 1)) + 1) AS w FROM c JOIN f USING (term), n), l AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY item_id), u AS (SELECT item_id, term, w / norm AS w FROM x JOIN l USING (item_id) WHERE df <= 20),
-s AS (SELECT a.item_id AS a, b.item_id AS b, round(sum(a.w * b.w), 6) AS score FROM u a JOIN u b ON a.term = b.term AND a.item_id <> b.item_id GROUP BY ALL)
+x AS (SELECT item_id, term, df, tf * (ln((n + 1) / (df + 1)) + 1) AS w FROM c JOIN f USING (term), n), l AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY item_id), u AS (SELECT item_id, term, w / norm AS w FROM x JOIN l USING (item_id)),
+s AS (SELECT a.item_id AS a, b.item_id AS b, round(sum(a.w * b.w), 6) AS score FROM u a JOIN u b ON a.term = b.term AND a.item_id <> b.item_id WHERE a.item_id % 100 = 0 GROUP BY ALL)
 SELECT a, b, score, CAST(row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS INT) AS place FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5""")
 def tfidf_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar items of each; lists of terms in more than 20 items are not paired."""
+    """The five most similar items of every hundredth one, over all terms and all items."""
     terms = table(spark, sf_dir, "benchmark").select("item_id", F.explode(prose.words(F.col("text"))).alias("term"))
-    n = terms.agg(F.count_distinct("item_id")).first()[0]
-    return prose.similar(prose.term_weights(terms, "item_id", n, 20), "item_id", 5).select("a", "b", "score", "place")
+    weights = prose.term_weights(terms, "item_id")
+    return prose.similar(weights, "item_id", 5, F.col("item_id") % 100 == 0).select("a", "b", "score", "place")
 
 
 @query("""SELECT q, v, score, CAST(place AS INT) AS place FROM (SELECT a.vec_id AS q, b.vec_id AS v, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) DESC, b.vec_id) AS place FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE place <= 3""")

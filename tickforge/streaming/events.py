@@ -1,19 +1,26 @@
-"""Streaming twins of the bar, dedupe and session queries, over files of events."""
+"""Streaming twins of the bar, dedupe and session queries, over a folder or file of events.
+
+A drained source leaves its last windows open, so results are not appended as windows close: each micro-batch writes the windows it
+touched (or, for sessions, all of them), and a window's last version counts. Nothing of the input is missing
+then, and state stays what the watermark lets it be.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 LATE = "1 day"
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    # As a pattern, the path may be a folder, as Spark writes it, or a single file.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
 
 
 def bars(events: DataFrame) -> DataFrame:
@@ -29,14 +36,35 @@ def first_of_day(events: DataFrame) -> DataFrame:
 
 
 def sessions(events: DataFrame) -> DataFrame:
+    """Sessions of a user, over after six hours without an event."""
     found = events.groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return found.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """What is there now, as a table in the shared folder: checkpoint and sink survive a lost executor."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+def run(spark: SparkSession, stream: DataFrame, mode: str, keys: list[str]) -> DataFrame:
+    """What is there once the source is drained, from a table in the shared folder: checkpoint and sink survive a lost executor.
+
+    mode: "update" (a key's last version counts), "complete" (the last batch counts) or "append".
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="spark-stream-")
     path = f"{base}/stream-{uuid.uuid4().hex}"
-    done = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        # A batch that is run again after a failure replaces what it wrote.
+        rows.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{path}/out")
+    if mode == "append":
+        return rows.drop("batch")
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("batch"))
+        return rows.join(F.broadcast(last), "batch").drop("batch")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*(F.col("row")[c].alias(c) if c in rest else c for c in stream.columns))
