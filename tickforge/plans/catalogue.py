@@ -1,6 +1,6 @@
 """All queries on the star-schema tables: their Spark form, and the SQL that checks each."""
 
-from tickforge.plans import filings, incremental, quant, scalars, screening, technical, text
+from tickforge.plans import filings, incremental, ledger, quant, scalars, screening, screens, technical, text
 from tickforge.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "filings", "incremental", "quant", "scalars", "screening", "technical", "text"]
+__all__ = ["ORACLE_SQL", "QUERIES", "filings", "incremental", "ledger", "quant", "scalars", "screening", "screens", "technical", "text"]
