@@ -182,3 +182,36 @@ def split_ratio(title: Column) -> Column:
     text = F.translate(title, WIDE, NARROW)
     pattern = r"([0-9]+)株(?:を|につき)([0-9]+)株"
     return F.try_divide(F.regexp_extract(text, pattern, 2).try_cast("double"), F.regexp_extract(text, pattern, 1).try_cast("double"))
+
+
+# Where a dividend stands, by priority; what losses and gains are called.
+DIVIDENDS = ["1 株当たり配当金 合計", "1株当たり配当金合計", "合計 (年間)", "年間配当", "年間", "1 株当たり配当金", "1株当たり配当金", "1 株当たり配当", "1株当たり配当", "期末配当", "中間配当"]
+LOSSES = ["特別損失", "減損損失", "特損", "減損の計上", "減損損失の計上"]
+GAINS = ["特別利益", "特益"]
+
+
+def with_dividend_revision(df: DataFrame, text: str, name: str, window: int = 160) -> DataFrame:
+    """df with the side of a dividend revision: of the first key whose first two figures in yen, within `window` characters behind it, differ; else unknown."""
+    df = df.withColumn("_norm", plain_figure(F.col(text)))
+    found = lambda stretch: F.transform(F.regexp_extract_all(stretch, F.lit(rf"{FIGURE}\s*(?:{UNIT})?"), F.lit(0)), lambda m: F.struct(figure(F.regexp_extract(m, FIGURE, 0)).alias("n"), F.regexp_extract(m, UNIT, 0).alias("unit")))
+    yen = lambda key: F.filter(found(F.substring("_norm", F.instr("_norm", key), F.lit(len(key) + window))), lambda x: x["n"].isNotNull() & (x["unit"] == "円"))
+    df = df.withColumns({f"_yen{i}": F.when(F.instr("_norm", key) > 0, yen(key)) for i, key in enumerate(DIVIDENDS)})
+    moves = F.array_compact(F.array(*(F.signum(F.get(f"_yen{i}", F.lit(1))["n"] - F.get(f"_yen{i}", F.lit(0))["n"]) for i in range(len(DIVIDENDS)))))
+    first = F.get(F.filter(moves, lambda m: m != 0), F.lit(0))
+    return df.withColumn(name, F.when(first > 0, "positive").when(first < 0, "negative").otherwise("unknown")).drop("_norm", *(f"_yen{i}" for i in range(len(DIVIDENDS))))
+
+
+def with_extraordinary_items(df: DataFrame, text: str, name: str, window: int = 100, weight: float = 2.0) -> DataFrame:
+    """df with the side of extraordinary items: the sums of the first amounts behind every mention of losses and of gains; one `weight` times the other decides."""
+    amounts = r"([0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?)\s*(" + UNIT + ")"
+    df = df.withColumn("_norm", plain_figure(F.col(text)))
+
+    def total(keys: list[str]) -> Column:
+        behind = F.concat(*(F.regexp_extract_all("_norm", F.lit(rf"{key}(?=([\s\S]{{0,{window}}}))"), F.lit(1)) for key in keys))
+        yen = F.transform(behind, lambda s: F.coalesce(figure(F.regexp_extract(s, amounts, 1)) * unit_factor(F.regexp_extract(s, amounts, 2)), F.lit(0.0)))
+        return F.aggregate(yen, F.lit(0.0), lambda a, x: a + x)
+
+    df = df.withColumns({"_loss": total(LOSSES), "_gain": total(GAINS)})
+    loss, gain = F.col("_loss"), F.col("_gain")
+    side = F.when((loss > 0) | (gain > 0), F.when(loss >= weight * gain, "negative").when(gain >= weight * loss, "positive").otherwise("mixed")).otherwise("unknown")
+    return df.withColumn(name, side).drop("_norm", "_loss", "_gain")

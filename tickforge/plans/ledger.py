@@ -122,8 +122,9 @@ def tiered_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(prices, "k").select("k", "least", pct.alias("p")).select("k", "least", rounded(F.when((F.col("p") > 0) & (F.col("p") <= 50), F.col("p")), 1).alias("pct"))
 
 
-REGIONS = {"china": ["CHINA"], "asia": ["CHINA", "INDIA", "JAPAN"], "europe": ["FRANCE", "GERMANY"], "americas": ["CANADA", "BRAZIL"]}
-OVERSEAS_SQL = "f AS (SELECT o_custkey AS k, CAST(year(o_orderdate) AS INT) AS fy, o_orderdate AS stamp, CASE o_orderkey % 4 WHEN 0 THEN 'total' WHEN 1 THEN 'overseas_total' ELSE 'overseas' END AS kind, n_name AS region, o_totalprice AS yen FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"
+#: Names of a bucket of regions; a name of two buckets (here of a fifth of Asia) counts in none.
+REGIONS = {"china": ["NATION_2"]} | {key: [f"NATION_{n}" for n in range(first, 25, 5)] for key, first in {"asia": 2, "europe": 3, "americas": 1}.items()}
+OVERSEAS_SQL = "f AS (SELECT o_custkey AS k, CAST(year(o_orderdate) AS INT) AS fy, date_trunc('year', o_orderdate) + CASE WHEN month(o_orderdate) > 6 THEN INTERVAL 6 MONTH ELSE INTERVAL 0 MONTH END AS stamp, CASE o_orderkey % 4 WHEN 0 THEN 'total' WHEN 1 THEN 'overseas_total' ELSE 'overseas' END AS kind, n_name AS region, o_totalprice AS yen FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"
 
 
 @query(f"""WITH {OVERSEAS_SQL}, b AS (SELECT *, list_filter([{", ".join(f"CASE WHEN region IN ({', '.join(repr(x) for x in names)}) THEN '{key}' END" for key, names in REGIONS.items())}], lambda x: x IS NOT NULL) AS keys FROM f), r AS (SELECT * FROM b WHERE kind <> 'overseas' OR len(keys) = 1),
@@ -131,10 +132,10 @@ w AS (SELECT * FROM r QUALIFY stamp = max(stamp) OVER (PARTITION BY k, fy)), y A
 n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY fy DESC) AS i FROM y WHERE overseas IS NOT NULL OR total IS NOT NULL)
 SELECT k, count(*) AS years, max(fy) AS last_fy, round(arg_max(overseas, fy) FILTER (overseas IS NOT NULL), 2) AS overseas, round(sum(europe), 2) AS europe, round(CASE WHEN sum(total) > 0 THEN sum(overseas) / sum(total) END, 6) AS share FROM n WHERE i <= 5 GROUP BY k""")
 def overseas_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overseas sales of the last five years that have a total: the rows of the latest submission of a year by kind, regions only where exactly one bucket takes them."""
+    """Overseas sales of the last five years that have a total: the rows of a year's last submission (its half-years) by kind, regions only where exactly one bucket takes them."""
     names = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("region"))
     n = F.col("o_orderkey") % 4
-    rows = table(spark, sf_dir, "orders").join(names, "o_custkey").select(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("fy"), F.col("o_orderdate").alias("at"), F.when(n == 0, "total").when(n == 1, "overseas_total").otherwise("overseas").alias("kind"), "region", F.col("o_totalprice").alias("yen"))
+    rows = table(spark, sf_dir, "orders").join(names, "o_custkey").select(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("fy"), (F.month("o_orderdate") > 6).alias("at"), F.when(n == 0, "total").when(n == 1, "overseas_total").otherwise("overseas").alias("kind"), "region", F.col("o_totalprice").alias("yen"))
     keys = F.array_compact(F.array(*(F.when(F.col("region").isin(own), key) for key, own in REGIONS.items())))
     rows = rows.withColumn("keys", keys).where((F.col("kind") != "overseas") | (F.size("keys") == 1))
     latest = rows.groupBy("k", "fy").agg(F.max("at").alias("at"))
