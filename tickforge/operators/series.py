@@ -6,11 +6,14 @@ days, whatever the number of trades; last values are one fold over it, whole ser
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import ratio
+from tickforge.sources.shared import written
 
 
 def by_day(key: str = "k", day: str = "d") -> WindowSpec:
@@ -159,25 +162,19 @@ def macd_last(xs: Column, fast: int = 12, slow: int = 26, signal: int = 9) -> Co
     return F.when(F.size(xs) >= slow + signal, F.struct(line.alias("line"), done["g"].alias("signal"), (line - done["g"]).alias("histogram")))
 
 
-def mid_rank(value: str, partition: list[str]) -> Column:
-    """100 * (values under it + half of those equal to it) / values; nulls neither count nor get one."""
-    over = Window.partitionBy(*partition)
-    ordered = over.orderBy(value)
-    upto = F.count(value).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    equal = F.count(value).over(Window.partitionBy(*partition, value))
-    return F.when(F.col(value).isNotNull(), (upto - equal + 0.5 * equal) / F.count(value).over(over) * 100)
-
-
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with each row's number in a total order: ranges are sorted apart, and begin behind the rows of the ranges before.
+def numbered(df: DataFrame, *order: Column, name: str, observed: Sequence[Column] = ()) -> tuple[DataFrame, dict]:
+    """df with each row's number from 1 in a total order, and the values of the aggregates in `observed`.
 
-    No task holds more than a range; what meets in one is a count per range.
+    Ranges are sorted apart and written once, each row with its place in its range; a range begins behind the rows of those
+    before it. Counts and rows are read from the one table, so they cannot disagree about where a range begins. No task holds
+    more than a range; what meets in one is a count per range. Rows that are equal in `order` are numbered in any order.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    at = F.monotonically_increasing_id()
+    ranged, seen = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), *observed)
     ranged = ranged.withColumns({"_range": F.shiftright("_at", 33), "_own": F.col("_at").bitwiseAND((1 << 33) - 1)})
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
     before = counts.select("_range", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranged.join(before, "_range").withColumn(name, F.col("_before") + F.col("_own") + 1).drop("_at", "_range", "_own", "_before")
+    return ranged.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own") + 1).drop("_at", "_range", "_own", "_before"), seen
 
 
 def mean_change(now: Column, before: Column) -> Column:

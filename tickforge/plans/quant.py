@@ -46,7 +46,7 @@ def momentum_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = log_returns(latest(bars_daily(spark, sf_dir).where("c > 0"), 60))
     s = rows.groupBy("k").agg((F.max_by("c", "d") / F.min_by("c", "d") - 1).alias("cum"), (F.stddev_samp("r") * YEAR).alias("vol"), F.count(F.lit(1)).alias("n")).where("n = 60")
     s = s.withColumn("score", F.when(F.col("vol") == 0, 0.0).otherwise(F.col("cum") / F.col("vol")))
-    ranked = numbered(s, [F.desc("score"), F.col("k")], "place")
+    ranked, _ = numbered(s, F.desc("score"), F.col("k"), name="place")
     return ranked.select("k", rounded("cum", 6).alias("cum"), rounded("score", 6).alias("score"), F.col("place").cast("int").alias("place"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.columns import rounded
 from tickforge.operators import screens
+from tickforge.operators.series import numbered
 from tickforge.plans.filings import GROWTH_SQL, growth
 from tickforge.plans.registry import query
 from tickforge.plans.technical import HORIZONS, RSI_STEPS_SQL, rsi_percentile
@@ -131,12 +132,10 @@ def date_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {STOCKS_SQL}, r AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS i, count(*) OVER () AS n FROM stocks) SELECT code, CAST((i - CAST(floor(n * ((42 * 0.618033988749895) % 1)) AS BIGINT) + n) % n AS BIGINT) AS turn FROM r WHERE (i - CAST(floor(n * ((42 * 0.618033988749895) % 1)) AS BIGINT) + n) % n < 30")
 def rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The thirty stocks whose turn it is: all in order of code, from a start that moves by the golden ratio each day."""
-    from tickforge.operators.series import numbered
-
-    rows = numbered(stocks(spark, sf_dir).select("code"), [F.col("code")], "i")
-    size = rows.agg(F.count(F.lit(1)).alias("n"))
-    start = F.floor(F.col("n") * ((42 * 0.618033988749895) % 1)).cast("long")
-    return rows.crossJoin(F.broadcast(size)).select("code", F.pmod(F.col("i") - 1 - start, F.col("n")).alias("turn")).where("turn < 30")
+    rows, seen = numbered(stocks(spark, sf_dir).select("code"), F.col("code"), name="i", observed=[F.count(F.lit(1)).alias("n")])
+    n = seen["n"]
+    start = int(n * ((42 * 0.618033988749895) % 1))
+    return rows.select("code", F.pmod(F.col("i") - 1 - start, F.lit(max(n, 1))).alias("turn")).where("turn < 30")
 
 
 @query(f"""WITH {STOCKS_SQL}, s AS (SELECT l_suppkey AS k, round(avg(l_discount) * 100, 4) AS score FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1), b AS (SELECT user_id AS k, array_to_string(list_sort(list(DISTINCT event_type)), '|') AS kinds FROM events WHERE user_id % 2 = 0 GROUP BY 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.columns import ratio, rounded
 from tickforge.operators import signals
-from tickforge.operators.series import by_day, ema_last, ema_values, full_mean, history, last_rows, latest, macd_last, mid_rank, recent, rsi_last, rsi_values, series_of, sma, true_range, wilder_last
+from tickforge.operators.series import by_day, ema_last, ema_values, full_mean, history, last_rows, latest, macd_last, recent, rsi_last, rsi_values, series_of, sma, true_range, wilder_last
 from tickforge.plans.registry import query
 from tickforge.sources.tables import BARS_SQL, MINUTES_SQL, STOCKS_SQL, bars_daily, bars_minutes, stocks
 

@@ -7,12 +7,12 @@ then, and state stays what the watermark lets it be.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tickforge.sources.shared import fresh_path
+
 LATE = "1 day"
 
 
@@ -46,14 +46,7 @@ def run(spark: SparkSession, stream: DataFrame, mode: str, keys: list[str]) -> D
 
     mode: "update" (a key's last version counts), "complete" (the last batch counts) or "append".
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-stream-")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
 
     def keep(rows: DataFrame, batch: int) -> None:
         # A batch that is run again after a failure replaces what it wrote.
