@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -11,9 +9,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickforge.sources.shared import drop_table, shared_dir, written
+
+__all__ = ["batched", "connected_components", "drop_table", "forest", "hash_words", "letters", "mixed", "ngram_hashes", "read", "shared_dir", "slices", "utf8", "written"]
+
 #: Text bytes that one step inside a Python worker looks at together.
 STEP_BYTES = 1 << 20
 #: Rows of texts that Spark sends to a Python worker together.
@@ -31,49 +33,6 @@ def batched(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only in local mode, where none need be set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = _own_dir()
-    return base
-
-
-@cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-shared-")
-
-
-#: Lets Spark delete a write's shuffle files as soon as the write is done.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, *observed) -> tuple[DataFrame, dict]:
-    """df as a Parquet table in the shared folder, and the values of the aggregates in `observed`.
-
-    Cuts lineage and survives lost executors. The write's shuffle files go with it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tickforge-{uuid.uuid4().hex}"
-    if observed:
-        seen = Observation()
-        df = df.observe(seen, *observed)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path), (seen.get if observed else {}) | {"path": path}
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = STEP_BYTES, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose texts stay under most_bytes (one longer text comes alone)."""
     for batch in batches:

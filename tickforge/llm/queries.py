@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickforge.llm import embedding_dedup, language_id, line_dedup, minhash_dedup, packing, pii, quality_rules, sentencepiece_codec, tokens, toxicity
+from tickforge.llm import embedding_dedup, importance, language_id, line_dedup, minhash_dedup, oracles, packing, periodic_runs, pii, quality_rules, sentencepiece_codec, substring_dedup, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embedding_dedup.op1,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": line_dedup.op8,
     "op9_token_counts": tokens.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_importance_resampling": importance.op11,
+    "op12_periodic_runs": periodic_runs.op12,
+    "op13_substring_dedup": substring_dedup.op13,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.OP8_SQL, "op11_importance_resampling": oracles.OP11_SQL, "op12_periodic_runs": oracles.OP12_SQL, "op13_substring_dedup": oracles.OP13_SQL}
