@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import ratio
-from tickforge.sources.shared import written
+from tickforge.sources.shared import drop_table, written
 
 
 def by_day(key: str = "k", day: str = "d") -> WindowSpec:
@@ -169,8 +169,10 @@ def numbered(df: DataFrame, *order: Column, name: str, observed: Sequence[Column
     before it. Counts and rows are read from the one table, so they cannot disagree about where a range begins. No task holds
     more than a range; what meets in one is a count per range. Rows that are equal in `order` are numbered in any order.
     """
-    at = F.monotonically_increasing_id()
-    ranged, seen = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), *observed)
+    # Finding the ranges reads the rows once more, so what makes them is not run again for it.
+    rows, seen = written(df, *observed)
+    ranged, _ = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    drop_table(df.sparkSession, seen["path"])
     ranged = ranged.withColumns({"_range": F.shiftright("_at", 33), "_own": F.col("_at").bitwiseAND((1 << 33) - 1)})
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
     before = counts.select("_range", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
