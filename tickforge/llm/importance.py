@@ -87,7 +87,11 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS, orders: int = ORDERS
 
 def gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Each bucket's whole gain in thousandths: the log of its smoothed share of target over that of source."""
-    table = lambda counts: np.bincount(*zip(*((r.bucket, r.n) for r in counts.collect()), strict=True), buckets).astype(np.int64).tolist() if counts.take(1) else [0] * buckets
+
+    def table(counts: DataFrame) -> list[int]:
+        held = {r.bucket: r.n for r in counts.collect()}
+        return [held.get(i, 0) for i in range(buckets)]
+
     s, t = table(source), table(target)
     of_s, of_t = sum(s) + buckets, sum(t) + buckets
     gain = lambda own, other: math.floor(1000 * math.log((float(other + 1) * float(of_s)) / (float(own + 1) * float(of_t))))
