@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -388,6 +389,30 @@ def test_round_trip(spark, docs):
     assert sorted(map(str, coded.drop("ids").collect())) == sorted(map(str, again.drop("ids").collect()))
 
 
+def test_added_finds_equal_plain_loops():
+    draw = np.random.default_rng(2)
+    for _ in range(300):
+        span = lambda: (a := int(draw.integers(0, 60)), a + int(draw.integers(1, 15)))
+        taken = [span() for _ in range(int(draw.integers(0, 5)))]
+        finds = [(int(draw.integers(0, 4)), *span()) for _ in range(int(draw.integers(0, 25)))]
+        new = []
+        for kind, s, e in finds:
+            inside = [x for x in new if s <= x[0] and x[2] <= e]
+            if all(e <= a or s >= b for a, b in taken) and all(x in inside or e <= x[0] or s >= x[2] for x in new):
+                new = [x for x in new if x not in inside] + [(s, kind, e)]
+        assert sorted(pii.apart(finds, taken)) == sorted(new)
+
+
+def test_a_text_with_50_000_spans_takes_seconds():
+    began = time.time()
+    base, new = pii.spans_of("\n".join(f"10.0.{i % 256}.{i % 200} user{i}@host.example.com GET" for i in range(25_000)))
+    assert (len(base), len(new)) == (50_000, 0)
+    base, new = pii.spans_of("\n".join(f"user{i} [at] host{i} [dot] com" for i in range(25_000)))
+    assert (len(base), len(new)) == (0, 25_000)
+    base, new = pii.spans_of("1." * 50_000)
+    assert len(new) == 0 and time.time() - began < 15
+
+
 # Packing and token counts
 
 
@@ -396,6 +421,15 @@ def reference_ids(texts):
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+def test_token_ids_of_awkward_words_equal_the_tokenizer():
+    """30,000 strings of letters that lower case or composition changes, combining marks, ligatures, figures and unspaced scripts, next to marks."""
+    draw = np.random.default_rng(7)
+    pieces = [*"aZéßİıĞşΣσςﬁﬀǅÅÅ１²½ⅷ日本語かがゖアｱーไทยกำ한ᄀ\u1161नमस्ते\u0307\u0301\u0338\u00a0\u2028\u3000", *"abcXYZ ,.!?()[]{}<>=+-_~^`@#'\"*/\\ \n\t\r\x0b\x00\u200b", "KENDİSİ", "GELDİ", "don't", "we'LL", "'S", "ing", "the ", "e\u0301", "😀"]
+    texts = ["".join(pieces[i] for i in draw.integers(0, len(pieces), int(draw.integers(1, 14)))) for _ in range(30_000)] + ["GELDİ!", "KENDİSİ.", "(İ)", "İ.", "İ", "İİ..", "<|endoftext|>İ."]
+    got = [np.frombuffer(x, "<u4").tolist() for x in tokens.token_ids([t.encode() for t in texts], tokens.vocabulary_path(tokens.VOCABULARY))]
+    assert [t for t, x, y in zip(texts, got, reference_ids(texts), strict=True) if x != y] == []
+
+
 def test_token_ids_equal_the_tokenizer(docs):
     texts = [t or "" for _, t in docs] + [t or "" for t in ODD] + ["ﬁne İstanbul ǅ", "don't we'll 'S x's", "a b c   d", "…!?.,;: w,x", "٣٤ ½ ²"]
     got = [np.frombuffer(x, "<u4").tolist() for x in tokens.token_ids([t.encode() for t in texts], tokens.vocabulary_path(tokens.VOCABULARY))]

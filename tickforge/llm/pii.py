@@ -4,7 +4,9 @@ Transducers rewrite a text while they keep, for each character written, the sour
 stands for: one folds homoglyphs, styled and full-width forms and zero-width characters to ASCII, one turns runs of spelled digits into
 digits, one "at"/"dot" disguises, with spelled digits before them, into @ and dots. They compose: each works on what the ones before it wrote, and
 identifiers are looked for after the first, after either of the others, and after all. Finds are mapped back to source characters and added
-where they touch no base span; a find that holds an earlier one takes its place.
+where they touch no base span; a find that holds an earlier one takes its place. A disguised address has at most four dots and eight spelled digits
+before its at and five behind, local parts of 64 and labels of 63 characters (as mail and host names have); plain ones have no such bounds.
+Work is linear in a text's finds, but for their search by bisection.
 
 Offsets are code points, ends exclusive. Defined results: null text is taken as empty; rows are
 independent, so repeated rows and null ids give a row each; an empty table gives an empty result; further
@@ -17,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -108,25 +112,29 @@ class Rewritten:
         self.text, self.starts, self.ends = text, None, None
 
     def replaced(self, pattern: re.Pattern, by) -> Rewritten:
-        """Each match replaced by by(match): pieces (written, start, end) in the match's text, each character of which maps to that stretch."""
-        if not pattern.search(self.text):
+        """Each match replaced by by(match): pieces (written, start, end) in the match's text, each character of which maps to that stretch.
+
+        A match for which by gives None stays; where all do, the text is this one.
+        """
+        made = [(m.start(), m.end(), pieces) for m in pattern.finditer(self.text) if (pieces := by(m)) is not None]
+        if not made:
             return self
         starts = self.starts or list(range(len(self.text)))
         ends = self.ends or list(range(1, len(self.text) + 1))
         out, new_starts, new_ends, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            out.append(self.text[at : m.start()])
-            new_starts += starts[at : m.start()]
-            new_ends += ends[at : m.start()]
-            for piece, s, e in by(m):
+        for start, end, pieces in made:
+            out.append(self.text[at:start])
+            new_starts += starts[at:start]
+            new_ends += ends[at:start]
+            for piece, s, e in pieces:
                 out.append(piece)
                 new_starts += [starts[s]] * len(piece)
                 new_ends += [ends[e - 1]] * len(piece)
-            at = m.end()
+            at = end
         out.append(self.text[at:])
-        made = Rewritten("".join(out))
-        made.starts, made.ends = new_starts + starts[at:], new_ends + ends[at:]
-        return made
+        view = Rewritten("".join(out))
+        view.starts, view.ends = new_starts + starts[at:], new_ends + ends[at:]
+        return view
 
     def source(self, start: int, end: int) -> tuple[int, int]:
         return (start, end) if self.starts is None else (self.starts[start], self.ends[end - 1])
@@ -136,16 +144,16 @@ def _folded(m: re.Match) -> list[tuple[str, int, int]]:
     return [(FOLDED[m[0]], m.start(), m.end())]
 
 
-def _digits(m: re.Match) -> list[tuple[str, int, int]]:
-    """A run with its words as digits and points, and nothing between them; a run without spelled digits or "plus" stays."""
+def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
+    """A run with its words as digits and points, and nothing between them; None for a run without spelled digits or "plus"."""
     if not (m[1] and m[1] != "+") and not WORDED.search(m[0]):
-        return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m[0])]
+        return None
     plus = [("+", m.start(1), m.end(1))] if m[1] else []
     return plus + [(SPELLED.get(d[0].lower(), d[0] if d[0].isdigit() else "."), d.start(), d.end()) for d in ITEM.finditer(m.string, m.end(1) if m[1] else m.start(), m.end())]
 
 
-def _plain(m: re.Match) -> list[tuple[str, int, int]]:
-    """The match with its at and dot disguises undone: there must be a bracket, an @, or the word at and a common suffix.
+def _plain(m: re.Match) -> list[tuple[str, int, int]] | None:
+    """The match with its at and dot disguises undone; None unless there is a bracket, an @, or the word at and a common suffix.
 
     Before a bare at and a plain domain, a word of BEFORE_AT is prose.
     """
@@ -156,7 +164,7 @@ def _plain(m: re.Match) -> list[tuple[str, int, int]]:
     worded = marks and marks[0][0] == "@" and text.rsplit(None, 1)[-1].rsplit(".", 1)[-1].lower() in SUFFIXES
     worded = worded and (len(marks) > 1 or text.split(None, 1)[0].lower() not in BEFORE_AT)
     if not marks or not (bracketed or "@" in text or worded):
-        return [(c, base + i, base + i + 1) for i, c in enumerate(text)]
+        return None
     digits = [(SPELLED[x[1].lower()], x) for x in TAIL.finditer(text, 0, ats[-1].start())] if ats and (dots or bracketed) else []
     if digits and not all(a.end() == b.start() for (_, a), (_, b) in zip(digits, [*digits[1:], ("", ats[-1])], strict=True)):
         digits = []
@@ -187,14 +195,24 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     views = [v for v, before in ((folded, source), (digits, folded), (plain, folded)) if v is not before]
     if digits is not folded and plain is not folded:
         views.append(_undone(digits))
-    taken, new = [(s, e) for s, _, e in base], []
-    for view in views:
-        for start, kind, end in base_spans(view.text):
-            s, e = view.source(start, end)
-            inside = [x for x in new if s <= x[0] and x[2] <= e]
-            if all(e <= a or s >= b for a, b in taken) and all(x in inside or e <= x[0] or s >= x[2] for x in new):
-                new = [x for x in new if x not in inside] + [(s, kind, e)]
-    return new
+    finds = ((kind, *view.source(start, end)) for view in views for start, kind, end in base_spans(view.text))
+    return apart(finds, [(s, e) for s, _, e in base])
+
+
+def apart(finds: Iterable[tuple[int, int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the finds (kind, start, end), one after another, that meet none of `taken`, and of those before only such as lie inside and give way."""
+    # Taken ones by start, with the farthest end so far; kept ones never overlap, so both their ends are in order.
+    taken = sorted(taken)
+    begins, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    starts, ends, kinds = [], [], []
+    for kind, s, e in finds:
+        before = bisect_left(begins, e)
+        if before and reach[before - 1] > s:
+            continue
+        low, high = bisect_right(ends, s), bisect_left(starts, e)
+        if low == high or starts[low] >= s and ends[high - 1] <= e:
+            starts[low:high], ends[low:high], kinds[low:high] = [s], [e], [kind]
+    return list(zip(starts, kinds, ends, strict=True))
 
 
 def _plain_ip(m: re.Match) -> list[tuple[str, int, int]]:

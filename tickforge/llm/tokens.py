@@ -79,7 +79,8 @@ class Words:
         known = lambda w: self.young.get(w) or self.old.get(w)
         for w in words:
             core = w.strip(MARKS)
-            if not core or not core.decode("utf-8").isalpha():
+            # A letter that lower case splits (İ) leaves a mark that is joined with those behind it: such a word is not cut.
+            if not core or not (core.isalpha() or (read := core.decode("utf-8")).isalpha() and read.lower().isalpha()):
                 others.append(w)
                 continue
             if core != w:
