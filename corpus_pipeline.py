@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import read, written
+from tickforge.llm.common import drop_table, read, written
 from tickforge.llm.line_dedup import without_boilerplate
 from tickforge.llm.minhash_dedup import near_duplicates
 from tickforge.llm.packing import packed
@@ -76,7 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        docs, seen = written(stage(spark, docs, sf_dir))
+        if before:
+            drop_table(spark, before)
+        before = seen["path"]
+    return docs
