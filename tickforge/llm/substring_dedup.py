@@ -120,6 +120,10 @@ def matches(rows: DataFrame, least: int, seed: int) -> DataFrame:
             out: list[tuple] = []
             offset, there, behind = (part.column(i).to_pylist() for i in (3, 6, 7))
             for i, (text, lead) in enumerate(zip(utf8(part, "words"), utf8(part, "lead"), strict=True)):
+                if text == lead and offset[i] == there[i]:  # a copy of the leader's stretch matches whole
+                    if behind[i]:
+                        out.append((i, 0, text.count(b" ") + 1, None))
+                    continue
                 words = text.split()
                 low, high = extended(words, offset[i], lead.split(), there[i], seed)
                 long = high - low >= least
@@ -165,8 +169,11 @@ def without(docs: DataFrame, texts: bool) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
-def without_repeats(docs: DataFrame, texts: bool = True, least: int = LEAST, seed: int = SEED) -> DataFrame:
-    """SCHEMA of documents (doc_id, text): each without the words of windows of `least` words that a document with a smaller id holds (kept is null unless `texts`)."""
+def without_repeats(docs: DataFrame, texts: bool = True, least: int = LEAST, seed: int = SEED, parts: int = 2) -> DataFrame:
+    """SCHEMA of documents (doc_id, text): each without the words of windows of `least` words that a document with a smaller id holds (kept is null unless `texts`).
+
+    Stretches meet their leaders in `parts` parts of the anchors, one after another, which bounds the disk that their words take.
+    """
     spark, spent = docs.sparkSession, []
 
     def kept(df: DataFrame) -> DataFrame:
@@ -178,12 +185,19 @@ def without_repeats(docs: DataFrame, texts: bool = True, least: int = LEAST, see
     known = docs.where("doc_id is not null").select("doc_id", "key", "text")
     posts = kept(anchors(known, least, seed))
     seeds = kept(posts.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor"))
-    shared = kept(posts.join(seeds, "anchor").distinct().groupBy("doc_id", "key").agg(F.collect_list("anchor").alias("shared")))
+    shared = kept(posts.join(seeds, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("shared")))
     drop_table(spark, spent[0])
     found = kept(shared_stretches(known.join(shared, ["doc_id", "key"]).select("doc_id", "key", "text", "shared"), least, seed))
-    lead = found.groupBy("anchor").agg(F.min(F.struct("doc_id", "words", "offset")).alias("lead"))
-    laid = found.join(kept(lead), "anchor").select("doc_id", "key", "words", "offset", "starts", F.col("lead.words").alias("lead"), F.col("lead.offset").alias("lead_offset"), (F.col("doc_id") > F.col("lead.doc_id")).alias("behind"))
-    matched = kept(matches(laid, least, seed))
+    drop_table(spark, spent[2])
+    matched = None
+    for i in range(parts):
+        own = found.where(F.pmod("anchor", F.lit(parts)) == i)
+        lead = kept(own.groupBy("anchor").agg(F.min(F.struct("doc_id", "words", "offset")).alias("lead")))
+        laid = own.join(lead, "anchor").select("doc_id", "key", "words", "offset", "starts", F.col("lead.words").alias("lead"), F.col("lead.offset").alias("lead_offset"), (F.col("doc_id") > F.col("lead.doc_id")).alias("behind"))
+        one = kept(matches(laid, least, seed))
+        drop_table(spark, spent[-2])
+        matched = one if matched is None else matched.union(one)
+    drop_table(spark, spent[3])
     windows = matched.where("digest is not null")
     again = windows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
     spans = matched.where("digest is null").select("doc_id", "key", "starts", "low", "high").union(windows.join(again, "digest").where("doc_id > first").select("doc_id", "key", "starts", "low", "high"))
