@@ -120,28 +120,28 @@ def adjustment(close: Column, adjusted: Column) -> Column:
     return F.when((close > 0) & (adjusted > 0), adjusted / close)
 
 
-# The tags of disclosure titles, in order: (tag, high signal, polarity, groups of words of each of which one must be there, words that must not).
-TAGS: list[tuple[str, bool, str, list[list[str]], list[str]]] = [
-    ("上方修正", True, "positive", [["上方修正", "上振れ"]], ["下方修正"]),
-    ("下方修正", True, "negative", [["下方修正", "下振れ"]], []),
-    ("増配", True, "positive", [["増配"]], []),
-    ("減配・無配", True, "negative", [["減配", "無配"]], []),
-    ("配当政策の変更", True, "neutral", [["配当方針", "配当政策", "株主還元方針", "累進配当", "配当性向", "株主還元の方針"], ["変更", "見直し", "改定", "導入", "決定", "方針", "策定"]], []),
-    ("自社株買い", True, "positive", [["自己株式の取得", "自社株買い", "自己株式取得", "自己株式立会外買付"]], []),
-    ("自己株式の消却", True, "positive", [["自己株式の消却", "自己株式消却"]], []),
-    ("配当(決定・予想)", False, "neutral", [["配当予想", "剰余金の配当", "配当の予想", "配当金", "復配", "記念配当", "特別配当"]], []),
-    ("業績予想の修正", False, "neutral", [["業績予想", "通期予想", "連結業績予想"], ["修正", "変更"]], ["上方修正", "下方修正"]),
-    ("決算短信", False, "neutral", [["決算短信"]], []),
-    ("特別損益", False, "neutral", [["特別損失", "特別利益", "特損", "減損損失", "減損の計上"]], []),
-    ("株式分割・併合", False, "neutral", [["株式分割", "株式併合"]], []),
-    ("エクイティファイナンス", False, "neutral", [["公募増資", "第三者割当", "新株式発行", "募集株式", "新株予約権", "転換社債", "ライツ・オファリング", "売出し", "株式売出"]], []),
-    ("自己株式の処分", False, "neutral", [["自己株式の処分"]], []),
-    ("M&A・資本提携", False, "neutral", [["株式取得", "子会社化", "合併", "事業譲渡", "資本業務提携", "資本提携", "公開買付", "TOB", "株式交換", "株式移転", "連結子会社"]], []),
-    ("月次・速報", False, "neutral", [["月次", "売上高速報", "売上高概況"]], []),
-    ("重要事象(調査等)", False, "neutral", [["特別調査委員会", "第三者委員会", "不適切", "不正", "行政処分", "課徴金", "業務改善命令", "内部統制の不備"]], []),
-    ("上場・市場区分", False, "neutral", [["新規上場", "上場廃止", "市場区分の変更", "市場変更", "監理銘柄", "整理銘柄", "上場維持基準"]], []),
-    ("人事・組織", False, "neutral", [["代表取締役", "役員人事", "役員の異動", "人事異動", "組織変更", "経営体制"]], []),
-    ("訂正・取消", False, "neutral", [["訂正", "取消", "取り消し"]], []),
+# The tags of disclosure titles, in order: (tag, high signal, polarity, ways to have it, words that must not be there). A way is groups of words, one of each of which must be there.
+TAGS: list[tuple[str, bool, str, list[list[list[str]]], list[str]]] = [
+    ("上方修正", True, "positive", [[["上方修正", "上振れ"]]], ["下方修正"]),
+    ("下方修正", True, "negative", [[["下方修正", "下振れ"]]], []),
+    ("増配", True, "positive", [[["増配"]]], []),
+    ("減配・無配", True, "negative", [[["減配", "無配"]]], []),
+    ("配当政策の変更", True, "neutral", [[["配当方針", "配当政策", "株主還元方針", "累進配当", "配当性向", "株主還元の方針"], ["変更", "見直し", "改定", "導入", "決定", "方針", "策定"]], [["株主還元方針"]]], []),
+    ("自社株買い", True, "positive", [[["自己株式の取得", "自社株買い", "自己株式取得"]], [["自己株式"], ["立会外買付", "ToSTNeT", "取得状況"]]], []),
+    ("自己株式の消却", True, "positive", [[["自己株式の消却", "自己株式消却"]]], []),
+    ("配当(決定・予想)", False, "neutral", [[["配当予想", "剰余金の配当", "配当の予想", "配当金", "復配", "記念配当", "特別配当"]]], []),
+    ("業績予想の修正", False, "neutral", [[["業績予想", "通期予想", "連結業績予想"], ["修正", "変更"]]], ["上方修正", "下方修正"]),
+    ("決算短信", False, "neutral", [[["決算短信"]]], []),
+    ("特別損益", False, "neutral", [[["特別損失", "特別利益", "特損", "減損損失", "減損の計上"]]], []),
+    ("株式分割・併合", False, "neutral", [[["株式分割", "株式併合"]]], []),
+    ("エクイティファイナンス", False, "neutral", [[["公募増資", "第三者割当", "新株式発行", "募集株式", "新株予約権", "転換社債", "ライツ・オファリング", "売出し", "株式売出"]]], []),
+    ("自己株式の処分", False, "neutral", [[["自己株式の処分"]]], []),
+    ("M&A・資本提携", False, "neutral", [[["株式取得", "子会社化", "合併", "事業譲渡", "資本業務提携", "資本提携", "公開買付", "TOB", "株式交換", "株式移転", "連結子会社"]]], []),
+    ("月次・速報", False, "neutral", [[["月次"]], [["売上高"], ["速報", "概況"]]], []),
+    ("重要事象(調査等)", False, "neutral", [[["特別調査委員会", "第三者委員会", "不適切", "不正", "行政処分", "課徴金", "業務改善命令", "内部統制の不備"]]], []),
+    ("上場・市場区分", False, "neutral", [[["新規上場", "上場廃止", "市場区分の変更", "市場変更", "監理銘柄", "整理銘柄", "上場維持基準"]]], []),
+    ("人事・組織", False, "neutral", [[["代表取締役", "役員人事", "役員の異動", "人事異動", "組織変更", "経営体制"]]], []),
+    ("訂正・取消", False, "neutral", [[["訂正", "取消", "取り消し"]]], []),
 ]
 # What keeps a title that names a delisting or listing from being one.
 NOT_YET = ["該当しない", "抵触しない", "非該当", "回避", "おそれ", "可能性", "猶予", "解除", "解消", "見送り", "中止", "撤回", "優先株式", "優先出資", "種類株式", "新株予約権付社債", "優先証券"]
@@ -152,10 +152,19 @@ def holds(text: Column, words: list[str]) -> Column:
     return F.lit(False) if not words else F.array_contains(F.array(*(F.contains(text, F.lit(w)) for w in words)), True)
 
 
-def title_tags(title: Column) -> Column:
-    """A title's tags in the list's order, with ASCII for full-width letters."""
-    text = F.translate(title, WIDE, NARROW)
-    return F.array_compact(F.array(*(F.when(F.array_contains(F.array(*(holds(text, group) for group in groups)), False) | holds(text, bars), None).otherwise(F.lit(tag)) for tag, _, _, groups, bars in TAGS)))
+def title_tags(text: Column) -> Column:
+    """The tags of a title in its compatibility form (passages.compatible), in the list's order."""
+
+    def has(ways: list[list[list[str]]]) -> Column:
+        out = F.lit(False)
+        for groups in ways:
+            way = F.lit(True)
+            for group in groups:
+                way = way & holds(text, group)
+            out = out | way
+        return out
+
+    return F.array_compact(F.array(*(F.when(has(ways) & ~holds(text, bars), F.lit(tag)) for tag, _, _, ways, bars in TAGS)))
 
 
 def primary_tag(tags: Column) -> Column:
@@ -177,11 +186,59 @@ def genuine(title: Column) -> Column:
     return ~holds(title, NOT_YET) & ~third & ~derived
 
 
-def split_ratio(title: Column) -> Column:
-    """Shares after over shares before, of "1株を3株" or "１株につき３株"."""
-    text = F.translate(title, WIDE, NARROW)
-    pattern = r"([0-9]+)株(?:を|につき)([0-9]+)株"
-    return F.try_divide(F.regexp_extract(text, pattern, 2).try_cast("double"), F.regexp_extract(text, pattern, 1).try_cast("double"))
+# What joins the old and the new number of shares, and what may stand between "effective date" and the date.
+PAIR = r"([0-9]+)[\s\x{3000}]*株?[\s\x{3000}]*(?:を|につき|対|:)[\s\x{3000}]*([0-9]+)[\s\x{3000}]*株"
+RATIO = r"([0-9]+)[\s\x{3000}]*[:対][\s\x{3000}]*([0-9]+)"
+EFFECTIVE = r"効力発生日?[\s\x{3000}（(:：・,，。．をはがと/／]{0,6}([0-9]{4})[\s\x{3000}]*年[\s\x{3000}]*([0-9]{1,2})[\s\x{3000}]*月[\s\x{3000}]*([0-9]{1,2})[\s\x{3000}]*日"
+
+
+def split_terms(title: Column) -> Column:
+    """(terms, factor) of "1株を3株", "1株につき３株", "1対3" or "1:3": old and new shares as text, and new over old; null without both or with a zero."""
+    text = F.translate(title, "０１２３４５６７８９：", "0123456789:")
+    pattern = F.when(text.rlike(PAIR), 1).when(text.rlike(RATIO), 2)
+    part = lambda i: F.when(pattern == 1, F.regexp_extract(text, PAIR, i)).when(pattern == 2, F.regexp_extract(text, RATIO, i)).try_cast("long")
+    old, new = part(1), part(2)
+    return F.when((old > 0) & (new > 0), F.struct(F.concat_ws(":", old.cast("string"), new.cast("string")).alias("terms"), (new / old).alias("factor")))
+
+
+def effective_date(title: Column) -> Column:
+    """The date right behind "effective date"; null if there is none or it is no day of the calendar."""
+    text = F.translate(title, "０１２３４５６７８９：", "0123456789:")
+    part = lambda i: F.regexp_extract(text, EFFECTIVE, i)
+    return F.try_to_timestamp(F.concat_ws("-", part(1), part(2), part(3)), F.lit("yyyy-M-d")).cast("date")
+
+
+# The types of documents.
+DOCUMENT_TYPES = {"results": "短信", "split": "株式分割", "merge": "株式併合", "delisting": "上場廃止", "listing": "新規上場", "forecast": "業績修正", "dividend": "配当修正", "benefit": "優待", "buyback": "自社株買い", "holding": "大量保有", "annual": "有報", "quarterly": "四半期報告", "other": "その他"}
+
+
+def document_type(title: Column) -> Column:
+    """The type of document that a title announces, by priority.
+
+    A title that names a split or merger of shares without its ratio, and reads like a revision, is the revision.
+    """
+    has = lambda *words: F.contains(title, F.lit(words[0])) if len(words) == 1 else F.contains(title, F.lit(words[0])) & has(*words[1:])
+    split, merge = title.rlike("株式の?分割"), title.rlike("株式の?併合")
+    forecast, dividend = has("業績予想", "修正"), has("配当", "修正")
+    action = (split | merge) & (split_terms(title).isNotNull() | ~(forecast | dividend))
+    rules = {
+        "results": has("決算短信"), "split": action & split, "merge": action, "delisting": has("上場廃止") & genuine(title), "listing": has("新規上場") & genuine(title), "forecast": forecast, "dividend": dividend,
+        "benefit": has("株主優待"), "buyback": has("自己株式", "取得"), "holding": has("大量保有"), "annual": has("有価証券報告書"), "quarterly": has("四半期報告書"),
+    }
+    out = F.when(F.lit(False), "")
+    for name, rule in rules.items():
+        out = out.when(rule, DOCUMENT_TYPES[name])
+    return out.otherwise(DOCUMENT_TYPES["other"])
+
+
+# The tags whose text is judged, and by what.
+ENGINES = {"業績予想の修正": "rule_v1_forecast", "配当(決定・予想)": "rule_v1_dividend", "特別損益": "rule_v1_extra", "配当政策の変更": "dict_v1", "エクイティファイナンス": "dict_v1", "自己株式の処分": "dict_v1"}
+
+
+def engine(tag: Column, text: Column) -> Column:
+    """What judges a text by its primary tag: skipped for none or one that its title settles, unknown for a text without characters."""
+    name = F.try_element_at(F.create_map(*(F.lit(x) for pair in ENGINES.items() for x in pair)), tag)
+    return F.when(name.isNull(), "skipped").when(F.coalesce(F.trim(text), F.lit("")) == "", "unknown").otherwise(name)
 
 
 # Where a dividend stands, by priority; what losses and gains are called.

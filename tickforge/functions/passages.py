@@ -36,6 +36,12 @@ def _compatible(texts: pd.Series) -> pd.Series:
     return texts.str.replace(f"[{MARKS}]", "", regex=True).str.normalize("NFKC").str.replace(RUN, _dashes, regex=True)
 
 
+@F.pandas_udf(StringType())
+def compatible(texts: pd.Series) -> pd.Series:
+    """NFKC alone, which no built-in function gives."""
+    return texts.str.normalize("NFKC")
+
+
 def normal(text: Column) -> Column:
     """The form in which words are looked up: NFKC (which no built-in function gives), one kind of dash, single blanks, ASCII in lower case."""
     return F.translate(F.regexp_replace(_compatible(text), f"[{BLANKS}]+", " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

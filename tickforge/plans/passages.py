@@ -5,46 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.functions import japanese as jp
 from tickforge.functions import passages as ps
 from tickforge.functions.columns import rounded
 from tickforge.plans.registry import query
 from tickforge.sources.tables import table
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    cell = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, (i, *row))) + ")" for i, row in enumerate(rows)) + f") AS t(i, {names})"
-
-
-def _by_part(spark: SparkSession, sf_dir: str, texts: list[str]) -> DataFrame:
-    text = F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % len(texts) + 1).cast("int"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), text.alias("text"))
-
-
-#: Texts by part, and what is known of each: the normal form and the words of WORDS in it.
-WORDS = ["ec", "saas", "リース", "ソース", "半導体"]
-NORMALS = [
-    ("ＥＣ　サイト　の運営", "ec サイト の運営", "ec"),
-    ("Tech Select™ 事業", "tech select 事業", ""),
-    ("ﾘｰｽ業", "リース業", "リース"),
-    ("プレスリリース", "プレスリリース", ""),
-    ("リ―ス と オ‐トリ−ス", "リース と オートリース", "リース"),
-    ("経営リソース、ソース", "経営リソース、ソース", "ソース"),
-    ("A–B ～ 10―20", "a-b - 10-20", ""),
-    ("SaaS/EC・半導体製造", "saas/ec・半導体製造", "ec|saas|半導体"),
-    ("—ー—カー", "ーーーカー", ""),
-    ("㈱ 半導体Ⅲ", "(株) 半導体iii", "半導体"),
-]
-
-
-@query(f"SELECT p_partkey AS k, normal, words FROM part JOIN {_values([row[1:] for row in NORMALS], 'normal, words')} ON p_partkey % {len(NORMALS)} = i")
-def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normal forms of texts and the words that stand for themselves in them."""
-    rows = _by_part(spark, sf_dir, [t for t, *_ in NORMALS]).withColumn("normal", ps.normal(F.col("text")))
-    return rows.select("k", "normal", F.array_join(ps.words_in(F.col("normal"), WORDS), "|").alias("words"))
-
-
 @query("""WITH t AS (SELECT item_id, lower(text) AS t FROM benchmark), g AS (SELECT item_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 2 THEN [t] ELSE list_transform(range(1, len(t)), lambda i: t[i:i+1]) END) AS gram FROM t)
 SELECT gram, count(*) AS n, count(DISTINCT item_id) AS items FROM g GROUP BY gram""")
 def text_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,32 +86,3 @@ def competitor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = items.select("item", F.explode(F.array_distinct(F.filter(F.split("t", "[^a-z]+"), lambda x: F.char_length(x) >= 7))).alias("term"))
     grams = items.select("item", F.explode(ps.ngrams(F.col("t"))).alias("term")).groupBy("item", "term").agg(F.count(F.lit(1)).alias("n"))
     return candidates(tags, grams, items.select("item", (F.col("item") % 5).alias("sector"))).select("item", "other", "score", "place")
-
-
-#: Disclosures by part and the side known of each.
-DIVIDEND_TEXTS = [
-    ("年間配当 前回予想 １０円 今回予想 １２円 期末配当 6円 5円", "positive"),
-    ("期末配当 前回 20.5円 今回 18円", "negative"),
-    ("年間配当 30円 30円 " + "　" * 170 + "中間配当 10円 15円", "positive"),
-    ("年間配当 30円 30円", "unknown"),
-    ("年間配当 売上 5百万円 前回 8円 今回 9円", "positive"),
-    ("配当の方針", "unknown"),
-    ("1株当たり配当金 40円 未定", "unknown"),
-]
-ITEM_TEXTS = [
-    ("特別損失として 1,200百万円 を計上", "negative"),
-    ("特別利益 ３５０百万円 を計上", "positive"),
-    ("特別損失 100百万円、特別利益 150百万円", "mixed"),
-    ("特別損失 1億円、" + "　" * 110 + "特別利益 150千円", "negative"),
-    ("減損損失 10百万円、減損損失 15百万円 " + "　" * 110 + "特別利益 50百万円", "positive"),
-    ("特別損失の金額は未定", "unknown"),
-    ("売上高 5億円", "unknown"),
-]
-
-
-@query(f"SELECT p_partkey AS k, dividend, items FROM part JOIN {_values([(a[1], b[1]) for a, b in zip(DIVIDEND_TEXTS, ITEM_TEXTS, strict=True)], 'dividend, items')} ON p_partkey % {len(ITEM_TEXTS)} = i")
-def disclosure_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sides of dividend revisions and of extraordinary items, read from their texts."""
-    both = [(a[0], b[0]) for a, b in zip(DIVIDEND_TEXTS, ITEM_TEXTS, strict=True)]
-    rows = _by_part(spark, sf_dir, [a for a, _ in both]).join(_by_part(spark, sf_dir, [b for _, b in both]).withColumnRenamed("text", "other"), "k")
-    return jp.with_extraordinary_items(jp.with_dividend_revision(rows, "text", "dividend"), "other", "items").select("k", "dividend", "items")

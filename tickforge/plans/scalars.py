@@ -138,28 +138,3 @@ def codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = F.array_join(F.transform("ids", lambda x: F.when(x % 5 == 0, "bad").otherwise(x.cast("string"))), ",")
     decoded = F.filter(F.transform(F.split(written, ","), lambda x: x.try_cast("long")), lambda x: x > 0)
     return g.select("k", F.sha2(text, 256).alias("ids_sha"), F.sha2(canonical, 256).alias("json_sha"), F.array_join(F.slice(F.array_sort(decoded.cast("array<string>")), 1, 3), "|").alias("decoded"))
-
-
-#: Titles by part, and what is known of each: tags, primary tag, sides, genuine listing event, split ratio.
-TITLES = [
-    ("業績予想の上方修正及び増配に関するお知らせ", "上方修正|増配", "上方修正", "positive", True, None),
-    ("下方修正と減配のお知らせ", "下方修正|減配・無配", "下方修正", "negative", True, None),
-    ("上方修正及び減配のお知らせ", "上方修正|減配・無配", "上方修正", "negative|positive", True, None),
-    ("株式分割（１株を３株）のお知らせ", "株式分割・併合", "株式分割・併合", "", True, 3.0),
-    ("２０２４年３月期　決算短信", "決算短信", "決算短信", "", True, None),
-    ("連結業績予想の修正に関するお知らせ", "業績予想の修正", "業績予想の修正", "", True, None),
-    ("上場廃止に係る猶予期間入りのお知らせ", "上場・市場区分", "上場・市場区分", "", False, None),
-    ("完全子会社化に伴う上場廃止のお知らせ", "M&A・資本提携|上場・市場区分", "M&A・資本提携", "", True, None),
-    ("連結子会社の上場廃止", "M&A・資本提携|上場・市場区分", "M&A・資本提携", "", False, None),
-    ("ＴＯＢの結果及び自己株式の取得", "自社株買い|M&A・資本提携", "自社株買い", "positive", True, None),
-    ("天気のお知らせ", "", None, "", True, None),
-]
-TITLES_SQL = "(VALUES " + ", ".join("(" + ", ".join([str(i), *("NULL" if x is None else str(x).lower() if isinstance(x, bool) else repr(x) for x in row[1:])]) + ")" for i, row in enumerate(TITLES)) + ") AS t(i, tags, primary_tag, sides, genuine, ratio)"
-
-
-@query(f"SELECT p_partkey AS k, tags, primary_tag, sides, genuine, CAST(ratio AS DOUBLE) AS ratio FROM part JOIN {TITLES_SQL} ON p_partkey % {len(TITLES)} = i")
-def title_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags of disclosure titles, the one that colours them, the sides they take, and whether a listing event is the company's own."""
-    title = F.element_at(F.array(*(F.lit(t[0]) for t in TITLES)), (F.col("p_partkey") % len(TITLES) + 1).cast("int"))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), title.alias("title"), jp.title_tags(title).alias("found"))
-    return rows.select("k", F.array_join("found", "|").alias("tags"), jp.primary_tag(F.col("found")).alias("primary_tag"), F.array_join(jp.sentiments(F.col("found")), "|").alias("sides"), jp.genuine(F.col("title")).alias("genuine"), jp.split_ratio(F.col("title")).alias("ratio"))
