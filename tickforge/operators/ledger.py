@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickforge.sources.objects import incoherent
+
 #: Fixed value: a close may move by this factor from the last accepted one where there is no volume.
 MOST_JUMP = 10.0
 
@@ -38,6 +40,28 @@ def sanitised(bars: DataFrame, jump: float = MOST_JUMP) -> DataFrame:
     return bars.select("k", "d", "h", "l", "c", "v").groupBy("k").applyInPandas(judge, "k long, d date, c double, reason string")
 
 
+def guarded(bars: DataFrame, quotes: DataFrame, expected: DataFrame) -> DataFrame:
+    """(k, verdict, refused, freshness) of histories (k, d, o, h, l, c, v, adj), quoted prices (k, price) and the day that is expected (one row).
+
+    raw: any value that is there is impossible, whatever else its bar lacks. incoherent: of the bars that the sanitiser accepts, the newest with a used
+    close (adjusted, else as traded) is far off the quoted price without volume, or the price is no price. freshness: the newest accepted
+    bar is not the expected day's (stale_date) or has no used close (missing_fresh_close); null if it is there.
+    """
+    bad = F.lit(False)
+    for x in ("o", "h", "l", "c", "adj"):
+        bad = bad | F.coalesce(F.isnan(x) | (F.col(x) <= 0), F.lit(False))
+    bad = bad | F.coalesce(F.isnan("v") | (F.col("v") < 0), F.lit(False)) | F.coalesce(F.col("o").isNotNull() & F.col("c").isNotNull() & (F.col("h") < F.col("l")), F.lit(False))
+    used = F.coalesce("adj", "c")
+    rows = bars.join(sanitised(bars).select("k", "d", "reason"), ["k", "d"])
+    taken = F.col("reason").isNull()
+    latest = F.struct(used.alias("used"), F.col("v").alias("v"))
+    g = rows.groupBy("k").agg(F.max(bad).alias("raw"), F.count_if(~taken).alias("refused"), F.max_by(latest, F.when(taken & used.isNotNull(), F.col("d"))).alias("last"), F.max(F.when(taken, F.col("d"))).alias("d"), F.max_by(used, F.when(taken, F.col("d"))).alias("newest"))
+    g = g.join(quotes, "k", "left").crossJoin(F.broadcast(expected))
+    verdict = F.when(F.col("raw"), "raw").when(incoherent(F.col("last.used"), F.col("last.v"), F.col("price")), "incoherent").otherwise("ok")
+    freshness = F.when(~F.col("d").eqNullSafe(F.col("expected")), "stale_date").when(F.coalesce(F.col("newest") <= 0, F.lit(True)), "missing_fresh_close")
+    return g.select("k", verdict.alias("verdict"), "refused", freshness.alias("freshness"))
+
+
 def held(windows: DataFrame, events: DataFrame, key: str, first: str, last: str, at: str, name: str) -> DataFrame:
     """windows with `name`: whether an event of the key falls behind the window's first and not behind its last day.
 

@@ -25,17 +25,6 @@ def refused_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.sanitised(rows).where("reason is not null").select("k", "d", rounded("c").alias("c"), "reason")
 
 
-@query(f"""WITH {BARS_SQL}, {BROKEN_SQL}, x AS (SELECT k, max(d) AS d, arg_max(c, d) AS c, bool_or(h < l) AS inverted, bool_or(c <= 0) AS negative, median(c) AS middle FROM b GROUP BY k)
-SELECT k, CASE WHEN inverted OR negative THEN 'raw' WHEN d < DATE '2001-09-01' THEN 'stale' WHEN c > 3 * middle OR c < middle / 3 THEN 'incoherent' ELSE 'ok' END AS verdict FROM x""")
-def chart_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A history's verdict: impossible rows, an old last bar, a last close far from its own median, or none of these."""
-    day = F.dayofmonth("d")
-    rows = bars_daily(spark, sf_dir).select("k", "d", "h", F.when(F.col("n") % 41 == 0, F.col("h") + 1).otherwise(F.col("l")).alias("l"), F.when((F.col("k") % 7 == 0) & (day == 13), -1.0).when(day == 17, F.col("c") * 30).when(day != 5, F.col("c")).alias("c"))
-    x = rows.groupBy("k").agg(F.max("d").alias("d"), F.max_by("c", F.when(F.col("c").isNotNull(), F.col("d"))).alias("c"), F.bool_or(F.col("h") < F.col("l")).alias("inverted"), F.bool_or(F.col("c") <= 0).alias("negative"), F.median("c").alias("middle"))
-    raw = F.coalesce(F.col("inverted"), F.lit(False)) | F.coalesce(F.col("negative"), F.lit(False))
-    return x.select("k", F.when(raw, "raw").when(F.col("d") < F.lit("2001-09-01").cast("date"), "stale").when((F.col("c") > 3 * F.col("middle")) | (F.col("c") < F.col("middle") / 3), "incoherent").otherwise("ok").alias("verdict"))
-
-
 @query(f"""WITH {BARS_SQL}, w AS (SELECT k, min(d) AS first, max(d) AS last, count(*) AS n FROM (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY k ORDER BY d DESC) <= 60) GROUP BY k), s AS (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS at FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R' AND l_discount > 0.09)
 SELECT w.k, first, last, n, EXISTS (SELECT 1 FROM s WHERE s.k = w.k AND s.at > w.first AND s.at <= w.last) AS held, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.k = w.k AND s.at > w.first AND s.at <= w.last) THEN NULL ELSE round(m, 4) END AS mean FROM w JOIN (SELECT k, avg(c) AS m FROM (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY k ORDER BY d DESC) <= 60) GROUP BY k) USING (k)""")
 def split_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
