@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # Marks that go, what stands for a dash, katakana, ends of sentences, heads of list items, blanks.
 MARKS = "™℠"
@@ -103,6 +103,22 @@ def paragraphs(text: Column, most: int = 400) -> Column:
     return spans(text)
 
 
+def _sentences(text: str | None) -> list[dict] | None:
+    if text is None:
+        return None
+    cuts = [0, *(m.start() for m in BREAK.finditer(text)), len(text)]
+    return [{"start": a, "end": b} for a, b in _spans([(a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])]
+
+
+SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
+
+
+@F.pandas_udf(SPANS)
+def sentence_spans(texts: pd.Series) -> pd.Series:
+    """The sentences of a text as (start, end) in characters; null for null, none for blanks. A running sum over a text's pieces is quadratic in built-in functions."""
+    return texts.map(_sentences)
+
+
 def clipped(text: Column, word: Column, most: int = 300) -> Column:
     """A text of at most `most` characters whole; of a longer one the stretch around the word, moved inside, or its middle where the word is not."""
     size, at, wide = F.char_length(text), F.instr(text, word), F.char_length(word)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions import passages as ps
 from tickforge.functions.columns import rounded
+from tickforge.operators import excerpts
 from tickforge.plans.registry import query
 from tickforge.sources.tables import table
 
@@ -86,3 +87,18 @@ def competitor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = items.select("item", F.explode(F.array_distinct(F.filter(F.split("t", "[^a-z]+"), lambda x: F.char_length(x) >= 7))).alias("term"))
     grams = items.select("item", F.explode(ps.ngrams(F.col("t"))).alias("term")).groupBy("item", "term").agg(F.count(F.lit(1)).alias("n"))
     return candidates(tags, grams, items.select("item", (F.col("item") % 5).alias("sector"))).select("item", "other", "score", "place")
+
+
+#: Terms by their words and exclusions, for the tables' invented languages.
+VOCABULARY = {"alpha": (["then", "tion"], ["this"]), "beta": (["pour", "les"], []), "gamma": (["heit", "und"], ["keit"]), "delta": (["el", "que"], []), "none": (["半導体"], [])}
+
+
+@query()
+def judge_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a judge is given of each document: its text around the hits, and of three turns of a conversation the paragraphs with hits; tests check it against plain loops."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "source", "lang")
+    header = F.concat(F.lit("銘柄コード: "), "source", F.lit("\n書類ID: "), F.col("doc").cast("string"), F.lit("\n書類種別: "), "lang")
+    turn = F.element_at(F.array(*map(F.lit, excerpts.SUPPORT)), (F.col("turn") + 1).cast("int"))
+    turns = table(spark, sf_dir, "conversations").where("turn < 3").select(F.col("conv_id").alias("doc"), turn.alias("section"), "text")
+    sections = docs.select("doc", F.lit(excerpts.MAIN).alias("section"), "text").union(turns)
+    return excerpts.judge_inputs(docs.select("doc", header.alias("header")), sections, VOCABULARY)
