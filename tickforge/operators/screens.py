@@ -44,9 +44,9 @@ def paged(df: DataFrame, order: list[Column], limit: int | None = None, offset:
     return df.orderBy(*order).offset(max(0, offset)).limit(clamped(limit)).crossJoin(F.broadcast(total))
 
 
-def fresh(df: DataFrame, stamp: str, now: Column, days: int, than: str | None = None) -> Column:
-    """Whether a row was computed within `days` before now, and not before what it was computed from."""
-    own = F.col(stamp) >= now - F.make_dt_interval(days=F.lit(days))
+def fresh(stamp: str, now: Column, days: int, than: str | None = None) -> Column:
+    """Whether a row was computed within `days` before now, and not before what it stands beside (`than`)."""
+    own = F.col(stamp) >= F.date_sub(now, days)
     return own if than is None else own & (F.col(stamp) >= F.col(than))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -132,6 +133,26 @@ def series_of(df: DataFrame, values: dict[str, tuple]) -> DataFrame:
     return df.select("k", "d", "c").groupBy("k").applyInPandas(run, "k long, d date, " + ", ".join(f"{x} double" for x in values))
 
 
+def standings(df: DataFrame, values: dict[str, tuple], places: int = 4) -> DataFrame:
+    """One row for each key of (k, d, c): its last day `d`, and for each name the last value of function(closes, n), its mid-rank among the key's own (`under_`: values under it and half of those equal to it) and how many there are (`bars_`).
+
+    One pass over each key's days; values are compared as they are shown, to `places`.
+    """
+
+    def run(days: pd.DataFrame) -> pd.DataFrame:
+        days = days.sort_values("d", ignore_index=True)
+        closes, row = days["c"].tolist(), {"k": days["k"].iloc[0], "d": days["d"].iloc[-1]}
+        for name, (f, n) in values.items():
+            found = f(closes, n)
+            shown = np.floor(np.array([x for x in found if x is not None], float) * 10**places + 0.5001) / 10**places
+            last = shown[-1] if found[-1] is not None else None
+            row |= {name: last, f"under_{name}": None if last is None else float((shown < last).sum() + 0.5 * (shown == last).sum()), f"bars_{name}": len(shown)}
+        return pd.DataFrame([row])
+
+    schema = "k long, d date, " + ", ".join(f"{x} double, under_{x} double, bars_{x} long" for x in values)
+    return df.select("k", "d", "c").groupBy("k").applyInPandas(run, schema)
+
+
 def true_range(rows: Column) -> Column:
     """True ranges of an array of (h, l, c); the first is high - low."""
 

@@ -47,13 +47,18 @@ def progress_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def overseas_screen(spark: SparkSession, sf_dir: str, least_years: int = 2, share: tuple[float | None, float | None] = (0.2, 4.0), region: str = "europe", least_region: float | None = 10.0, least_overseas: float | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Keys with enough years and an overseas share in a range, where a region takes so many per cent of overseas sales or more: a page by share, and the total before it."""
+    pct = rounded(F.when(F.col("overseas") > 0, F.col(region) / F.col("overseas") * 100), 1)
+    rows = overseas_growth(spark, sf_dir).withColumn("region_pct", pct)
+    wanted = [F.col("years") >= least_years, screens.within("share", *share), screens.within("region_pct", least=least_region), screens.within("overseas", least=least_overseas)]
+    return screens.paged(rows.where(screens.all_of(wanted)).select("k", "years", "share", "region_pct"), [F.desc("share"), F.asc("k")], limit, offset)
+
+
 @query(f"""WITH g AS ({ORACLE_SQL["overseas_growth"]}), f AS (SELECT k, years, share, round(CASE WHEN overseas > 0 THEN europe / overseas * 100 END, 1) AS region_pct FROM g WHERE years >= 2 AND share BETWEEN 0.2 AND 4),
-s AS (SELECT *, count(*) OVER () AS total FROM f WHERE region_pct >= 10) SELECT * FROM s ORDER BY share DESC, k LIMIT 50 OFFSET 3""")
-def overseas_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys with enough years and an overseas share in a range, where Europe takes a tenth of overseas sales or more: a page by share, and the total before it."""
-    region = rounded(F.when(F.col("overseas") > 0, F.col("europe") / F.col("overseas") * 100), 1)
-    rows = overseas_growth(spark, sf_dir).where((F.col("years") >= 2) & F.col("share").between(0.2, 4)).select("k", "years", "share", region.alias("region_pct")).where("region_pct >= 10")
-    return screens.paged(rows, [F.desc("share"), F.asc("k")], 50, 3)
+s AS (SELECT *, count(*) OVER () AS total FROM f WHERE region_pct >= 10) SELECT * FROM s ORDER BY share DESC, k LIMIT 50 OFFSET 3""", name="overseas_screen")
+def overseas_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overseas_screen(spark, sf_dir, limit=50, offset=3)
 
 
 @query("""WITH m AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS code, s_name AS name, 'prime' AS market, s_acctbal > 0 AS active FROM supplier), e AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS code, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN 'delist' WHEN 1 THEN 'transfer' ELSE 'listing' END AS kind, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS market FROM customer WHERE c_custkey % 3 = 0)

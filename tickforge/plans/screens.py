@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import rounded
@@ -10,45 +10,73 @@ from tickforge.operators import screens
 from tickforge.operators.series import numbered
 from tickforge.plans.filings import GROWTH_SQL, growth
 from tickforge.plans.registry import query
-from tickforge.plans.technical import HORIZONS, RSI_STEPS_SQL, rsi_percentile
+from tickforge.plans.technical import RSI_STANDINGS_SQL, rsi_standings
+from tickforge.sources.shared import written
 from tickforge.sources.tables import BARS_SQL, STOCKS_SQL, bars_daily, stocks, table
 
-PERCENTILES_SQL = f"""{RSI_STEPS_SQL}, q AS (SELECT k, d, {", ".join(f"round(rsi{n}, 4) AS rsi{n}" for n in HORIZONS)} FROM series), l AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY k ORDER BY d DESC) = 1),
-p AS (SELECT l.k, any_value(l.d) AS d, any_value(l.rsi40) AS rsi40, CASE WHEN any_value(l.rsi40) IS NOT NULL THEN round((count(*) FILTER (q.rsi40 < l.rsi40) + 0.5 * count(*) FILTER (q.rsi40 = l.rsi40)) / nullif(count(q.rsi40), 0) * 100, 4) END AS pct40 FROM l JOIN q USING (k) GROUP BY l.k)"""
+def percentile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each active stock: its standings, the day they were computed from, market value, whether it is a blue chip, and the day of its snapshot."""
+    about = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("cap"), (F.col("s_acctbal") > 2000).alias("blue"))
+    rows = rsi_standings(spark, sf_dir).join(stocks(spark, sf_dir).where("is_active").select("k", "code"), "k").join(about, "k", "left")
+    return rows.withColumn("snapshot", F.date_add("d", F.when(F.col("k") % 4 == 0, 1).otherwise(0)))
 
 
-def percentile_screen(spark: SparkSession, sf_dir: str, period: int = 40, most: float = 60.0, days: int = 30, sort: str = "percentile", limit: int = 20, offset: int = 5) -> DataFrame:
-    """Active stocks whose percentile is `most` at most, as of the last day of all: a page, the total, and how many too old rows were left out."""
-    rows = rsi_percentile(spark, sf_dir).join(stocks(spark, sf_dir).where("is_active").select("k", "code"), "k")
-    seen = bars_daily(spark, sf_dir).groupBy("k").agg(F.max("d").alias("at"))
-    now = seen.agg(F.max("at").alias("now"))  # one row
-    pct, rsi = f"pct{period}", f"rsi{period}"
-    rows = rows.join(seen, "k").crossJoin(F.broadcast(now)).where(screens.all_of([screens.within(pct, most=most)]))
-    rows = rows.withColumn("stale", F.date_diff("now", "at") > days)
-    left_out = rows.agg(F.count(F.when(F.col("stale"), 1)).alias("stale_excluded"))
-    order = {"percentile": [F.asc_nulls_last(pct), F.col("code")], "rsi": [F.asc_nulls_last(rsi), F.col("code")]}[sort]
-    page = screens.paged(rows.where("not stale").select("code", F.col(rsi).alias("rsi"), F.col(pct).alias("pct")), [F.asc_nulls_last("pct") if sort == "percentile" else order[0], F.col("code")], limit, offset)
-    return page.crossJoin(F.broadcast(left_out))
+def percentile_screen(rows: DataFrame, now: Column, period: int | str = 40, most: float = 60.0, days: int = 30, sort: str = "percentile", blue: bool = False, limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of rows (percentile_rows, written: they are read three times) whose percentile of a period, or the least of all ("min"), is `most` at most.
 
+    Rows computed more than `days` before now, or before the snapshot beside them, are left out and counted. sort: percentile, rsi (percentile for "min"), or cap, the largest first.
+    """
+    pct, rsi = f"pct_{period}" if period == "min" else f"pct{period}", None if period == "min" else f"rsi{period}"
+    order = {"percentile": F.asc(pct), "rsi": F.asc(rsi or pct), "cap": F.desc_nulls_last("cap")}[sort]
+    rows = rows.where(screens.all_of([screens.within(pct, most=most), F.col("blue") if blue else None])).withColumn("fresh", F.coalesce(screens.fresh("d", now, days, "snapshot"), F.lit(False)))
+    left_out = rows.agg(F.count_if(~F.col("fresh")).alias("stale_excluded"))
+    page = screens.paged(rows.where("fresh"), [order, F.asc("code")], limit, offset)
+    return page.crossJoin(F.broadcast(left_out)).select("code", (F.col(rsi) if rsi else F.lit(None).cast("double")).alias("rsi"), F.col(pct).alias("pct"), "total", "stale_excluded")
 
-@query(f"""WITH RECURSIVE {PERCENTILES_SQL}, {STOCKS_SQL}, found AS (SELECT code, rsi40 AS rsi, pct40 AS pct, (SELECT max(d) FROM bars) - p.d > 30 AS stale FROM p JOIN stocks USING (k) WHERE is_active AND pct40 <= 60)
-SELECT code, rsi, pct, (SELECT count(*) FROM found WHERE NOT stale) AS total, (SELECT count(*) FROM found WHERE stale) AS stale_excluded FROM found WHERE NOT stale ORDER BY pct NULLS LAST, code LIMIT 20 OFFSET 5""", name="percentile_screen")
+
+#: The screens that are shown: their parameters, and the same in SQL (condition, order).
+PERCENTILE_SCREENS = {
+    "low": (dict(offset=5), "pct40 <= 60", "pct40", "pct40", "rsi40", 20, 5),
+    "least_of_all": (dict(period="min", most=70.0, sort="rsi", limit=15), "pct_min <= 70", "pct_min", "pct_min", "NULL", 15, 0),
+    "large": (dict(period=10, most=80.0, sort="cap", blue=True, limit=10, offset=2), "pct10 <= 80 AND blue", "cap DESC NULLS LAST", "pct10", "rsi10", 10, 2),
+    "weak": (dict(period=120, most=90.0, sort="rsi", days=10), "pct120 <= 90", "rsi120", "pct120", "rsi120", 20, 0),
+}
+
+
+def _screen_sql(name: str) -> str:
+    given, condition, order, pct, rsi, limit, offset = PERCENTILE_SCREENS[name]
+    fresh = f"d >= (SELECT max(d) FROM bars) - {given.get('days', 30)} AND d >= snapshot"
+    return f"(SELECT '{name}' AS screen, code, CAST({rsi} AS DOUBLE) AS rsi, {pct} AS pct, (SELECT count(*) FROM base WHERE {condition} AND {fresh}) AS total, (SELECT count(*) FROM base WHERE {condition} AND NOT ({fresh})) AS stale_excluded FROM base WHERE {condition} AND {fresh} ORDER BY {order}, code LIMIT {limit} OFFSET {offset})"
+
+
+@query(f"WITH RECURSIVE {RSI_STANDINGS_SQL}, {STOCKS_SQL}, base AS (SELECT s.*, code, e.d, s_acctbal AS cap, s_acctbal > 2000 AS blue, e.d + CASE WHEN s.k % 4 = 0 THEN 1 ELSE 0 END AS snapshot FROM standings s JOIN (SELECT k, max(d) AS d FROM bars GROUP BY k) e USING (k) JOIN stocks t ON t.k = s.k JOIN supplier ON s_suppkey = s.k WHERE is_active) " + " UNION ALL ".join(map(_screen_sql, PERCENTILE_SCREENS)), name="percentile_screen")
 def percentile_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percentile_screen(spark, sf_dir)
+    """Four screens of the same rows: by a period, by the least of all, blue chips by market value, and by relative strength itself."""
+    rows, seen = written(percentile_rows(spark, sf_dir))
+    now = F.lit(bars_daily(spark, sf_dir).agg(F.max("d")).first()[0]).cast("date")
+    out = None
+    for name, (given, *_) in PERCENTILE_SCREENS.items():
+        one = percentile_screen(rows, now, **given).select(F.lit(name).alias("screen"), "code", "rsi", "pct", "total", "stale_excluded")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Margin, return on equity and yield of a customer, in per cent; some are not known.
+RATES = {"margin": "CASE WHEN c_custkey % 9 <> 0 THEN c_custkey % 37 - 5 END", "roe": "(c_custkey * 7) % 40 - 8", "dividend": "CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey % 60) / 10.0D END"}
 
 
-def order_screen(spark: SparkSession, sf_dir: str, least_years: int = 3, cagr: float | None = 0.0, yoy: float | None = None, cap: tuple[float | None, float | None] = (None, None), per: float | None = None, segment: str | None = None, limit: int | None = 50, offset: int = 0) -> DataFrame:
-    """Growth screen: conditions that are given, of growth, size, price (positive and at most `per`) and segment."""
-    about = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("cap"), F.col("c_mktsegment").alias("segment"), (F.col("c_acctbal") / 200).alias("per"))
-    wanted = [F.col("n_years") >= least_years, screens.within("cagr", least=cagr), screens.within("yoy", least=yoy), screens.within("cap", *cap), screens.within("per", most=per, over=0.0) if per is not None else None, F.col("segment") == segment if segment else None]
+def order_screen(spark: SparkSession, sf_dir: str, least_years: int = 3, cagr: float | None = 0.0, yoy: float | None = None, cap: tuple[float | None, float | None] = (None, None), per: float | None = None, segment: str | None = None, margin: float | None = None, roe: float | None = None, dividend: float | None = None, limit: int | None = 50, offset: int = 0) -> DataFrame:
+    """Growth screen: conditions that are given, of growth, size, price (positive and at most `per`), segment, and of margin, return on equity and yield in per cent."""
+    about = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("cap"), F.col("c_mktsegment").alias("segment"), (F.col("c_acctbal") / 200).alias("per"), *(F.expr(rate).alias(x) for x, rate in RATES.items()))
+    wanted = [screens.within("margin", least=margin), screens.within("roe", least=roe), screens.within("dividend", least=dividend), F.col("n_years") >= least_years, screens.within("cagr", least=cagr), screens.within("yoy", least=yoy), screens.within("cap", *cap), screens.within("per", most=per, over=0.0) if per is not None else None, F.col("segment") == segment if segment else None]
     rows = growth(spark, sf_dir).join(about, "k").where(screens.all_of(wanted))
     return screens.paged(rows.select("k", "name", "cagr", "yoy"), [F.desc_nulls_last("cagr"), F.col("k")], limit, offset).select("k", "name", rounded("cagr", 6).alias("cagr"), rounded("yoy", 6).alias("yoy"), "total")
 
 
-@query(f"""WITH {GROWTH_SQL}, r AS (SELECT g.k, c_name AS name, g.cagr, g.yoy FROM growth g JOIN customer ON c_custkey = g.k WHERE n_years >= 3 AND g.cagr >= 0 AND c_acctbal >= 1000 AND c_acctbal / 200 > 0 AND c_acctbal / 200 <= 30 AND c_mktsegment = 'BUILDING')
+@query(f"""WITH {GROWTH_SQL}, r AS (SELECT g.k, c_name AS name, g.cagr, g.yoy FROM growth g JOIN customer ON c_custkey = g.k WHERE n_years >= 3 AND g.cagr >= 0 AND c_acctbal >= 1000 AND c_acctbal / 200 > 0 AND c_acctbal / 200 <= 30 AND c_mktsegment = 'BUILDING' AND c_custkey % 9 <> 0 AND c_custkey % 37 - 5 >= 0 AND (c_custkey * 7) % 40 - 8 >= -5 AND c_custkey % 5 <> 0 AND (c_custkey % 60) / 10.0 >= 0.5)
 SELECT k, name, round(cagr, 6) AS cagr, round(yoy, 6) AS yoy, (SELECT count(*) FROM r) AS total FROM r ORDER BY r.cagr DESC NULLS LAST, k LIMIT 10 OFFSET 3""", name="order_screen")
 def order_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_screen(spark, sf_dir, 3, 0.0, None, (1000.0, None), 30.0, "BUILDING", 10, 3)
+    return order_screen(spark, sf_dir, 3, 0.0, None, (1000.0, None), 30.0, "BUILDING", 0.0, -5.0, 0.5, 10, 3)
 
 
 @query(f"WITH {STOCKS_SQL} SELECT code, name, CASE WHEN code = '0001' THEN 0 ELSE 1 END AS place FROM stocks WHERE starts_with(code, '0001') OR contains(name, '0001') ORDER BY place, code LIMIT 36")

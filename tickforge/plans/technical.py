@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.columns import ratio, rounded
 from tickforge.operators import signals
-from tickforge.operators.series import by_day, ema_last, ema_values, full_mean, history, last_rows, latest, macd_last, recent, rsi_last, rsi_values, series_of, sma, true_range, wilder_last
+from tickforge.operators.series import by_day, ema_last, ema_values, full_mean, history, last_rows, latest, macd_last, recent, rsi_last, rsi_values, series_of, sma, standings, true_range, wilder_last
 from tickforge.plans.registry import query
 from tickforge.sources.tables import BARS_SQL, MINUTES_SQL, STOCKS_SQL, bars_daily, bars_minutes, stocks
 
@@ -185,19 +185,22 @@ def ema_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", "d", rounded("ema12").alias("ema12"), rounded("ema26").alias("ema26"))
 
 
-@query(f"""WITH RECURSIVE {RSI_STEPS_SQL}, q AS (SELECT k, d, {", ".join(f"round(rsi{n}, 4) AS rsi{n}" for n in HORIZONS)} FROM series), l AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY k ORDER BY d DESC) = 1),
-p AS (SELECT l.k, {", ".join(f"any_value(l.rsi{n}) AS rsi{n}, CASE WHEN any_value(l.rsi{n}) IS NOT NULL THEN round((count(*) FILTER (q.rsi{n} < l.rsi{n}) + 0.5 * count(*) FILTER (q.rsi{n} = l.rsi{n})) / nullif(count(q.rsi{n}), 0) * 100, 4) END AS pct{n}, count(q.rsi{n}) AS bars{n}" for n in HORIZONS)} FROM l JOIN q USING (k) GROUP BY l.k)
-SELECT *, CAST(least(pct10, pct40, pct120) AS DOUBLE) AS pct_min FROM p""")
+RSI_STANDINGS_SQL = f"""{RSI_STEPS_SQL}, q AS (SELECT k, d, {", ".join(f"round(rsi{n}, 4) AS rsi{n}" for n in HORIZONS)} FROM series), l AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY k ORDER BY d DESC) = 1),
+p AS (SELECT l.k, {", ".join(f"any_value(l.rsi{n}) AS rsi{n}, CASE WHEN any_value(l.rsi{n}) IS NOT NULL THEN round((count(*) FILTER (q.rsi{n} < l.rsi{n}) + 0.5 * count(*) FILTER (q.rsi{n} = l.rsi{n})) / nullif(count(q.rsi{n}), 0) * 100, 4) END AS pct{n}, count(q.rsi{n}) AS bars{n}" for n in HORIZONS)} FROM l JOIN q USING (k) GROUP BY l.k), standings AS (SELECT *, CAST(least(pct10, pct40, pct120) AS DOUBLE) AS pct_min FROM p)"""
+
+
+@query(f"WITH RECURSIVE {RSI_STANDINGS_SQL} SELECT * FROM standings")
 def rsi_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stock's last relative strength among its own history, for three horizons: mid-rank percentile, bars it is taken from, and the least of the three."""
-    rows = rsi_series(spark, sf_dir)
-    last = rows.groupBy("k").agg(F.max_by(F.struct(*(f"rsi{n}" for n in HORIZONS)), "d").alias("last"))
-    rows = rows.join(last, "k")
-    own = lambda n: F.col("last")[f"rsi{n}"]
-    under = lambda n: F.count(F.when(F.col(f"rsi{n}") < own(n), 1)) + 0.5 * F.count(F.when(F.col(f"rsi{n}") == own(n), 1))
-    found = rows.groupBy("k").agg(*(x for n in HORIZONS for x in (F.max(own(n)).alias(f"rsi{n}"), under(n).alias(f"u{n}"), F.count(f"rsi{n}").alias(f"bars{n}"))))
-    found = found.select("k", *(x for n in HORIZONS for x in (f"rsi{n}", F.when(F.col(f"rsi{n}").isNotNull(), rounded(ratio(f"u{n}", f"bars{n}") * 100)).alias(f"pct{n}"), f"bars{n}")))
-    return found.withColumn("pct_min", F.least("pct10", "pct40", "pct120"))
+    return rsi_standings(spark, sf_dir).drop("d")
+
+
+def rsi_standings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rsi_percentile with the last day, one pass over each stock's bars."""
+    found = standings(bars_daily(spark, sf_dir), {f"rsi{n}": (rsi_values, n) for n in HORIZONS})
+    pct = lambda n: F.when(F.col(f"rsi{n}").isNotNull(), rounded(ratio(f"under_rsi{n}", f"bars_rsi{n}") * 100)).alias(f"pct{n}")
+    found = found.select("k", "d", *(x for n in HORIZONS for x in (f"rsi{n}", pct(n), F.col(f"bars_rsi{n}").alias(f"bars{n}"))))
+    return found.withColumn("pct_min", F.least(*(f"pct{n}" for n in HORIZONS)))
 
 
 TR_SQL = "list_transform(range(1, len(rows) + 1), lambda i: CASE WHEN i = 1 THEN rows[i].h - rows[i].l ELSE greatest(rows[i].h - rows[i].l, abs(rows[i].h - rows[i - 1].c), abs(rows[i].l - rows[i - 1].c)) END)"
