@@ -169,3 +169,26 @@ def test_merged_ranges_equal_sets_of_days(spark):
     frame = spark.createDataFrame([(k, day(a), day(b)) for k, a, b in windows], "k long, first date, last date")
     got = coverage.contained(frame, ranges, "k", "first", "last", "ok").select("k", "first", "last", "ok").collect()
     assert sorted(map(tuple, got)) == sorted((k, day(a), day(b), set(range(a, b + 1)) <= held.get(k, set())) for k, a, b in windows)
+
+
+def test_a_batch_that_breaks_a_rule_commits_nothing(spark, tmp_path):
+    from tickforge.operators import facts
+
+    store = Versions(spark, str(tmp_path / "v"))
+    store.publish({"m": spark.createDataFrame([(1, "a", "prime", True, None), (2, "b", "prime", True, None)], "k long, name string, market string, active boolean, last_event string")})
+    events = spark.createDataFrame([(1, "x", "delist", "none"), (3, "c", "listing", "growth"), (4, "d", "transfer", "growth")], "k long, new string, kind string, to string")
+    with pytest.raises(Exception, match="k is there twice: 3"):
+        facts.overlay(store, "m", facts.checked_once(events.union(events.where("k = 3")), "k"))
+    assert store.version() == 1 and store.tables() == ["m"]
+    facts.overlay(store, "m", facts.checked_once(events, "k"))
+    assert rows(store.read("m")) == [(1, "a", "prime", False, "delist"), (2, "b", "prime", True, None), (3, "c", "growth", True, "listing")]
+    assert store.read("m_events").count() == 3
+
+
+def test_one_scope_of_the_last_end(spark):
+    from tickforge.operators import facts
+
+    day = lambda y: dt.date(y, 3, 31)
+    made = [(1, day(2022), "b", 1), (1, day(2023), "a", 2), (1, day(2023), "b", 3), (1, day(2099), "b", 4), (2, day(2023), "c", 5), (2, day(2022), "a", 6), (3, day(2023), "?", 7)]
+    got = facts.one_scope(spark.createDataFrame(made, "k long, end date, scope string, v long"), "k", "end", "scope", ["a", "b", "c"], F.lit("2024-01-01").cast("date"))
+    assert sorted((r.k, r.v) for r in got.collect()) == [(1, 2), (2, 5)]

@@ -44,14 +44,30 @@ def term_weights(terms: DataFrame, document: str) -> DataFrame:
     return weights.join(lengths, document).select(document, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+#: Rows of a join key that meet the asked ones in one task.
+BLOCK = 50_000
+
+
+def in_blocks(rows: DataFrame, asked: DataFrame, key: str, id_: str, block: int = BLOCK) -> DataFrame:
+    """rows joined with the asked ones on key; a key with more than `block` rows is dealt over blocks by id_, and its asked rows go to each.
+
+    The keys that need it are at most one for `block` rows.
+    """
+    hot = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks")).where("_blocks > 1")
+    many = F.coalesce("_blocks", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("_block", F.pmod(F.xxhash64(id_), many).cast("int")).drop("_blocks")
+    copied = asked.join(hot, key, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), many - 1))).drop("_blocks")
+    return dealt.join(copied, [key, "_block"]).drop("_block")
+
+
 def similar(weights: DataFrame, document: str, k: int, asked: Column) -> DataFrame:
     """(a, b, score, place): the k most similar documents of each asked one by the product over shared terms; ties by b.
 
-    A stated query set against all documents: a term's list meets the asked documents that hold it, not itself.
+    A stated query set against all documents, in blocks: a term's list meets the asked documents that hold it, not itself.
     """
     left = weights.where(asked).select(F.col(document).alias("a"), "term", F.col("w").alias("x"))
     right = weights.select(F.col(document).alias("b"), "term", F.col("w").alias("y"))
-    scores = right.join(left, "term").where("a <> b").groupBy("a", "b").agg(rounded(F.sum(F.col("x") * F.col("y")), 6).alias("score"))
+    scores = in_blocks(right, left, "term", "b").where("a <> b").groupBy("a", "b").agg(rounded(F.sum(F.col("x") * F.col("y")), 6).alias("score"))
     best = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     return scores.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 

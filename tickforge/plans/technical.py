@@ -253,11 +253,12 @@ def entry_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MINUTES_SQL} SELECT k, CAST(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Tokyo' AS DATE) AS day, round(arg_max(vwap, ts), 4) AS vwap FROM (SELECT k, ts, sum((h + l + c) / 3 * v) OVER w / sum(v) OVER w AS vwap FROM minutes WINDOW w AS (PARTITION BY k ORDER BY ts ROWS UNBOUNDED PRECEDING)) GROUP BY k, day")
 def vwap_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = Window.partitionBy("k").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    """The volume-weighted price from the first bar on, at the end of each day: days' sums are partial, only days are ordered."""
     typical = (F.col("h") + F.col("l") + F.col("c")) / 3
-    rows = bars_minutes(spark, sf_dir).withColumn("vwap", F.sum(typical * F.col("v")).over(run) / F.sum("v").over(run))
     day = F.to_date(F.from_utc_timestamp("ts", "Asia/Tokyo"))
-    return rows.groupBy("k", day.alias("day")).agg(rounded(F.max_by("vwap", "ts")).alias("vwap"))
+    days = bars_minutes(spark, sf_dir).groupBy("k", day.alias("day")).agg(F.sum(typical * F.col("v")).alias("paid"), F.sum("v").alias("v"))
+    run = Window.partitionBy("k").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    return days.select("k", "day", rounded(F.sum("paid").over(run) / F.sum("v").over(run)).alias("vwap"))
 
 
 BINS = 50

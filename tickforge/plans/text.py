@@ -95,7 +95,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     score = rounded(F.try_divide(dot("x", "e"), F.sqrt(dot("x", "x") * dot("e", "e"))))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "v")
-    found = rows.join(asked, "label").where("q <> vec_id").select("q", F.col("vec_id").alias("v"), score.alias("score"))
+    found = prose.in_blocks(rows, asked, "label", "vec_id").where("q <> vec_id").select("q", F.col("vec_id").alias("v"), score.alias("score"))
     return found.withColumn("place", F.row_number().over(best)).where("place <= 3")
 
 
