@@ -6,7 +6,7 @@ days, whatever the number of trades; last values are one fold over it, whole ser
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -54,6 +54,18 @@ def history(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("d", *columns))).alias("rows"))
 
 
+def last_of(rows: str, n: int, current: bool = True) -> Column:
+    """The last n of an array of rows, or all of a shorter one; without the very last if `current` is false."""
+    end = F.size(rows) - (0 if current else 1)
+    return F.slice(rows, F.greatest(end - n + 1, F.lit(1)), F.least(F.greatest(end, F.lit(0)), F.lit(n)))
+
+
+def array_mean(rows: str, value: Callable[[Column], Column], n: int, current: bool = True) -> Column:
+    """full_mean at the end of an array of rows."""
+    found = F.array_compact(F.transform(last_of(rows, n, current), value))
+    return F.when(F.size(found) == n, total(found) / n)
+
+
 def recent(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     """(k, rows): an array of each key's last n rows, oldest first."""
     return history(latest(df, n), columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.columns import ratio, rounded
 from tickforge.operators import signals
-from tickforge.operators.series import by_day, ema_last, ema_values, full_mean, history, last_rows, latest, macd_last, recent, rsi_last, rsi_values, series_of, sma, standings, true_range, wilder_last
+from tickforge.operators.series import array_mean, by_day, ema_last, ema_values, full_mean, history, last_of, last_rows, latest, macd_last, recent, rsi_last, rsi_values, series_of, sma, standings, true_range, wilder_last
 from tickforge.plans.registry import query
 from tickforge.sources.tables import BARS_SQL, MINUTES_SQL, STOCKS_SQL, bars_daily, bars_minutes, stocks
 
@@ -48,7 +48,7 @@ FROM f JOIN stocks USING (k) WHERE rn = 1 ORDER BY f.turnover DESC NULLS LAST, c
 @query(SCREEN_SQL)
 def sma_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The swing screen: moving averages, volume ratio, turnover and trend flags of each stock's last bar, by turnover."""
-    rows = bars_daily(spark, sf_dir).select(
+    rows = latest(bars_daily(spark, sf_dir), 60).select(
         "k", "d", "c", full_mean("c", 5).alias("sma5"), full_mean("c", 20).alias("sma20"), full_mean("c", 60).alias("sma60"), ratio("v", full_mean("v", 20, current=False)).alias("volume_ratio"), full_mean(F.col("c") * F.col("v"), 20).alias("turnover")
     )
     flags = signals.trend_flags("c", "sma5", "sma20", "sma60")
@@ -224,14 +224,18 @@ snap AS (SELECT f.*, atr, CASE WHEN s = 0 THEN CASE WHEN g = 0 THEN 50.0 ELSE 10
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per stock with what the signals look at."""
-    bars = bars_daily(spark, sf_dir)
-    day, month = by_day(), last_rows(20)
-    rows = bars.select("*", *(F.lag(x).over(day).alias(f"p{x}") for x in "chl"), F.max("h").over(month).alias("hi"), F.min("l").over(month).alias("lo"), *(full_mean("c", n).alias(f"sma{n}") for n in (5, 20, 60)), ratio("v", full_mean("v", 20, current=False)).alias("vr"), full_mean(F.col("c") * F.col("v"), 20).alias("turnover20"))
-    closes = F.transform("rows", lambda r: r["c"])
-    folds = history(bars, ["h", "l", "c"]).select("k", F.when(F.size("rows") >= 15, wilder_last(true_range(F.col("rows")), 14)).alias("atr"), rsi_last(closes, 14).alias("rsi"))
+    """One row per stock with what the signals look at: its bars are put in order once, and all else is read from their array."""
+    rows = history(bars_daily(spark, sf_dir), ["o", "h", "l", "c", "v"])
+    last, prior = F.element_at("rows", -1), F.get("rows", F.size("rows") - 2)
+    of = lambda x: (lambda r: r[x])
+    month = last_of("rows", 20)
+    rows = rows.select(
+        "k", *(last[x].alias(x) for x in ("d", *"ohlcv")), *(prior[x].alias(f"p{x}") for x in "chl"), F.array_max(F.transform(month, of("h"))).alias("hi"), F.array_min(F.transform(month, of("l"))).alias("lo"),
+        *(array_mean("rows", of("c"), n).alias(f"sma{n}") for n in (5, 20, 60)), ratio(last["v"], array_mean("rows", of("v"), 20, current=False)).alias("vr"), array_mean("rows", lambda r: r["c"] * r["v"], 20).alias("turnover20"),
+        F.when(F.size("rows") >= 15, wilder_last(true_range(F.col("rows")), 14)).alias("atr"), rsi_last(F.transform("rows", of("c")), 14).alias("rsi"),
+    )
     width = F.col("hi") - F.col("lo")
-    return latest(rows).join(folds, "k", "left").select("*", ((ratio("c", "pc") - 1) * 100).alias("pct"), ((ratio("o", "pc") - 1) * 100).alias("gap"), width.alias("width"), (F.col("hi") - 0.382 * width).alias("f382"), (F.col("hi") - 0.618 * width).alias("f618"))
+    return rows.select("*", ((ratio("c", "pc") - 1) * 100).alias("pct"), ((ratio("o", "pc") - 1) * 100).alias("gap"), width.alias("width"), (F.col("hi") - 0.382 * width).alias("f382"), (F.col("hi") - 0.618 * width).alias("f618"))
 
 
 @query(f"""WITH {SNAPSHOT_SQL}, s AS (
