@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.functions import japanese as jp
+from tickforge.functions import market
 from tickforge.functions.columns import rounded
 from tickforge.plans.registry import query
 from tickforge.sources.tables import BARS_SQL, bars_daily, table
@@ -110,20 +111,34 @@ def adjusted_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", "d", F.when(F.col("f").isNotNull(), rounded("adj")).alias("adj_close"), scaled("o").alias("adj_open"), scaled("h").alias("adj_high"), scaled("l").alias("adj_low"), F.coalesce(F.col("f") != 1, F.lit(False)).alias("adjusted"))
 
 
-@query("""SELECT p_partkey AS k, round(y, 4) AS yield, round(CASE WHEN p_size % 3 = 0 THEN p_retailprice * y END, 4) AS trusted, CASE WHEN y IS NULL THEN 'unverified' WHEN y > 0 THEN 'paying' ELSE 'none' END AS status, p_size % 13 <> 0 AND p_size % 2 = 0 AS recurring,
-  CASE WHEN p_size % 3 = 0 THEN '中間' ELSE '第2四半期' END AS interim, CASE p_size % 4 WHEN 0 THEN 'equity' WHEN 1 THEN 'etf' WHEN 2 THEN 'reit' ELSE NULL END AS instrument, CASE WHEN p_size >= 40 THEN 'yes' WHEN p_size <= 10 THEN 'no' ELSE 'uncertain' END AS band
-FROM (SELECT *, CASE WHEN p_size % 7 = 0 THEN NULL ELSE (p_size % 6) / 100.0 END AS y FROM part)""")
+#: Quotes, benefits and segments made from a part's numbers: what is asked of the functions, in an engine's own words (lists are taken by place).
+QUOTED = {
+    "percent": "CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 11 = 0 THEN -1.5 ELSE (p_size % 6) * 0.75 END", "price": "CASE WHEN p_partkey % 10 <> 0 THEN p_retailprice END", "month": "p_partkey % 14", "end": "CAST('2024-01-31' AS DATE) + CAST(p_size * 7 AS INT)",
+    "source": (["company", "analyst", None], "p_partkey % 3"), "day": (["2024-09-30", "2024-02-30", None, None, "24-1-1"], "p_size % 5"), "kind": (["本決算", "1Q", "2Q", "3Q"], "p_partkey % 4"), "code": (["1301", "130A", "A130", "13019"], "p_size % 4"),
+    "segment": (["プライム（内国株式）", " スタンダード（内国株式） ", "グロース（内国株式）", "プライム（外国株式）", "ETF・ETN", "PRO Market", "REIT・ベンチャーファンド・カントリーファンド・インフラファンド", "出資証券", "ETF", "内国株式"], "p_partkey % 10"),
+}
+
+
+def _quoted(spark_: bool) -> list[str]:
+    values = lambda xs: ", ".join("NULL" if x is None else f"'{x}'" for x in xs)
+    take = lambda x: x if isinstance(x, str) else (f"element_at(array({values(x[0])}), CAST({x[1]} AS INT) + 1)" if spark_ else f"([{values(x[0])}])[CAST({x[1]} AS INT) + 1]")
+    quote = "`" if spark_ else '"'
+    return [f"{take(x)} AS {quote}{name}{quote}" for name, x in QUOTED.items()]
+
+
+@query(f"""WITH q AS (SELECT p_partkey AS k, p_size AS score, {', '.join(_quoted(False))} FROM part), d AS (SELECT *, TRY_CAST(CASE WHEN regexp_matches("day", '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN "day" END AS DATE) AS real FROM q)
+SELECT k, round(CASE WHEN percent >= 0 THEN percent / 100 END, 6) AS yield, round(CASE WHEN percent > 0 THEN price * percent / 100 END, 4) AS dividend, CASE WHEN percent IS NULL OR percent < 0 THEN 'unverified' WHEN percent > 0 THEN 'paying' ELSE 'non-dividend' END AS status, round(CASE WHEN source = 'company' THEN price END, 4) AS trusted,
+  CASE WHEN "month" > 12 OR ("day" IS NOT NULL AND real IS NULL) OR ("month" = 0 AND "day" IS NOT NULL) THEN NULL ELSE "day" IS NULL AND "month" <> 0 END AS recurring, CASE WHEN kind = '2Q' AND "end" >= DATE '2024-06-30' THEN '中間' ELSE kind END AS interim,
+  CASE WHEN regexp_matches(code, '^[0-9]{{3}}[0-9A-Z]$') AND regexp_matches(segment, '(プライム|スタンダード|グロース).*内国株式') THEN 'equity' WHEN segment LIKE '%（外国株式）' THEN 'foreign' WHEN segment = 'PRO Market' THEN 'pro_market' WHEN segment = 'ETF・ETN' THEN 'etf_etn' WHEN segment LIKE 'REIT・%' THEN 'reit_fund' WHEN segment = '出資証券' THEN 'investment_certificate' END AS instrument,
+  CASE WHEN score >= 40 THEN 'yes' WHEN score <= 10 THEN 'no' ELSE 'uncertain' END AS band FROM d""")
 def dividend_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dividend yields as ratios, their status, estimates from the company alone, recurring benefits, and three lookups of labels."""
-    size = F.col("p_size")
-    share = F.when(size % 7 != 0, (size % 6) / 100.0)
-    market = F.element_at(F.array(*map(F.lit, ("プライム（内国株式）", "ETF・ETN", "REIT", "不明"))), (size % 4 + 1).cast("int"))
-    kind = F.create_map(*(F.lit(x) for pair in {"プライム（内国株式）": "equity", "ETF・ETN": "etf", "REIT": "reit"}.items() for x in pair))
-    ends = F.when(size % 3 == 0, F.lit("2024-09-30")).otherwise(F.lit("2023-09-30")).cast("date")
-    interim = F.when(ends >= F.lit("2024-06-30").cast("date"), "中間").otherwise("第2四半期")
-    return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("k"), rounded(share).alias("yield"), rounded(F.when(size % 3 == 0, F.col("p_retailprice") * share)).alias("trusted"), F.when(share.isNull(), "unverified").when(share > 0, "paying").otherwise("none").alias("status"),
-        ((size % 13 != 0) & (size % 2 == 0)).alias("recurring"), interim.alias("interim"), F.try_element_at(kind, market).alias("instrument"), F.when(size >= 40, "yes").when(size <= 10, "no").otherwise("uncertain").alias("band"),
+    """Yields as ratios, their state, estimates of the company alone, benefits that recur, interim reports, kinds of instruments and bands."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "p_size AS score", *_quoted(True))
+    percent = F.col("percent").cast("double")
+    share = market.dividend_yield(percent)
+    return rows.select(
+        "k", rounded(share, 6).alias("yield"), rounded(market.estimated_dividend(F.col("price"), share)).alias("dividend"), market.dividend_state(percent).alias("status"), rounded(market.trusted(F.col("price"), F.col("source"))).alias("trusted"),
+        market.recurring(F.col("month"), F.col("day")).alias("recurring"), market.interim(F.col("kind"), F.col("end")).alias("interim"), market.instrument(F.col("code"), F.col("segment")).alias("instrument"), market.band(F.col("score"), 40, 10).alias("band"),
     )
 
 
