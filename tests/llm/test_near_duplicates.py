@@ -1,10 +1,12 @@
 """Embedding and MinHash near-duplicates against brute force."""
 
+import os
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from tickforge.llm import embedding_dedup, minhash_dedup
 from tickforge.llm.common import connected_components
@@ -186,3 +188,40 @@ def test_components_of_a_long_path_and_a_star(spark):
 
 def test_hashes_are_stable():
     assert zlib.crc32(minhash_dedup.shingle_sets([b"a b c d e f"])[0].tobytes()) == zlib.crc32(minhash_dedup.shingle_sets([b"A B\nc d e F "])[0].tobytes())
+
+
+def test_sets_that_hold_each_other_at_the_threshold_link(spark):
+    """400 pairs of which one set has 300 shingles of the other's 400, a similarity of exactly 0.75; and 400 with 299 of 400, just under it."""
+    draw = np.random.default_rng(8)
+    rows = []
+    for i in range(800):
+        words = [f"w{x}" for x in draw.integers(0, 10**9, 404)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: 304 if i < 400 else 303]))]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in range(400) if got[2 * i + 1] != 2 * i] == [] and [i for i in range(400, 800) if got[2 * i + 1] == 2 * i] == []
+
+
+def test_every_hundredth_document_against_all(spark):
+    """Recall on a larger table: each link of an asked document, found over an inverted index of all full sets, joins it."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the larger tables are not there")
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(path).select("doc_id", "text").collect()]
+    planted = [(100_000 + i, " ".join(w[: 4 + int(round(0.76 * (len(w) - 4)))])) for i, t in docs if i % 100 == 0 and len(w := (t or "").split()) > 40]
+    docs += planted
+    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := WORD.findall("".join(c.lower() if c.isascii() else c for c in t or ""))) else frozenset() for i, t in docs}
+    asked = [i for i in sets if i % 100 == 0 or i >= 100_000]
+    wanted = {s for i in asked for s in sets[i]}
+    lists = defaultdict(list)
+    for i, own in sets.items():
+        for s in own & wanted:
+            lists[s].append(i)
+    links = set()
+    for i in asked:
+        both = defaultdict(int)
+        for s in sets[i]:
+            for j in lists[s]:
+                both[j] += 1
+        links |= {(i, j) for j, n in both.items() if i != j and 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n)}
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    assert len(links) > 150 and [x for x in links if got[x[0]] != got[x[1]]] == []

@@ -2,8 +2,8 @@
 
 Every document keeps the `k` least hash values of its set of shingles. Documents with equal sets are first put
 together. The `indexed` least values of the others go to inverted lists. Two sets at the threshold have `shared` of
-these values in common at least (all but about one pair in a million; surely, where sets are small), so a document only needs the lists of
-its rarest values, all but `shared` - 1 of them: any such pair still meets in one of them, and a passage that many texts
+these values in common at least (of sets of equal size all but 4 pairs in a thousand million; where one set holds the other, all but 4 in a
+million, by the binomial; surely, where sets are small), so a document only needs the lists of its rarest values, all but `shared` - 1 of them: any such pair still meets in one of them, and a passage that many texts
 share lists none of them unless the text is mostly made of it. Three passes follow.
 
 1. Overlaps in the lists: each document is paired with that list leader (smallest id) with which it shares most
@@ -226,7 +226,7 @@ def blocks_of(long: DataFrame, sets: DataFrame, members: int, strays: int, shing
     return as_member.unionByName(as_stray).join(sets, "doc_id")
 
 
-def near_duplicates(docs: DataFrame, k: int = 64, indexed: int = 16, shared: int = 6, slack: float = 0.25, long_list: int = 64, members: int = 2048, strays: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 64, indexed: int = 16, shared: int = 4, slack: float = 0.25, long_list: int = 64, members: int = 2048, strays: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents (doc_id, text).
 
     k: values retained in a sketch; indexed: of them, those with inverted lists; shared: of these, what a pair at the
