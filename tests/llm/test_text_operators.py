@@ -57,6 +57,25 @@ def test_parse_equals_brute_force(width):
     assert got.tolist() == [brute_phrases(t, joined) for t in texts]
 
 
+@pytest.mark.parametrize("width", [8, 1000])
+def test_texts_without_letters_are_parsed_in_order(width):
+    """Figures are a cycle that windows never fall in step with: exact against brute force, and 200,000 of them in under a second."""
+    draw = np.random.default_rng(5)
+    letter = "".join(map(chr, range(0x4E00, 0x4E00 + width - 2)))
+    corpus = [s for run in (7, 11, 3) for s in (*draw.integers(2, width, 40).tolist(), *[language_id.OTHER] * run)]
+    joined = "".join("1" if c == language_id.OTHER else letter[c - 2] for c in corpus)
+    steps = language_id.Steps(language_id.automaton(corpus), width)
+    table = language_id.classes(np.array([ord(c) for c in letter]))
+    texts = ["1" * 9000, "1234 " * 900 + joined[:50] + "1" * 3000, joined * 3, "1" * 65 + joined[3:30], "", "12 " + letter[0]]
+    cut = language_id.Windows(texts)
+    assert cut.phrases(cut.board(table), steps).tolist() == [brute_phrases("".join("1" if c not in letter else c for c in t), joined) for t in texts]
+    assert [language_id.phrases_of(table[language_id.points(t)], steps) for t in texts] == cut.phrases(cut.board(table), steps).tolist()
+    began = time.time()
+    cut = language_id.Windows(["1234 " * 40_000, "7" * 200_000])
+    cut.phrases(cut.board(table), steps)
+    assert time.time() - began < 2
+
+
 def test_languages_of_many_letters_and_text_behind_a_long_head(spark):
     draw = np.random.default_rng(2)
     scripts = {"aa": [chr(0x4E00 + i) for i in range(600)], "bb": [chr(0x4E00 + i) for i in range(300, 900)], "cc": list("abcdefghij")}

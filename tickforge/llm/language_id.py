@@ -24,6 +24,7 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ UNKNOWN = "und"
 #: Letters of all languages together, up to which their automata are dense tables.
 DENSE = 126
 WINDOW = 256
+#: Rounds in which a text's windows fall in step, and the length from which a run of one symbol is searched for cycles.
+ROUNDS, LONG_RUN = 12, 64
 #: Symbols 0 and 1: letters that no labelled text holds, and whatever is no letter.
 FOREIGN, OTHER = 0, 1
 
@@ -120,6 +123,12 @@ class Steps:
     def dense(self, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         return self.table[(at >> 1) + symbols]
 
+    def one(self, at: int, symbol: int) -> int:
+        """One move from one state."""
+        if self.move == self.dense:
+            return int(self.table[(at >> 1) + symbol])
+        return int(self.hashed(np.array([at]), np.array([symbol]))[0])
+
     def hashed(self, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         key = (at >> 1) * self.width + symbols
         slot, out, open_ = self.slots(key), self.start[symbols], np.arange(len(key))
@@ -134,6 +143,26 @@ class Steps:
         return out
 
 
+def phrases_of(symbols: np.ndarray, steps: Steps) -> int:
+    """Phrases of one text in order. In a long run of one symbol states come again, and whole cycles are counted at once."""
+    heads = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1])) if len(symbols) else np.empty(0, np.int64)
+    at, phrases = steps.begin, 0
+    for symbol, size in zip(symbols[heads].tolist(), np.diff(np.append(heads, len(symbols))).tolist(), strict=True):
+        seen: dict[int, tuple[int, int]] | None = {} if size > LONG_RUN else None
+        i = 0
+        while i < size:
+            if seen is not None and at in seen:
+                before, counted = seen[at]
+                times = (size - i) // (i - before)
+                phrases, i, seen = phrases + times * (phrases - counted), i + times * (i - before), None
+                continue
+            if seen is not None:
+                seen[at] = (i, phrases)
+            got = steps.one(at, symbol)
+            phrases, at, i = phrases + (got & 1), got & ~1, i + 1
+    return phrases
+
+
 def parsed(windows: np.ndarray, lengths: np.ndarray, steps: Steps, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(phrases begun, last state) of each window (a column of symbols per position; lengths fall) that starts in state `at`."""
     at, phrases = at.copy(), np.zeros(windows.shape[1], np.int64)
@@ -205,7 +234,8 @@ class Windows:
 
     def board(self, table: np.ndarray) -> np.ndarray:
         """The symbols, a row per position of the windows."""
-        padded = np.append(table[self.flat], np.zeros(WINDOW, table.dtype))
+        self.symbols = table[self.flat]
+        padded = np.append(self.symbols, np.zeros(WINDOW, table.dtype))
         rows = int(self.size.max(initial=0))
         out = np.zeros((rows, len(self.owner)), table.dtype)
         for i in range(rows):
@@ -213,14 +243,22 @@ class Windows:
         return out
 
     def phrases(self, board: np.ndarray, steps: Steps) -> np.ndarray:
-        """Phrases of each text, as one pass over it has them."""
+        """Phrases of each text, as one pass over it has them.
+
+        Windows are parsed together from guessed states, and again where the window before ends in another one. A text that does not settle in
+        ROUNDS of this (its windows never fall in step, as with tables of figures) is parsed in order.
+        """
         at = np.full(len(self.owner), steps.begin, np.int64)
         count, last = parsed(board, self.size, steps, at)
-        while True:
+        ends = np.cumsum(self.chars)
+        for turn in itertools.count():
             enters = np.where(self.before >= 0, last[self.before], steps.begin)
             again = np.flatnonzero(enters != at)
-            if not len(again):
-                return np.bincount(self.owner, count, int(len(self.chars)))
+            if not len(again) or turn == ROUNDS:
+                out = np.bincount(self.owner, count, int(len(self.chars)))
+                for i in np.unique(self.owner[again]).tolist():
+                    out[i] = phrases_of(self.symbols[ends[i] - self.chars[i] : ends[i]], steps)
+                return out
             at[again] = enters[again]
             count[again], last[again] = parsed(board[:, again], self.size[again], steps, at[again])
 
