@@ -107,3 +107,30 @@ def flat_columns(df: DataFrame) -> list[Column]:
                 yield F.col(".".join(f"`{p}`" for p in here)).cast("string").alias(".".join(here))
 
     return list(leaves([], df.schema))
+
+
+def regressions(old: DataFrame, new: DataFrame, key: str, arrays: list[str], writer: str) -> DataFrame:
+    """(key, reason) of new documents (key, writer, first_date, arrays) against the stored ones: why one may not be written, null where it may.
+
+    In this order: it is not this writer's (writer); the stored one is another's (other_writer); of the arrays one vanished, has fewer
+    elements, or lacks one that it had (vanished, shrunk, lost); it begins later (first_date). A key that is not stored yet is new and free.
+    """
+    fields = ["writer", "first_date", *arrays]
+    both = new.select(key, F.struct(*fields).alias("n")).join(old.select(key, F.struct(*fields).alias("o")), key, "left")
+    any_of = lambda test: F.array_contains(F.array(*(F.coalesce(test(F.col(f"o.{a}"), F.col(f"n.{a}")), F.lit(False)) for a in arrays)), True)
+    stored = F.col("o").isNotNull()
+    reason = (
+        F.when(~F.col("n.writer").eqNullSafe(F.lit(writer)), "writer").when(stored & F.col("o.writer").isNotNull() & (F.col("o.writer") != writer), "other_writer").when(stored & any_of(lambda o, n: o.isNotNull() & n.isNull()), "vanished")
+        .when(stored & any_of(lambda o, n: F.size(n) < F.size(o)), "shrunk").when(stored & any_of(lambda o, n: F.size(F.array_except(o, n)) > 0), "lost").when(stored & F.coalesce(F.col("n.first_date") > F.col("o.first_date"), F.lit(False)), "first_date")
+    )
+    return both.select(key, reason.alias("reason"))
+
+
+def same_body(old: Column, new: Column, schema: str, volatile: list[str]) -> Column:
+    """Whether two JSON documents are the same but for their volatile top-level fields; a stored one that is missing or no such document is not.
+
+    Objects are compared whatever the order of their fields, arrays in order. A field that one of them lacks is a difference: fields are compared by
+    their names too.
+    """
+    names = lambda text: F.array_sort(F.filter(F.json_object_keys(text), lambda k: ~k.isin(volatile)))
+    return F.coalesce(names(old).eqNullSafe(names(new)) & names(old).isNotNull() & F.from_json(old, schema).eqNullSafe(F.from_json(new, schema)), F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.columns import rounded
 from tickforge.functions.passages import compatible
+from tickforge.operators import ledger
 from tickforge.operators.series import history, last_of
 from tickforge.plans.registry import ORACLE_SQL, query
 from tickforge.plans.technical import five_condition_screen
@@ -169,3 +170,62 @@ def source_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = bars_daily(spark, sf_dir).groupBy("k").agg(F.when(F.col("k") % 6 != 0, F.max("d")).alias("bar")).withColumn("fetched", F.col("k") % 9 != 0)
     bar = F.when(F.col("fetched"), F.col("bar"))
     return o.agg(F.count(bar).alias("n"), F.count(F.lit(1)).alias("codes"), F.max(bar).alias("newest"), F.min(bar).alias("oldest"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stored and new documents by user: ids of two kinds of events, the first day, who wrote them; new ones lose or change something now and then."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), "event_id", F.to_date("ts").alias("d"), "event_type")
+    ids = lambda kind, where: F.sort_array(F.collect_list(F.when((F.col("event_type") == kind) & where, F.col("event_id"))))
+    k, n = F.col("k"), F.col("event_id")
+    old = e.where("k % 12 <> 1").groupBy("k").agg(ids("click", n % 2 == 0).alias("clicks"), ids("view", F.lit(True)).alias("views"), F.min("d").alias("first_date"), F.when(k % 10 == 3, "other").when(k % 10 != 4, "self").alias("writer"))
+    new = e.groupBy("k").agg(ids("click", (k % 10 != 5) | (n % 4 != 0)).alias("clicks"), ids("view", (k % 10 != 6) | (n % 3 != 0)).alias("views"), F.min(F.when((k % 10 != 7), F.col("d")).otherwise(F.date_add("d", 1))).alias("first_date"), F.when(k % 10 == 2, "other").otherwise("self").alias("writer"))
+    return old, new.withColumn("views", F.when(k % 10 != 8, F.col("views")))
+
+
+@query("""WITH e AS (SELECT user_id AS k, event_id, CAST(ts AS DATE) AS d, event_type FROM events), o AS (SELECT k, coalesce(list(event_id) FILTER (event_type = 'click' AND event_id % 2 = 0), []) AS clicks, coalesce(list(event_id) FILTER (event_type = 'view'), []) AS views, min(d) AS f, CASE WHEN k % 10 = 3 THEN 'other' WHEN k % 10 <> 4 THEN 'self' END AS w FROM e WHERE k % 12 <> 1 GROUP BY k),
+n AS (SELECT k, coalesce(list(event_id) FILTER (event_type = 'click' AND (k % 10 <> 5 OR event_id % 4 <> 0)), []) AS clicks, CASE WHEN k % 10 <> 8 THEN coalesce(list(event_id) FILTER (event_type = 'view' AND (k % 10 <> 6 OR event_id % 3 <> 0)), []) END AS views, min(d) + CASE WHEN k % 10 = 7 THEN 1 ELSE 0 END AS f, CASE WHEN k % 10 = 2 THEN 'other' ELSE 'self' END AS w FROM e GROUP BY k)
+SELECT n.k, CASE WHEN n.w <> 'self' THEN 'writer' WHEN o.w <> 'self' THEN 'other_writer' WHEN o.k IS NOT NULL AND n.views IS NULL THEN 'vanished' WHEN len(n.clicks) < len(o.clicks) OR len(n.views) < len(o.views) THEN 'shrunk' WHEN NOT list_has_all(n.clicks, o.clicks) OR NOT list_has_all(n.views, o.views) THEN 'lost' WHEN n.f > o.f THEN 'first_date' END AS reason FROM n LEFT JOIN o USING (k)""")
+def regression_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a document may not take the place of the stored one."""
+    old, new = _documents(spark, sf_dir)
+    return ledger.regressions(old, new, "k", ["clicks", "views"], "self")
+
+
+@query("""SELECT user_id AS k, user_id % 6 NOT IN (1, 2, 3) AND count(*) FILTER (event_id % 50 = 0) = 0 AS skipped FROM events WHERE event_type = 'signup' GROUP BY user_id""")
+def skipped_puts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are stored already, but for the time they were updated: the order of fields does not count, that of an array does, and so does a field that is missing."""
+    k, n = F.col("k"), F.col("event_id")
+    e = table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("user_id").alias("k"), "event_id")
+    g = e.groupBy("k").agg(F.sort_array(F.collect_list("event_id")).alias("ids"), F.sort_array(F.collect_list(F.when(n % 50 == 0, n + 1).otherwise(n))).alias("now"))
+    text = lambda x: x.cast("string")
+    fresh = F.to_json(F.struct(text(k).alias("code"), F.lit("t2").alias("updated"), F.col("now").alias("ids"), F.struct(F.lit("a").alias("p")).alias("proof")))
+    other_order = F.to_json(F.struct(F.struct(F.lit("a").alias("p")).alias("proof"), F.col("ids").alias("ids"), F.lit("t1").alias("updated"), text(k).alias("code")))
+    stored = F.when(k % 6 == 1, F.lit(None)).when(k % 6 == 2, "no json").when(k % 6 == 3, F.to_json(F.struct(text(k).alias("code"), F.lit("t1").alias("updated"), F.col("ids").alias("ids")))).otherwise(other_order)
+    return g.select("k", ledger.same_body(stored, fresh, "code string, ids array<bigint>, proof struct<p:string>", ["updated"]).alias("skipped"))
+
+
+@query(f"""WITH {BARS_SQL}, w AS (SELECT k, CAST(date_trunc('week', d) AS DATE) AS week, arg_max(c, d) AS c FROM bars GROUP BY ALL), x AS (SELECT *, lag(c) OVER o AS p, lag(week) OVER o AS pw FROM w WINDOW o AS (PARTITION BY k ORDER BY week)), t AS (SELECT DISTINCT k FROM w)
+SELECT t.k, CASE WHEN x.k IS NULL THEN 'no_bar_in_period' WHEN pw IS NULL THEN 'first' ELSE 'observed' END AS status, pw AS previous_week, round(c, 4) AS close, round(c - p, 4) AS change, round((c - p) / p * 100, 4) AS pct FROM t LEFT JOIN x ON x.k = t.k AND x.week = CASE WHEN t.k % 4 = 0 THEN DATE '1995-01-02' ELSE DATE '2000-03-06' END""")
+def weekly_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The close of one week against the week with a bar before it; no bar in the week, or none before, is said and not filled."""
+    weeks = bars_daily(spark, sf_dir).groupBy("k", F.to_date(F.date_trunc("week", "d")).alias("week")).agg(F.max_by("c", "d").alias("c"))
+    order = Window.partitionBy("k").orderBy("week")
+    rows = weeks.withColumns({"p": F.lag("c").over(order), "pw": F.lag("week").over(order)})
+    asked = weeks.select("k").distinct().withColumn("week", F.when(F.col("k") % 4 == 0, F.lit("1995-01-02")).otherwise(F.lit("2000-03-06")).cast("date"))
+    found = asked.join(rows.withColumn("there", F.lit(True)), ["k", "week"], "left")
+    status = F.when(F.col("there").isNull(), "no_bar_in_period").when(F.col("pw").isNull(), "first").otherwise("observed")
+    return found.select("k", status.alias("status"), F.col("pw").alias("previous_week"), rounded("c").alias("close"), rounded(F.col("c") - F.col("p")).alias("change"), rounded((F.col("c") - F.col("p")) / F.col("p") * 100).alias("pct"))
+
+
+@query(f"""WITH {BARS_SQL}, a AS (SELECT lpad(CAST(k AS VARCHAR), 4, '0') AS code, 'jsf_zandaka' AS data_type, max(d) AS data_date, round(arg_max(c, d), 4) AS loan_bal, CAST(NULL AS DOUBLE) AS fee, CAST(NULL AS VARCHAR) AS exchange FROM bars GROUP BY k), b AS (SELECT lpad(CAST(k AS VARCHAR), 4, '0') AS code, 'jsf_shina' AS data_type, max(d) AS data_date, NULL AS loan_bal, round(arg_max(v, d), 4) AS fee, CASE WHEN k % 2 = 0 THEN 'T' ELSE 'N' END AS exchange FROM bars WHERE k % 3 = 0 GROUP BY k),
+c AS (SELECT lpad(CAST(k AS VARCHAR), 4, '0') AS code, 'jpx_margin' AS data_type, max(d) AS data_date, NULL AS loan_bal, NULL AS fee, NULL AS exchange FROM bars WHERE k % 4 = 0 GROUP BY k) SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) ORDER BY code, data_type, coalesce(exchange, '') LIMIT 90""")
+def supply_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest figures of three sources with columns of their own, put together by name: the first ninety by code, kind and exchange."""
+    bars = bars_daily(spark, sf_dir)
+    code = F.lpad(F.col("k").cast("string"), 4, "0").alias("code")
+    newest = lambda rows, kind, *extra: rows.groupBy("k").agg(F.max("d").alias("data_date"), *extra).select(code, F.lit(kind).alias("data_type"), "*").drop("k")
+    a = newest(bars, "jsf_zandaka", rounded(F.max_by("c", "d")).alias("loan_bal"))
+    b = newest(bars.where("k % 3 = 0"), "jsf_shina", rounded(F.max_by("v", "d")).alias("fee"), F.when(F.col("k") % 2 == 0, "T").otherwise("N").alias("exchange"))
+    c = newest(bars.where("k % 4 = 0"), "jpx_margin")
+    rows = a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
+    return rows.orderBy("code", "data_type", F.coalesce("exchange", F.lit(""))).limit(90)
