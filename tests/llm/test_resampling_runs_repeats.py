@@ -139,6 +139,13 @@ def test_runs_equal_plain_loops(seed):
     assert got == [plain_runs(w) for w in texts]
 
 
+def test_a_very_long_text_gives_the_same_runs(monkeypatch):
+    texts = some_texts(np.random.default_rng(3))
+    want = [x.tolist() for x in periodic_runs.runs(texts)]
+    monkeypatch.setattr(periodic_runs, "MANY", 10)
+    assert [x.tolist() for x in periodic_runs.runs(texts)] == want
+
+
 def test_range_minima_equal_plain_loops():
     draw = np.random.default_rng(1)
     values = draw.integers(0, 1000, 700)

@@ -1,6 +1,6 @@
 """Target-distribution importance resampling over hashed word n-grams, by an integer word dictionary.
 
-Inside a task, the distinct words of a block of texts (about STEP_BYTES) get ids. An n-gram is a tuple of ids, held as one
+Inside a task, the distinct words of a block of texts (BLOCK_BYTES at most, a longer text alone) get ids. An n-gram is a tuple of ids, held as one
 integer: the id of its head (an n-1-gram, numbered likewise) and the id of its last word. Each distinct tuple's bytes are put
 together from the dictionary and hashed once (a CRC carries on from the head's to the last word's bytes), and the
 buckets join back to the tuple's places by its id. Dictionaries belong to a block, not to the corpus: a block's are bounded

@@ -36,6 +36,8 @@ LEAST_WORDS = 24
 LEAST_PERIODS = 3
 #: Values of a block of range minima.
 BLOCK = 16
+#: From so many words together on (one very long text) lists of Python's numbers are done without.
+MANY = 1 << 20
 
 
 def ranks(symbols: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -70,6 +72,11 @@ def ranks(symbols: np.ndarray, owner: np.ndarray, ends: np.ndarray) -> np.ndarra
     return rank
 
 
+def items(values: np.ndarray) -> list[int] | memoryview:
+    """The values to be read one by one: as a list, which is quicker, or of many in place, which takes no more memory."""
+    return values.tolist() if len(values) < MANY else memoryview(values)
+
+
 def shared_prefixes(symbols: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """LCP array: at rank r, the common words of the suffixes of ranks r - 1 and r (0 across texts).
 
@@ -79,8 +86,9 @@ def shared_prefixes(symbols: np.ndarray, ends: np.ndarray, rank: np.ndarray) ->
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
     before = order[np.maximum(rank - 1, 0)]
-    text, at, end = symbols.tolist(), before.tolist(), ends.tolist()
-    out, h, last = [0] * n, 0, -1
+    text, at, end = items(symbols), items(before), items(ends)
+    lcp, h, last = np.zeros(n, np.int64), 0, -1
+    out = items(np.zeros(n, np.int64))
     for i in range(n):
         j, stop = at[i], end[i]
         if stop != last:
@@ -94,8 +102,7 @@ def shared_prefixes(symbols: np.ndarray, ends: np.ndarray, rank: np.ndarray) ->
         out[i] = h
         if h:
             h -= 1
-    lcp = np.zeros(n, np.int64)
-    lcp[rank] = out
+    lcp[rank] = np.asarray(out)
     return lcp
 
 
@@ -151,7 +158,7 @@ class Extension:
 def next_smaller(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The next place in the same text with a smaller value, or the text's end."""
     out, waiting, last = ends.copy(), [], -1
-    end, ranked = ends.tolist(), values.tolist()
+    end, ranked = items(ends), items(values)
     for i, v in enumerate(ranked):
         if end[i] != last:
             waiting, last = [], end[i]
