@@ -106,6 +106,15 @@ def union_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filed.unionByName(seen, allowMissingColumns=True)
 
 
+@query("SELECT l_suppkey AS k FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.09 UNION SELECT s_suppkey FROM supplier WHERE s_acctbal < 0 UNION SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_tax = 0.08 AND l_quantity < 3")
+def affected_stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stocks that any of three kinds of observations touches, each once."""
+    lines = table(spark, sf_dir, "lineitem")
+    split = lines.where("l_quantity = 50 and l_discount > 0.09").select(F.col("l_suppkey").alias("k"))
+    filed = lines.where("l_returnflag = 'R' and l_tax = 0.08 and l_quantity < 3").select(F.col("l_suppkey").alias("k"))
+    return split.union(table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("k"))).union(filed).distinct()
+
+
 @query(f"WITH {STOCKS_SQL} SELECT DISTINCT sector FROM stocks WHERE is_active AND sector IS NOT NULL")
 def distinct_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stocks(spark, sf_dir).where("is_active and sector is not null").select("sector").distinct()
@@ -156,9 +165,14 @@ def projection_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "k", "full_outer").select("k", "orders", "views")
 
 
-@query("SELECT o_custkey AS k, o_orderkey AS doc_id, o_orderdate AS at FROM orders WHERE o_custkey > 20 ORDER BY o_custkey, o_orderkey LIMIT 50")
+@query("""WITH p AS (SELECT o_custkey AS k, o_orderkey AS doc_id, o_orderdate AS stamp, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS i FROM orders WHERE (o_custkey, o_orderkey) > (20, 300)) SELECT k, doc_id, stamp AS at, (SELECT count(*) FROM p) > 50 AS more FROM p WHERE i <= 50""")
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_custkey > 20").orderBy("o_custkey", "o_orderkey").limit(50).select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("at"))
+    """The fifty rows behind a key in two parts, and whether there are more: one row more than a page is asked for."""
+    behind = (F.col("o_custkey") > 20) | ((F.col("o_custkey") == 20) & (F.col("o_orderkey") > 300))
+    asked = table(spark, sf_dir, "orders").where(behind).orderBy("o_custkey", "o_orderkey").limit(51)
+    rows = asked.withColumn("i", F.row_number().over(Window.orderBy("o_custkey", "o_orderkey")))  # a bounded page
+    more = rows.agg((F.count(F.lit(1)) > 50).alias("more"))
+    return rows.where("i <= 50").crossJoin(F.broadcast(more)).select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("at"), "more")
 
 
 @query("SELECT n_name AS sector, s_name AS name, s_acctbal AS score, CAST(n AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS n FROM supplier) JOIN nation ON n_nationkey = s_nationkey WHERE n <= 3")

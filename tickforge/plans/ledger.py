@@ -137,16 +137,17 @@ def overseas_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT p_partkey AS id, p_name AS name, p_size % 10 AS rank, p_brand AS family FROM part WHERE p_partkey % 9 <> 0), b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 13 = 0 THEN upper(p_name) ELSE p_name END AS name, CASE WHEN p_partkey % 7 = 0 THEN p_size % 10 + 1 ELSE p_size % 10 END AS rank, p_brand AS family FROM part WHERE p_partkey % 11 <> 0)
-SELECT coalesce(a.family, b.family) AS family, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'deprecated' WHEN a.name <> b.name AND a.rank = b.rank THEN 'renamed' WHEN a.name <> b.name OR a.rank <> b.rank THEN 'changed' ELSE 'same' END AS change, count(*) AS n FROM a FULL OUTER JOIN b ON a.id = b.id GROUP BY 1, 2""")
+SELECT coalesce(a.family, b.family) AS family, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'deprecated' WHEN a.name <> b.name AND a.rank = b.rank THEN 'renamed' WHEN a.name <> b.name OR a.rank <> b.rank THEN 'changed' ELSE 'same' END AS change, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY coalesce(a.family, b.family)), 6) AS share FROM a FULL OUTER JOIN b ON a.id = b.id GROUP BY 1, 2""")
 def vocabulary_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two versions of a vocabulary term by term, and what changed in each family."""
+    """Two versions of a vocabulary term by term, and what changed in each family, by number and as a share of the family's terms."""
     n = F.col("p_partkey")
     rows = table(spark, sf_dir, "part").select(n.alias("id"), "p_name", (F.col("p_size") % 10).alias("rank"), F.col("p_brand").alias("family"))
     old = rows.where("id % 9 <> 0").select("id", F.struct(F.col("p_name").alias("name"), "rank", "family").alias("a"))
     new = rows.where("id % 11 <> 0").select("id", F.struct(F.when(F.col("id") % 13 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"), F.when(F.col("id") % 7 == 0, F.col("rank") + 1).otherwise(F.col("rank")).alias("rank"), "family").alias("b"))
     named, ranked = F.col("a.name") != F.col("b.name"), F.col("a.rank") != F.col("b.rank")
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "deprecated").when(named & ~ranked, "renamed").when(named | ranked, "changed").otherwise("same")
-    return old.join(new, "id", "full_outer").groupBy(F.coalesce("a.family", "b.family").alias("family"), change.alias("change")).agg(F.count(F.lit(1)).alias("n"))
+    found = old.join(new, "id", "full_outer").groupBy(F.coalesce("a.family", "b.family").alias("family"), change.alias("change")).agg(F.count(F.lit(1)).alias("n"))
+    return found.withColumn("share", rounded(F.col("n") / F.sum("n").over(Window.partitionBy("family")), 6))
 
 
 @query("""SELECT bucket, count(*) AS n, min(event_id) AS first FROM (SELECT event_id, CASE WHEN starts_with(m, 'HTTP 4') THEN 'client' WHEN starts_with(m, 'HTTP 5') THEN 'server' WHEN contains(m, 'timeout') THEN 'timeout' WHEN regexp_matches(m, 'row [0-9]+ ') THEN 'row' ELSE 'other' END AS bucket FROM (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions import japanese as jp
@@ -37,6 +37,21 @@ def annual_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", "period_end", "scope", F.year("period_end").alias("fiscal_year"), rounded("revenue", 2).alias("revenue"))
 
 
+@query(f"""WITH {ROWS_SQL}, s AS (SELECT k, period_end, scope, lag(period_end) OVER o AS before, lag(scope) OVER o AS was FROM r WINDOW o AS (PARTITION BY k ORDER BY period_end, scope))
+SELECT k, period_end, scope, before, coalesce(scope = was AND scope <> '不明' AND year(period_end) = year(before) + 1 AND (strftime(period_end, '%m-%d') = strftime(before, '%m-%d') OR (month(period_end) = month(before) AND day(period_end + 1) = 1 AND day(before + 1) = 1)), false) AS follows FROM s""")
+def annual_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an end follows the one before it as a year does: the next year, the same day or both the end of the same month, in one known scope."""
+    order = Window.partitionBy("k").orderBy("period_end", "scope")
+    rows = annual_rows(spark, sf_dir).select("k", "period_end", "scope", F.lag("period_end").over(order).alias("before"), F.lag("scope").over(order).alias("was"))
+    return rows.select("k", "period_end", "scope", "before", F.coalesce((F.col("scope") == F.col("was")) & (F.col("scope") != "不明") & next_annual_end(F.col("before"), F.col("period_end")), F.lit(False)).alias("follows"))
+
+
+def next_annual_end(before: Column, end: Column) -> Column:
+    """Whether a fiscal end is one year on: the same day, or in the same month the last day on both sides (leap years)."""
+    same_month = F.month(before) == F.month(end)
+    return (F.year(end) == F.year(before) + 1) & same_month & ((F.dayofmonth(before) == F.dayofmonth(end)) | ((before == F.last_day(before)) & (end == F.last_day(end))))
+
+
 @query("""SELECT k, section, fy, doc_id, chars, text_md5 FROM (SELECT source AS k, lang AS section, 2000 + n_chars % 7 AS fy, doc_id, length(text) AS chars, md5(text) AS text_md5, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars % 7 DESC, doc_id % 1000 DESC, doc_id DESC) AS i FROM documents) WHERE i = 1""")
 def latest_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every section of a source the newest text: by year, then by submission. Texts are joined to the picks; none is shuffled to be compared."""

@@ -28,14 +28,14 @@ def hist_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {BARS_SQL}, {MARKET_SQL}, s AS (SELECT k, d, c / lag(c) OVER (PARTITION BY k ORDER BY d) - 1 AS y FROM bars), m AS (SELECT d, c / lag(c) OVER (ORDER BY d) - 1 AS x FROM market)
-SELECT k, round(regr_slope(y, x), 6) AS beta, round(regr_intercept(y, x), 6) AS alpha, round(regr_r2(y, x), 6) AS r2, regr_count(y, x) AS n FROM s JOIN m USING (d) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY k HAVING count(*) >= 30""")
+SELECT k, round(regr_slope(y, x), 6) AS beta, round(regr_intercept(y, x), 6) AS alpha, round(regr_r2(y, x), 6) AS r2, round(corr(y, x), 6) AS corr, round(stddev_pop(y) * sqrt(252), 6) AS vol, round(stddev_pop(x) * sqrt(252), 6) AS market_vol, regr_count(y, x) AS n FROM s JOIN m USING (d) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY k HAVING count(*) >= 30 AND var_pop(x) <> 0""")
 def beta_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slope against the index on common days; the index has one row per day, so its window is over days alone."""
+    """Slope, intercept, fit, correlation and yearly volatilities against the index on at least thirty common days on which it moved; the index has one row per day, so its window is over days alone."""
     own = bars_daily(spark, sf_dir).select("k", "d", (ratio("c", F.lag("c").over(by_day())) - 1).alias("y"))
     index = market(spark, sf_dir).select("d", (ratio("c", F.lag("c").over(Window.orderBy("d"))) - 1).alias("x"))
     pairs = own.join(index, "d").where("x is not null and y is not null")
-    fit = pairs.groupBy("k").agg(F.regr_slope("y", "x").alias("beta"), F.regr_intercept("y", "x").alias("alpha"), F.regr_r2("y", "x").alias("r2"), F.count(F.lit(1)).alias("n")).where("n >= 30")
-    return fit.select("k", rounded("beta", 6).alias("beta"), rounded("alpha", 6).alias("alpha"), rounded("r2", 6).alias("r2"), "n")
+    fit = pairs.groupBy("k").agg(F.regr_slope("y", "x").alias("beta"), F.regr_intercept("y", "x").alias("alpha"), F.regr_r2("y", "x").alias("r2"), F.corr("y", "x").alias("corr"), (F.stddev_pop("y") * YEAR).alias("vol"), (F.stddev_pop("x") * YEAR).alias("market_vol"), F.count(F.lit(1)).alias("n")).where("n >= 30 and market_vol <> 0")
+    return fit.select("k", *(rounded(c, 6).alias(c) for c in ("beta", "alpha", "r2", "corr", "vol", "market_vol")), "n")
 
 
 @query(f"""WITH {BARS_SQL}, w AS (SELECT *, ln(c / lag(c) OVER (PARTITION BY k ORDER BY d)) AS r FROM (SELECT * FROM bars WHERE c > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY d DESC) <= 60)),
