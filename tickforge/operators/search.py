@@ -6,7 +6,8 @@ many texts has many rows and none outgrows a range; in folders by bucket of the
 
 A string is searched by what it needs: a word inside it must be a term; one at its start (end) may go on before (behind) it, so a term
 that ends (begins) with it will do, which the dictionary answers; every pair of an unspaced run must be there. The postings of the rarest
-needs are fetched and intersected, and what is left is verified by the text itself. Only a string without any letter or figure reads all texts.
+needs are fetched and intersected, and what is left is verified by the text itself. Only a string without any letter or figure, or whose rarest need is met by a
+large share of the texts (a letter, an article), reads all texts, as its answer is of that size.
 
 Defined results: a null or empty string finds nothing; a null text is found by nothing; texts that share an id are found under it; ids are not null.
 """
@@ -20,8 +21,8 @@ from tickforge.sources.shared import written
 
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
 TOKEN = rf"[{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"
-#: Ids of a range, buckets of terms, and needs of a string whose postings are fetched.
-SPAN, BUCKETS, NEEDS = 1_000_000, 64, 3
+#: Ids of a range, buckets of terms, needs of a string whose postings are fetched, and the share of all texts up to which a need is rare enough for that.
+SPAN, BUCKETS, NEEDS, RARE = 1_000_000, 64, 3, 0.2
 
 
 def _tokens(low: Column) -> Column:
@@ -84,23 +85,37 @@ class TextIndex:
         """(q, id): the texts that hold each string of (q, string), in any case. strings is a stated set: it is sent to every task."""
         strings = written(strings.select("q", "string"))[0]
         needs = written(self.needs(strings))[0]
-        terms = self.table("terms")
-        exact = needs.where("how = 'exact'").join(terms, "term").select("q", "need", "term", "docs")
-        wide = F.broadcast(needs.where("how <> 'exact'").withColumnRenamed("term", "piece"))
-        holds = F.when(F.col("how") == "end", F.endswith("term", "piece")).when(F.col("how") == "start", F.startswith("term", "piece")).otherwise(F.contains("term", "piece"))
-        open_ = terms.join(wide, holds).select("q", "need", "term", "docs")
-        met = written(exact.union(open_))[0]
-        # A need that no term meets has no text; of the others the rarest count.
-        cost = needs.select("q", "need").join(met.groupBy("q", "need").agg(F.sum("docs").alias("docs")), ["q", "need"], "left").na.fill(0, ["docs"])
-        rare = cost.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("docs", "need"))).where(F.col("place") <= NEEDS)
-        size = rare.groupBy("q").agg(F.count(F.lit(1)).alias("wanted"), F.min("docs").alias("least")).where("least > 0").select("q", "wanted")
-        asked = written(rare.join(met.drop("docs"), ["q", "need"]).join(size, "q").select("q", "need", "wanted", "term", _bucket("term", self.buckets).alias("bucket")))[0]
-        hits = self.table("postings").join(F.broadcast(asked), ["bucket", "term"]).select("q", "need", "wanted", "part", F.explode("ids").alias("id")).distinct()
+        terms, total = self.table("terms"), self.table("texts").count()
+        # What each need costs, whatever the strings that have it: the texts of the terms that it is met by.
+        kinds = needs.select("need", "term", "how").distinct()
+        exact = kinds.where("how = 'exact'").join(terms, "term").select("need", "docs")
+        wide = F.broadcast(kinds.where("how <> 'exact'").withColumnRenamed("term", "piece"))
+        cost = exact.union(terms.join(wide, _meets()).select("need", "docs")).groupBy("need").agg(F.sum("docs").alias("docs"))
+        cost = written(needs.select("q", "need").join(cost, "need", "left").na.fill(0, ["docs"]))[0]
+        # A need that no term meets has no text; of the others the rarest count, if they are rare at all.
+        best = cost.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("docs", "need"))).where(F.col("place") <= NEEDS)
+        least = best.groupBy("q").agg(F.min("docs").alias("least"))
+        rare = best.join(least.where(F.col("least") > 0), "q").where(F.col("docs") <= RARE * total).select("q", "need")
+        size = rare.groupBy("q").agg(F.count(F.lit(1)).alias("wanted"))
+        chosen = rare.join(needs.select("q", "need", "term", "how"), ["q", "need"]).join(size, "q")
+        met = chosen.where("how = 'exact'").select("q", "need", "wanted", "term")
+        open_ = F.broadcast(chosen.where("how <> 'exact'").withColumnRenamed("term", "piece"))
+        met = met.union(terms.join(open_, _meets()).select("q", "need", "wanted", "term"))
+        asked = written(met.withColumn("bucket", _bucket("term", self.buckets)))[0]
+        hits = self.table("postings").join(asked, ["bucket", "term"]).select("q", "need", "wanted", "part", F.explode("ids").alias("id")).distinct()
         left = hits.groupBy("q", "part", "id").agg(F.count(F.lit(1)).alias("got"), F.first("wanted").alias("wanted")).where("got = wanted").select("q", "part", "id")
         low = needs.select("q", "low").distinct()
         checked = self.table("texts").join(left.join(F.broadcast(low), "q"), ["part", "id"]).where(F.contains(F.lower("text"), F.col("low"))).select("q", "id")
-        bare = strings.select("q", F.lower("string").alias("low")).where("low <> ''").join(needs.select("q").distinct(), "q", "left_anti")
+        # Strings without a need, and those whose rarest one most texts have, are looked for in all texts.
+        common = least.where(F.col("least") > RARE * total).select("q")
+        bare = strings.select("q", F.lower("string").alias("low")).where("low <> ''").join(needs.select("q").distinct().join(common, "q", "left_anti"), "q", "left_anti")
         if bare.isEmpty():
             return checked.distinct()
-        scanned = self.table("texts").join(F.broadcast(bare), F.contains(F.lower("text"), F.col("low"))).select("q", "id")
+        texts = self.table("texts").select("id", F.lower("text").alias("lowered"))
+        scanned = texts.join(F.broadcast(bare), F.contains("lowered", F.col("low"))).select("q", "id")
         return checked.union(scanned).distinct()
+
+
+def _meets() -> Column:
+    """Whether a term is what a need (piece, how) asks for."""
+    return F.when(F.col("how") == "end", F.endswith("term", "piece")).when(F.col("how") == "start", F.startswith("term", "piece")).otherwise(F.contains("term", "piece"))
