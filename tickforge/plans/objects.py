@@ -16,10 +16,9 @@ CODE = "lpad(CAST(k AS VARCHAR), 4, '0')"
 
 
 def stored(rows: DataFrame, name: str, body: str) -> DataFrame:
-    """rows' documents written to a folder each, indented over many lines, and read back."""
+    """rows' documents written in bundles, indented over many lines, and read back; rows that share a name are documents of their own."""
     path = fresh_path(rows.sparkSession)
-    made = rows.select(F.col(name).alias("name"), F.to_json(body, {"pretty": "true"}).alias("text"))
-    made.repartition("name").write.partitionBy("name").text(path)
+    objects.bundle(rows.select(F.col(name).alias("name"), F.to_json(body, {"pretty": "true"}).alias("text")), path)
     return objects.documents(rows.sparkSession, path)
 
 
