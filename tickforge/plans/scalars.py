@@ -152,4 +152,6 @@ def codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     canonical = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(pairs))))
     written = F.array_join(F.transform("ids", lambda x: F.when(x % 5 == 0, "bad").otherwise(x.cast("string"))), ",")
     decoded = F.filter(F.transform(F.split(written, ","), lambda x: x.try_cast("long")), lambda x: x > 0)
-    return g.select("k", F.sha2(text, 256).alias("ids_sha"), F.sha2(canonical, 256).alias("json_sha"), F.array_join(F.slice(F.array_sort(decoded.cast("array<string>")), 1, 3), "|").alias("decoded"))
+    # A list without any good item is no list, and not an empty text.
+    kept = F.when(F.size(decoded) > 0, F.array_join(F.slice(F.array_sort(decoded.cast("array<string>")), 1, 3), "|"))
+    return g.select("k", F.sha2(text, 256).alias("ids_sha"), F.sha2(canonical, 256).alias("json_sha"), kept.alias("decoded"))
