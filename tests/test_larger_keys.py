@@ -5,8 +5,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_catalogue import bag
 
+from tickforge.functions.columns import implied_volatility
 from tickforge.plans.catalogue import ORACLE_SQL, QUERIES
 
 
@@ -35,3 +37,20 @@ def test_a_list_of_bad_items_alone_is_null(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     same_as_sql(spark, str(tmp_path), "codecs")
     assert {r.k: r.decoded for r in QUERIES["codecs"](spark, str(tmp_path)).collect()} == {1: None, 2: "21|3|4", 3: None}
+
+
+@pytest.mark.parametrize("name", ["implied_vol", "disclosure_sides"])
+def test_rows_of_one_small_file_are_dealt_over_tasks(name, spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() >= 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_no_volatility_where_none_has_the_price_or_a_value_is_missing(spark):
+    rows = [(10.45, 100.0, 100.0, 1.0), (0.001, 100.0, 90.0, 1.0), (101.0, 100.0, 100.0, 1.0), (None, 100.0, 100.0, 1.0), (10.0, 100.0, 100.0, 0.0)]
+    frame = spark.createDataFrame(rows, "p double, s double, x double, t double")
+    got = [r.v for r in frame.select(implied_volatility(F.col("p"), F.col("s"), F.col("x"), F.col("t"), F.lit(0.05)).alias("v")).collect()]
+    assert abs(got[0] - 0.2) < 1e-3 and got[1:] == [None] * 4

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,18 +56,18 @@ def normal_density(x: Column) -> Column:
     return F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 
 
-def normal_share(x: Column) -> Column:
-    """The normal distribution function by the five-term approximation of the error function.
+def normal_share(x, m=F):
+    """The normal distribution function by the five-term approximation of the error function, over columns or (m=np) arrays.
 
     The coefficients are the fixed values of Abramowitz and Stegun's formula 7.1.26.
     """
     p, terms = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-    z = F.abs(x) / math.sqrt(2)
+    z = m.abs(x) / math.sqrt(2)
     t = 1 / (1 + p * z)
-    series = F.lit(0.0)
+    series = 0.0 * t
     for a in reversed(terms):
         series = (series + a) * t
-    erf = F.signum(x) * (1 - series * F.exp(-z * z))
+    erf = m.sign(x) * (1 - series * m.exp(-z * z))
     return 0.5 * (1 + erf)
 
 
@@ -91,17 +93,32 @@ def option_terms(s: Column, k: Column, t: Column, rate: Column, sigma: Column) -
     }
 
 
+def _call(s, k, t, rate, sigma):
+    """option_terms' call price over arrays."""
+    root = sigma * np.sqrt(t)
+    d1 = (np.log(s / k) + (rate + sigma * sigma / 2) * t) / root
+    return s * normal_share(d1, np) - k * np.exp(-rate * t) * normal_share(d1 - root, np)
+
+
 def implied_volatility(price: Column, s: Column, k: Column, t: Column, rate: Column, low: float = 0.001, high: float = 5.0, steps: int = 20) -> Column:
-    """The volatility whose call price is `price`, by bisection (5 / 2 ** 20 is under 1e-5); null where none in [low, high] has it."""
-    call = lambda v: option_terms(s, k, t, rate, v)["call"]
+    """The volatility whose call price is `price`, by bisection (5 / 2 ** 20 is under 1e-5); null where none in [low, high] has it, or a value is null or not positive.
 
-    def halve(st: Column, _: Column) -> Column:
-        middle = (st["low"] + st["high"]) / 2
-        under = call(middle) < price
-        return F.struct(F.when(under, middle).otherwise(st["low"]).alias("low"), F.when(under, st["high"]).otherwise(middle).alias("high"))
+    Halved over whole batches: a fold of built-in functions works every term out anew at each of its uses.
+    """
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")), halve, lambda st: (st["low"] + st["high"]) / 2)
-    return F.when((call(F.lit(low)) <= price) & (price <= call(F.lit(high))), found)
+    @F.pandas_udf("double")
+    def found(price: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, rate: pd.Series) -> pd.Series:
+        p, s, k, t, rate = (x.to_numpy(dtype="float64", na_value=np.nan) for x in (price, s, k, t, rate))
+        s, k, t = (np.where(x > 0, x, np.nan) for x in (s, k, t))
+        a, b = np.full(len(p), low), np.full(len(p), high)
+        inside = (_call(s, k, t, rate, a) <= p) & (p <= _call(s, k, t, rate, b))
+        for _ in range(steps):
+            middle = (a + b) / 2
+            under = _call(s, k, t, rate, middle) < p
+            a, b = np.where(under, middle, a), np.where(under, b, middle)
+        return pd.Series((a + b) / 2).astype(object).where(inside, None)
+
+    return found(price, s, k, t, rate)
 
 
 def week_label(d: Column | str) -> Column:

@@ -11,7 +11,7 @@ from tickforge.functions.columns import implied_volatility, option_terms, ratio,
 from tickforge.operators.series import by_day, latest, numbered
 from tickforge.plans.registry import query
 from tickforge.plans.technical import RECENT_SQL, TR_SQL, atr14_wilder, wilder_sql
-from tickforge.sources.tables import BARS_SQL, MARKET_SQL, STOCKS_SQL, bars_daily, market, stocks, table
+from tickforge.sources.tables import BARS_SQL, MARKET_SQL, STOCKS_SQL, bars_daily, market, stocks, spread, table
 
 LOGS_SQL = "logs AS (SELECT k, d, c, ln(c / lag(c) OVER (PARTITION BY k ORDER BY d)) AS r FROM bars WHERE c > 0)"
 YEAR = math.sqrt(252)
@@ -146,7 +146,8 @@ def implied_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The volatility of each option price above, found again from the price by bisection of [0.001, 5] until 1e-5."""
     s, size = F.col("p_retailprice"), F.col("p_size")
     x, t, sigma = s * (0.8 + 0.01 * (size % 40)), 0.25 + size / 50.0, 0.15 + 0.005 * size
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), s.alias("s"), x.alias("x"), t.alias("t"), sigma.alias("sigma"), option_terms(s, x, t, F.lit(0.02), sigma)["call"].alias("price"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size"), "p_partkey")
+    rows = part.select(F.col("p_partkey").alias("k"), s.alias("s"), x.alias("x"), t.alias("t"), sigma.alias("sigma"), option_terms(s, x, t, F.lit(0.02), sigma)["call"].alias("price"))
     return rows.select("k", rounded("sigma", 3).alias("sigma"), rounded(implied_volatility(F.col("price"), F.col("s"), F.col("x"), F.col("t"), F.lit(0.02)), 3).alias("implied"))
 
 

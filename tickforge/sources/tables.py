@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt over all tasks by a key: a small file of many rows is few tasks' work, which counts where a row takes long."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, d, o, h, l, c, v, n): daily bars per supplier; a trade's price is extended price over quantity."""
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
