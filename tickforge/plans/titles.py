@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickforge.functions import japanese as jp
 from tickforge.functions import passages as ps
 from tickforge.plans.registry import query
-from tickforge.sources.tables import table
+from tickforge.sources.tables import spread, table
 
 #: Parts of titles as written, and in compatibility form where that is another.
 HEADS = [("", ""), ("２０２４年３月期　", "2024年3月期 "), ("(訂正)", "(訂正)"), ("連結子会社の", "連結子会社の"), ("㈱テスト ", "(株)テスト ")]
@@ -116,7 +116,8 @@ d AS (SELECT k, arg_min(sign(v[2] - v[1]), i) FILTER (len(v) >= 2 AND v[2] <> v[
 SELECT x.k, CASE WHEN way > 0 THEN 'positive' WHEN way < 0 THEN 'negative' ELSE 'unknown' END AS dividend, CASE WHEN loss > 0 OR gain > 0 THEN CASE WHEN loss >= 2 * gain THEN 'negative' WHEN gain >= 2 * loss THEN 'positive' ELSE 'mixed' END ELSE 'unknown' END AS items FROM x LEFT JOIN d ON d.k = x.k LEFT JOIN s ON s.k = x.k""")
 def disclosure_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sides of dividend revisions and of extraordinary items, read from their texts."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.expr(_dividend_text(True)).alias("text"), F.expr(_items_text(True)).alias("other"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    rows = part.select(F.col("p_partkey").alias("k"), F.expr(_dividend_text(True)).alias("text"), F.expr(_items_text(True)).alias("other"))
     return jp.with_extraordinary_items(jp.with_dividend_revision(rows, "text", "dividend"), "other", "items").select("k", "dividend", "items")
 
 
