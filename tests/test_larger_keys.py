@@ -10,6 +10,7 @@ from test_catalogue import bag
 
 from tickforge.functions.columns import implied_volatility
 from tickforge.plans.catalogue import ORACLE_SQL, QUERIES
+from tickforge.plans.technical import decimal_sum
 
 
 def same_as_sql(spark, folder, name):
@@ -54,3 +55,7 @@ def test_no_volatility_where_none_has_the_price_or_a_value_is_missing(spark):
     frame = spark.createDataFrame(rows, "p double, s double, x double, t double")
     got = [r.v for r in frame.select(implied_volatility(F.col("p"), F.col("s"), F.col("x"), F.col("t"), F.lit(0.05)).alias("v")).collect()]
     assert abs(got[0] - 0.2) < 1e-3 and got[1:] == [None] * 4
+
+
+def test_a_sum_of_rounded_values_is_that_of_decimals(spark):
+    assert spark.createDataFrame([([0.1] * 10,)], "vs array<double>").select(decimal_sum("vs")).first()[0] == 1.0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.columns import ratio, rounded
@@ -292,6 +292,11 @@ def volume_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(spark, sf_dir)
 
 
+def decimal_sum(values: str, places: int = 4) -> Column:
+    """The sum of rounded values, added as whole units, so that no order of adding shifts it."""
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + F.round(x * 10**places).cast("long")) / 10.0**places
+
+
 @query(f"""WITH RECURSIVE {PROFILE_SQL}, t AS (SELECT k, sum(volume) * 0.7 AS goal FROM profile GROUP BY k), s AS (SELECT k, list(volume ORDER BY bin) AS vs, arg_max(bin, {{'v': volume, 'b': -bin}}) AS poc FROM profile GROUP BY k),
 e AS (SELECT k, vs, poc, goal, poc AS a, poc AS b, vs[poc + 1] AS held FROM s JOIN t USING (k)
   UNION ALL SELECT k, vs, poc, goal, CASE WHEN up THEN a ELSE a - 1 END, CASE WHEN up THEN b + 1 ELSE b END, held + CASE WHEN up THEN vs[b + 2] ELSE vs[a] END
@@ -301,8 +306,7 @@ def vwap_value_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fullest bin and the bins around it that hold 70 % of the volume, grown toward the fuller neighbour, upward on ties."""
     rows = profile(spark, sf_dir).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("bin", "volume"))).alias("bins"))
     rows = rows.select("k", F.transform("bins", lambda b: b["volume"]).alias("vs"))
-    # The bins are rounded, so their sum is that of exact decimals.
-    goal = F.aggregate("vs", F.lit(0.0), lambda a, x: a + x) * 0.7
+    goal = decimal_sum("vs") * 0.7
     poc = (F.array_position("vs", F.array_max("vs")) - 1).cast("int")
     rows = rows.select("k", "vs", goal.alias("goal"), poc.alias("poc"))
 
