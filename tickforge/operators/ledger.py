@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tickforge.sources.objects import incoherent
 
@@ -14,30 +15,39 @@ from tickforge.sources.objects import incoherent
 MOST_JUMP = 10.0
 
 
-def sanitised(bars: DataFrame, jump: float = MOST_JUMP) -> DataFrame:
-    """(k, d, c, reason) of bars (k, d, h, l, c, v): why a bar is refused, null where it is accepted.
+def judged(bars: DataFrame, jump: float = MOST_JUMP) -> DataFrame:
+    """bars (k, d, h, l, c, v and any more) with `reason`: why a bar is refused, null where it is accepted.
 
     A bar is compared with the last accepted bar that has a close, so one broken bar does not drag the next one down; that is a
-    recursion, one pass over each key's days. Bars without a close are accepted and compared with nothing.
+    recursion, one pass over each key's days in order. Only the last close is held. Bars without a close are accepted and compared with nothing.
     """
 
-    def judge(days: pd.DataFrame) -> pd.DataFrame:
-        days = days.sort_values("d", ignore_index=True)
-        last, reasons = None, []
-        for h, lo, c, v in zip(*(days[x].astype(object).where(days[x].notna(), None) for x in ("h", "l", "c", "v")), strict=True):
-            reason = None
-            if c is not None and c <= 0:
-                reason = "non_positive_close"
-            elif h is not None and lo is not None and h < lo:
-                reason = "high_low_inverted"
-            elif c is not None and last and not v and not 1 / jump <= c / last <= jump:
-                reason = "jump_without_volume"
-            if reason is None and c is not None:
-                last = c
-            reasons.append(reason)
-        return days[["k", "d", "c"]].assign(reason=reasons)
-
-    return bars.select("k", "d", "h", "l", "c", "v").groupBy("k").applyInPandas(judge, "k long, d date, c double, reason string")
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = object(), None
+        for days in batches:
+            reasons = []
+            # Nulls come as NaN, which is unlike itself.
+            for k, h, lo, c, v in zip(days.column("k").to_pylist(), *(days.column(x).to_numpy(zero_copy_only=False).astype("float64").tolist() for x in ("h", "l", "c", "v")), strict=True):
+                if k != key:
+                    key, last = k, None
+                reason, there = None, c == c
+                if there and c <= 0:
+                    reason = "non_positive_close"
+                elif h < lo:
+                    reason = "high_low_inverted"
+                elif there and last and (v != v or not v) and not 1 / jump <= c / last <= jump:
+                    reason = "jump_without_volume"
+                if reason is None and there:
+                    last = c
+                reasons.append(reason)
+            yield pa.RecordBatch.from_arrays([*days.columns, pa.array(reasons, pa.string())], names=[*days.schema.names, "reason"])
+
+    return bars.repartition("k").sortWithinPartitions("k", "d").mapInArrow(judge, StructType([*bars.schema.fields, StructField("reason", StringType())]))
+
+
+def sanitised(bars: DataFrame, jump: float = MOST_JUMP) -> DataFrame:
+    """(k, d, c, reason) of bars (k, d, h, l, c, v): why a bar is refused, null where it is accepted."""
+    return judged(bars.select("k", "d", "h", "l", "c", "v"), jump).select("k", "d", "c", "reason")
 
 
 def guarded(bars: DataFrame, quotes: DataFrame, expected: DataFrame) -> DataFrame:
@@ -52,7 +62,7 @@ def guarded(bars: DataFrame, quotes: DataFrame, expected: DataFrame) -> DataFram
         bad = bad | F.coalesce(F.isnan(x) | (F.col(x) <= 0), F.lit(False))
     bad = bad | F.coalesce(F.isnan("v") | (F.col("v") < 0), F.lit(False)) | F.coalesce(F.col("o").isNotNull() & F.col("c").isNotNull() & (F.col("h") < F.col("l")), F.lit(False))
     used = F.coalesce("adj", "c")
-    rows = bars.join(sanitised(bars).select("k", "d", "reason"), ["k", "d"])
+    rows = judged(bars)
     taken = F.col("reason").isNull()
     latest = F.struct(used.alias("used"), F.col("v").alias("v"))
     g = rows.groupBy("k").agg(F.max(bad).alias("raw"), F.count_if(~taken).alias("refused"), F.max_by(latest, F.when(taken & used.isNotNull(), F.col("d"))).alias("last"), F.max(F.when(taken, F.col("d"))).alias("d"), F.max_by(used, F.when(taken, F.col("d"))).alias("newest"))

@@ -110,7 +110,7 @@ def chart_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bars.select("k", "d", "o", "h", "l", c.alias("c"), F.when(day.isin(17, 18) | (n % 2 == 0), 0.0).otherwise(F.col("v")).alias("v"), F.when(day == 21, F.col("c") * 2).alias("adj"))
     last = F.max_by("c", "d")
     quotes = bars.groupBy("k").agg(F.when(n % 9 == 0, last * 25).when(n % 13 == 1, -1.0).when(n % 11 != 0, last * 1.1).alias("price"))
-    return ledger.guarded(rows, quotes, bars.agg(F.max("d").alias("expected")))
+    return ledger.guarded(rows, quotes, table(spark, sf_dir, "lineitem").agg(F.max(F.to_date("l_shipdate")).alias("expected")))
 
 
 @query(f"""WITH {BARS_SQL}, p AS (SELECT k, d, 'jsf_zandaka' AS series, c AS value FROM bars UNION ALL SELECT k, d, 'jsf_shina', v FROM bars UNION ALL SELECT k, d, 'other', o FROM bars), t AS (SELECT DISTINCT d FROM bars WHERE d BETWEEN DATE '1999-01-01' AND DATE '2000-12-31' AND d <= DATE '2000-06-30' ORDER BY d DESC LIMIT 21)
