@@ -120,7 +120,8 @@ class Versions:
         kept = old.join(documents, key, "left_anti").select(*rows.columns)
         path = f"data/{uuid.uuid4().hex}"
         new = kept.unionByName(rows.join(documents, key, "left_semi").select(*rows.columns)).withColumn("_bucket", at)
-        new.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{path}")
+        # A bucket's rows are dealt over as many tasks as they fill: the buckets stay as many while the table grows.
+        new.hint("rebalance", F.col("_bucket")).write.partitionBy("_bucket").parquet(f"{self.path}/{path}")
         filled = {f.getPath().getName() for f in self._fs.listStatus(self._at(path))}
         parts = {b: p for b, p in found["parts"].items() if int(b) not in touched}
         parts |= {str(b): f"{path}/_bucket={b}" for b in touched if f"_bucket={b}" in filled}
