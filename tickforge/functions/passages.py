@@ -119,6 +119,12 @@ def sentence_spans(texts: pd.Series) -> pd.Series:
     return texts.map(_sentences)
 
 
+@F.pandas_udf(ArrayType(StructType([*SPANS.elementType.fields, StructField("text", StringType())])))
+def sentence_pieces(texts: pd.Series) -> pd.Series:
+    """sentence_spans with the sentences themselves: to cut each out of the whole text later would read the text again for each."""
+    return texts.map(lambda t: None if t is None else [x | {"text": t[x["start"] : x["end"]]} for x in _sentences(t)])
+
+
 def clipped(text: Column, word: Column, most: int = 300) -> Column:
     """A text of at most `most` characters whole; of a longer one the stretch around the word, moved inside, or its middle where the word is not."""
     size, at, wide = F.char_length(text), F.instr(text, word), F.char_length(word)

@@ -6,6 +6,8 @@ A document's sections, sentences and hits meet in one row at the end; they are b
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +21,22 @@ GAP = "（中略）"
 WHOLE, LEAD, AROUND, SUPPORTED = 12_000, 3_000, 400, 8_000
 
 
-def merged(intervals: Column) -> Column:
-    """Intervals (start, end) as few as they can be: those that overlap or touch become one, in order."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
+def _merged(intervals: Iterable[dict] | None) -> list[dict] | None:
+    if intervals is None:
+        return None
+    out: list[dict] = []
+    for start, end in sorted((x["start"], x["end"]) for x in intervals):
+        if out and start <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], end)
+        else:
+            out.append({"start": start, "end": end})
+    return out
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(done) > 0) & (x["start"] <= F.try_element_at(done, F.lit(-1))["end"]), longer).otherwise(F.concat(done, F.array(x)))
 
-    return F.aggregate(F.array_sort(intervals), none, step)
+@F.pandas_udf(ps.SPANS)
+def merged(intervals: pd.Series) -> pd.Series:
+    """Intervals (start, end) as few as they can be: those that overlap or touch become one, in order. A fold of built-in functions copies the list at each step."""
+    return intervals.map(_merged)
 
 
 def around(text: Column, hits: Column, whole: int = WHOLE, lead: int = LEAD, window: int = AROUND) -> Column:
@@ -36,7 +44,7 @@ def around(text: Column, hits: Column, whole: int = WHOLE, lead: int = LEAD, win
     size = F.char_length(text)
     wide = F.transform(hits, lambda h: F.struct(F.greatest(h["start"] - window, F.lit(0)).alias("start"), F.least(h["end"] + window, size).alias("end")))
     first = F.array(F.struct(F.lit(0).alias("start"), F.least(F.lit(lead), size).alias("end")))
-    stretches = F.transform(merged(F.concat(first, wide)), lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+    stretches = F.transform(merged(F.when(size > whole, F.concat(first, wide))), lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]))
     return F.when(size <= whole, text).otherwise(F.array_join(stretches, GAP))
 
 
@@ -70,8 +78,9 @@ def _choice(order: list[str], most: int):
 
 def hits(sections: DataFrame, vocabulary: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
     """(doc, section, hits array<struct<start, end, terms>>) of sections (doc, section, text): the sentences that have a word of a term and none of its exclusions."""
-    each = sections.select("doc", "section", "text", F.explode(ps.sentence_spans("text")).alias("s"))
-    each = each.select("doc", "section", "s.start", "s.end", ps.normal(F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("sentence"))
+    # The whole text is not carried beside each of its sentences.
+    each = sections.select("doc", "section", F.explode(ps.sentence_pieces("text")).alias("s"))
+    each = each.select("doc", "section", "s.start", "s.end", ps.normal(F.col("s.text")).alias("sentence"))
 
     def has(term: str) -> Column:
         words, bars = vocabulary[term]
