@@ -109,17 +109,14 @@ def filing_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PICKS_SQL} SELECT doc, field, forecast, status, round(value, 4) AS value, element, scope, refs FROM picks")
 def financial_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value of every field of a filing, actual and forecast, with the element, scope and contexts it was taken from."""
-    rows = facts(spark, sf_dir)
-    return reported.picked(rows, reported.headers(rows)).select("doc", "field", "forecast", "status", rounded("value").alias("value"), "element", "scope", "refs")
+    return reported.picked(facts(spark, sf_dir)).select("doc", "field", "forecast", "status", rounded("value").alias("value"), "element", "scope", "refs")
 
 
 @query(f"""WITH {PICKS_SQL} SELECT p.doc, CASE WHEN field <> 'dps' THEN field WHEN forecast THEN 'dps_forecast' ELSE 'dps_actual' END AS metric, round(value, 4) AS value, element, CASE WHEN p.scope IN ('連結', '単体') THEN p.scope ELSE '不明' END AS element_scope, nullif(refs, '') AS context_refs, status, period_end, kind, coalesce(h.scope, '不明') AS consolidated
 FROM picks p JOIN headers h USING (doc) WHERE field IN ('eps', 'bps', 'dps') AND element IS NOT NULL AND NOT (forecast AND field <> 'dps')""")
 def per_share_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-share figures in long form: a row only where there is a value or an element was chosen."""
-    rows = facts(spark, sf_dir)
-    about = reported.headers(rows)
-    return reported.per_share_rows(reported.picked(rows, about), about).withColumn("value", rounded("value"))
+    return reported.per_share_rows(reported.picked(facts(spark, sf_dir))).withColumn("value", rounded("value"))
 
 
 @query(f"""WITH {PICKS_SQL}, e AS (SELECT doc, list(DISTINCT e) AS es FROM (SELECT doc, unnest(ends) AS e FROM picks WHERE forecast AND field IN ({_quoted(reported.FLOWS)})) GROUP BY doc)
@@ -127,7 +124,5 @@ SELECT p.doc, CASE WHEN len(any_value(es)) = 1 THEN any_value(es)[1] END AS targ
   {', '.join(f"round(max(value) FILTER (field = '{f}'), 4) AS forecast_{f}" for f in reported.FORECAST)}, round(max(value) FILTER (field = 'dps'), 4) AS dps_forecast FROM picks p JOIN headers h USING (doc) LEFT JOIN e ON e.doc = p.doc WHERE forecast GROUP BY p.doc""")
 def forecast_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filing's forecasts as one row, with the year that they are of."""
-    rows = facts(spark, sf_dir)
-    about = reported.headers(rows)
-    made = reported.forecast_rows(reported.picked(rows, about), about)
+    made = reported.forecast_rows(reported.picked(facts(spark, sf_dir)))
     return made.withColumns({c: rounded(c) for c in made.columns if c.startswith("forecast_") and c != "forecast_scope" or c == "dps_forecast"})
