@@ -7,7 +7,7 @@ from tickforge.operators import reported
 from tickforge.plans.catalogue import QUERIES
 
 
-@pytest.mark.parametrize("name", ["financial_record", "filing_headers"])
+@pytest.mark.parametrize("name", ["financial_record", "per_share_facts", "filing_headers"])
 def test_facts_are_dealt_and_sorted_once(name, spark, sf):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:

@@ -116,7 +116,7 @@ def financial_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM picks p JOIN headers h USING (doc) WHERE field IN ('eps', 'bps', 'dps') AND element IS NOT NULL AND NOT (forecast AND field <> 'dps')""")
 def per_share_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-share figures in long form: a row only where there is a value or an element was chosen."""
-    return reported.per_share_rows(reported.picked(facts(spark, sf_dir))).withColumn("value", rounded("value"))
+    return reported.per_share_rows(reported.picked(facts(spark, sf_dir), reported.PER_SHARE)).withColumn("value", rounded("value"))
 
 
 @query(f"""WITH {PICKS_SQL}, e AS (SELECT doc, list(DISTINCT e) AS es FROM (SELECT doc, unnest(ends) AS e FROM picks WHERE forecast AND field IN ({_quoted(reported.FLOWS)})) GROUP BY doc)
