@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -133,6 +134,30 @@ def test_whole_documents_of_the_tables(spark, sf):
     assert long
 
 
+def test_a_long_document_takes_no_time_that_grows_with_its_square(spark):
+    n = 2500
+    of = {"business": ("x" * 990 + "。alpha gamma。") * n, "mda": "beta\nxx\n" * n, "rnd": "not alpha\ngamma\n" * n}
+    frames = spark.createDataFrame([(1, "h")], "doc long, header string"), spark.createDataFrame([(1, k, t) for k, t in of.items()], "doc long, section string, text string")
+    began = time.time()
+    got = excerpts.judge_inputs(*frames, VOCABULARY).first()
+    assert time.time() - began < 40
+    assert tuple(got)[1:] == plain("h", of, VOCABULARY, excerpts.WHOLE, excerpts.LEAD, excerpts.AROUND, excerpts.SUPPORTED)
+
+
+def test_sentences_are_made_once_and_stay_with_their_text(spark, sf):
+    from tickforge.plans.passages import judge_inputs
+
+    plan = judge_inputs(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    # Once for documents, and for turns that are a main section (there are none) or another one.
+    assert plan.count("normal_sentences(") == 3
+
+
+@pytest.mark.parametrize("text", ["", "。", "a!?b", "x\r\ny。・z (12)q ①", "　(３)「・", "Ａ ・。！\n●", "no end", "é。\u3000（1）é", "\n\n・"])
+def test_breaks_are_those_of_one_pattern(text):
+    assert sorted(set(ps._breaks(text))) == [m.start() for m in ps.BREAK.finditer(text)]
+
+
 @pytest.mark.parametrize("given, want", [([(0, 3), (3, 5), (7, 9)], [(0, 5), (7, 9)]), ([(4, 6), (0, 9)], [(0, 9)]), ([], []), ([(2, 2), (1, 1)], [(1, 1), (2, 2)])])
 def test_merged_intervals(spark, given, want):
     frame = spark.createDataFrame([(given,)], "x array<struct<start:int,end:int>>")

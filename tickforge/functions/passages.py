@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from itertools import pairwise
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -14,12 +17,18 @@ MARKS = "™℠"
 DASHES = "ｰー―‐‑–—−─〜~"
 KANA = "゠-ヿㇰ-ㇿ"
 ENDS = "。！？!?"
-ITEM = "(?:[・●■]|[(（][0-9０-９]{1,3}[)）]|[①-⑳])"
+HEADS = "・●■①-⑳"
+NUMBERED = "[0-9０-９]{1,3}[)）]"
+ITEM = f"(?:[{HEADS}]|[(（]{NUMBERED})"
 BLANKS = r"\s\x{a0}\x{1680}\x{2028}\x{2029}\x{3000}\x{feff}"
 SHORT_KANA = 4
 
 RUN = re.compile(f"((?<=[{KANA}]))?([{DASHES}]+)(?=([{KANA}]?))")
+MARK, BLANK = re.compile(f"[{MARKS}]"), re.compile("[ \t\n\v\f\r\xa0\u1680\u2028\u2029\u3000\ufeff]+")
 BREAK = re.compile(rf"(?<=[{ENDS}])(?![{ENDS}])|(?<=[\r\n])|(?<=[\s　])(?={ITEM})")
+# BREAK in two parts that each begin with one of a few characters, so that all others are passed over at once: it ends where the first ends and where the second begins.
+END = re.compile(rf"[{ENDS}\r\n](?:(?<=[{ENDS}])[{ENDS}]*)?")
+HEAD = re.compile(rf"[{HEADS}(（](?<=[\s　].)(?:(?<=[{HEADS}])|{NUMBERED})", re.DOTALL)
 LINE = re.compile(r"[^\r\n]+")
 
 
@@ -31,9 +40,23 @@ def _dashes(run: re.Match) -> str:
     return "-" * start + "ー" * (len(dashes) - start)
 
 
+def _normal(text: str) -> str:
+    """Patterns run only where their characters are; of all blanks, a single space alone is printable."""
+    if text.isascii():
+        text = text.replace("~", "-").lower()
+    else:
+        if any(m in text for m in MARKS):
+            text = MARK.sub("", text)
+        text = unicodedata.normalize("NFKC", text)
+        if any(d in text for d in DASHES):
+            text = RUN.sub(_dashes, text)
+        text = text.encode().lower().decode()
+    return BLANK.sub(" ", text) if "  " in text or not text.isprintable() else text
+
+
 @F.pandas_udf(StringType())
-def _compatible(texts: pd.Series) -> pd.Series:
-    return texts.str.replace(f"[{MARKS}]", "", regex=True).str.normalize("NFKC").str.replace(RUN, _dashes, regex=True)
+def _normals(texts: pd.Series) -> pd.Series:
+    return texts.map(_normal, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
@@ -44,15 +67,18 @@ def compatible(texts: pd.Series) -> pd.Series:
 
 def normal(text: Column) -> Column:
     """The form in which words are looked up: NFKC (which no built-in function gives), one kind of dash, single blanks, ASCII in lower case."""
-    return F.translate(F.regexp_replace(_compatible(text), f"[{BLANKS}]+", " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _normals(text)
 
 
 def word_pattern(word: str) -> str:
-    """A normal word where it stands for itself: no ASCII letter or digit goes on beyond one, no katakana beyond a short katakana word."""
+    """A normal word where it stands for itself: no ASCII letter or digit goes on beyond one, no katakana beyond a short katakana word.
+
+    What stands before it is looked at behind the word: a pattern that begins with the word itself passes over other characters much faster.
+    """
     if len(word) <= SHORT_KANA and re.fullmatch("[゠-ヿ]+", word):
-        return f"(?<![{KANA}])\\Q{word}\\E(?![{KANA}])"
+        return f"\\Q{word}\\E(?<![{KANA}]\\Q{word}\\E)(?![{KANA}])"
     head, tail = (re.fullmatch("[a-z0-9]", c) for c in (word[0], word[-1]))
-    return ("(?<![a-z0-9])" if head else "") + f"\\Q{word}\\E" + ("(?![a-z0-9])" if tail else "")
+    return f"\\Q{word}\\E" + (f"(?<![a-z0-9]\\Q{word}\\E)" if head else "") + ("(?![a-z0-9])" if tail else "")
 
 
 def words_in(text: Column, words: list[str]) -> Column:
@@ -72,25 +98,32 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(cut, lambda s: F.regexp_replace(s, f"^[{BLANKS}]+|[{BLANKS}]+$", "")), lambda s: s != "")
 
 
+def _breaks(text: str) -> list[int]:
+    """Where sentences end: the places of BREAK."""
+    ends, heads = [m.end() for m in END.finditer(text)], [m.start() for m in HEAD.finditer(text)]
+    return sorted({*ends, *heads}) if heads else ends
+
+
 def _spans(pieces: list[tuple[int, str]]) -> list[tuple[int, int]]:
     return [(at + len(s) - len(s.lstrip()), at + len(s.rstrip())) for at, s in pieces if s.strip()]
 
 
-def _paragraphs(text: str | None, most: int) -> list[dict] | None:
+def _sentences(text: str) -> list[tuple[int, int]]:
+    cuts = [0, *_breaks(text), len(text)]
+    return _spans([(a, text[a:b]) for a, b in pairwise(cuts)])
+
+
+def paragraph_spans(text: str, most: int = 400) -> list[tuple[int, int]]:
     """Lines; where there is none, runs of whole sentences of at most `most` characters (a longer sentence alone)."""
-    if text is None:
-        return None
     if "\n" in text or "\r" in text:
-        spans = _spans([(m.start(), m.group()) for m in LINE.finditer(text)])
-    else:
-        cuts = [0, *(m.start() for m in BREAK.finditer(text)), len(text)]
-        spans = []
-        for start, end in _spans([(a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]):
-            if spans and end - spans[-1][0] <= most:
-                spans[-1] = (spans[-1][0], end)
-            else:
-                spans.append((start, end))
-    return [{"start": a, "end": b} for a, b in spans]
+        return _spans([(m.start(), m.group()) for m in LINE.finditer(text)])
+    spans: list[tuple[int, int]] = []
+    for start, end in _sentences(text):
+        if spans and end - spans[-1][0] <= most:
+            spans[-1] = (spans[-1][0], end)
+        else:
+            spans.append((start, end))
+    return spans
 
 
 def paragraphs(text: Column, most: int = 400) -> Column:
@@ -98,31 +131,29 @@ def paragraphs(text: Column, most: int = 400) -> Column:
 
     @F.pandas_udf("array<struct<start int, end int>>")
     def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _paragraphs(t, most))
+        return texts.map(lambda t: None if t is None else [{"start": a, "end": b} for a, b in paragraph_spans(t, most)])
 
     return spans(text)
 
 
-def _sentences(text: str | None) -> list[dict] | None:
-    if text is None:
-        return None
-    cuts = [0, *(m.start() for m in BREAK.finditer(text)), len(text)]
-    return [{"start": a, "end": b} for a, b in _spans([(a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])]
-
-
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
-@F.pandas_udf(SPANS)
-def sentence_spans(texts: pd.Series) -> pd.Series:
-    """The sentences of a text as (start, end) in characters; null for null, none for blanks. A running sum over a text's pieces is quadratic in built-in functions."""
-    return texts.map(_sentences)
-
-
-@F.pandas_udf(ArrayType(StructType([*SPANS.elementType.fields, StructField("text", StringType())])))
-def sentence_pieces(texts: pd.Series) -> pd.Series:
-    """sentence_spans with the sentences themselves: to cut each out of the whole text later would read the text again for each."""
-    return texts.map(lambda t: None if t is None else [x | {"text": t[x["start"] : x["end"]]} for x in _sentences(t)])
+@F.arrow_udf(ArrayType(StructType([*SPANS.elementType.fields, StructField("text", StringType())])))
+def normal_sentences(texts: pa.Array) -> pa.Array:
+    """The sentences of a text as (start, end, text) in its characters, the sentence in normal form; null for null, none for blanks.
+
+    A running sum over a text's pieces is quadratic in built-in functions, and to cut each out of the whole text would read the text again for each.
+    """
+    at, starts, ends, found = [0], [], [], []
+    for text in map(pa.StringScalar.as_py, texts):
+        for a, b in _sentences(text or ""):
+            starts.append(a)
+            ends.append(b)
+            found.append(_normal(text[a:b]))
+        at.append(len(starts))
+    each = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(found, pa.string())], ["start", "end", "text"])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), each, mask=texts.is_null())
 
 
 def clipped(text: Column, word: Column, most: int = 300) -> Column:

@@ -6,11 +6,13 @@ A document's sections, sentences and hits meet in one row at the end; they are b
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tickforge.functions import passages as ps
 
@@ -19,6 +21,7 @@ SECTIONS = {"business": ("事業の内容", "事業の内容"), "segment_info":
 MAIN, SUPPORT = "business", ["segment_info", "mda", "rnd"]
 GAP = "（中略）"
 WHOLE, LEAD, AROUND, SUPPORTED = 12_000, 3_000, 400, 8_000
+HITS = "array<struct<start:int,end:int,terms:array<string>>>"
 
 
 def _merged(intervals: Iterable[dict] | None) -> list[dict] | None:
@@ -39,13 +42,38 @@ def merged(intervals: pd.Series) -> pd.Series:
     return intervals.map(_merged)
 
 
+@F.pandas_udf(StringType())
+def _cut(texts: pd.Series, stretches: pd.Series) -> pd.Series:
+    # A built-in function would walk the text from its start for each stretch.
+    return pd.Series([None if t is None else GAP.join(t[x["start"] : x["end"]] for x in xs) for t, xs in zip(texts, stretches, strict=True)], dtype=object)
+
+
 def around(text: Column, hits: Column, whole: int = WHOLE, lead: int = LEAD, window: int = AROUND) -> Column:
     """A text of at most `whole` characters as it is; of a longer one its first `lead` and `window` on both sides of each hit (start, end), gaps marked."""
     size = F.char_length(text)
-    wide = F.transform(hits, lambda h: F.struct(F.greatest(h["start"] - window, F.lit(0)).alias("start"), F.least(h["end"] + window, size).alias("end")))
-    first = F.array(F.struct(F.lit(0).alias("start"), F.least(F.lit(lead), size).alias("end")))
-    stretches = F.transform(merged(F.when(size > whole, F.concat(first, wide))), lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]))
-    return F.when(size <= whole, text).otherwise(F.array_join(stretches, GAP))
+    # Stretches may reach over the end: a length taken for each hit would read the text again for each.
+    wide = F.transform(hits, lambda h: F.struct(F.greatest(h["start"] - window, F.lit(0)).alias("start"), (h["end"] + window).alias("end")))
+    first = F.array(F.struct(F.lit(0).alias("start"), F.lit(lead).alias("end")))
+    return F.when(size <= whole, text).otherwise(_cut(F.when(size > whole, text), merged(F.when(size > whole, F.concat(first, wide)))))
+
+
+def _with_hits(text: str, found: Iterable[dict]) -> list[dict]:
+    spans, out = ps.paragraph_spans(text), []
+    starts = [a for a, _ in spans]
+    for h in found:
+        i = bisect_right(starts, h["start"]) - 1
+        if i < 0 or h["start"] >= spans[i][1]:
+            continue
+        if not out or out[-1]["i"] != i:
+            out.append({"i": i, "text": text[slice(*spans[i])], "terms": []})
+        out[-1]["terms"] += [t for t in h["terms"] if t not in out[-1]["terms"]]
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("i", IntegerType()), StructField("text", StringType()), StructField("terms", ArrayType(StringType()))])))
+def with_hits(texts: pd.Series, found: pd.Series) -> pd.Series:
+    """The paragraphs of a text that the sentences of hits (in order) begin in, by place, with the terms of each."""
+    return pd.Series([[] if t is None else _with_hits(t, hs) for t, hs in zip(texts, found, strict=True)], dtype=object)
 
 
 def _chosen(lengths: list[int], terms: list[list[str]], order: list[str], most: int) -> list[dict]:
@@ -76,23 +104,20 @@ def _choice(order: list[str], most: int):
     return choose
 
 
-def hits(sections: DataFrame, vocabulary: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
-    """(doc, section, hits array<struct<start, end, terms>>) of sections (doc, section, text): the sentences that have a word of a term and none of its exclusions."""
-    # The whole text is not carried beside each of its sentences.
-    each = sections.select("doc", "section", F.explode(ps.sentence_pieces("text")).alias("s"))
-    each = each.select("doc", "section", "s.start", "s.end", ps.normal(F.col("s.text")).alias("sentence"))
+def hits(text: Column, vocabulary: dict[str, tuple[list[str], list[str]]]) -> Column:
+    """The sentences of a text (start, end, terms) that have a word of a term and none of its exclusions; none for null."""
 
-    def has(term: str) -> Column:
+    def has(sentence: Column, term: str) -> Column:
         words, bars = vocabulary[term]
         out = F.lit(False)
         for w in words:
-            out = out | F.col("sentence").rlike(ps.word_pattern(w))
+            out = out | (F.contains(sentence, F.lit(w)) & sentence.rlike(ps.word_pattern(w)))
         for w in bars:
-            out = out & ~F.contains("sentence", F.lit(w))
+            out = out & ~F.contains(sentence, F.lit(w))
         return F.when(out, term)
 
-    found = each.withColumn("terms", F.array_compact(F.array(*map(has, vocabulary)))).where(F.size("terms") > 0)
-    return found.groupBy("doc", "section").agg(F.sort_array(F.collect_list(F.struct("start", "end", "terms"))).alias("hits"))
+    terms = F.transform(ps.normal_sentences(text), lambda s: F.struct(s["start"], s["end"], F.array_compact(F.array(*(has(s["text"], t) for t in vocabulary))).alias("terms")))
+    return F.coalesce(F.filter(terms, lambda s: F.size(s["terms"]) > 0), F.array().cast(HITS))
 
 
 def judge_inputs(about: DataFrame, sections: DataFrame, vocabulary: dict[str, tuple[list[str], list[str]]], whole: int = WHOLE, lead: int = LEAD, window: int = AROUND, most: int = SUPPORTED) -> DataFrame:
@@ -100,16 +125,14 @@ def judge_inputs(about: DataFrame, sections: DataFrame, vocabulary: dict[str, tu
 
     vocabulary: words and exclusions, in normal form, of each term, in order. A missing main section is an empty one.
     """
-    found = sections.join(hits(sections, vocabulary), ["doc", "section"], "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<start:int,end:int,terms:array<string>>>")))
+    found = sections.withColumn("hits", hits(F.col("text"), vocabulary))
     main = found.where(F.col("section") == MAIN).select("doc", F.coalesce("text", F.lit("")).alias("main"), "hits")
-    # Paragraphs that a hit's sentence begins in.
     place = F.array_position(F.array(*map(F.lit, SUPPORT)), F.col("section")).cast("int")
-    own = lambda p: F.filter("hits", lambda h: (h["start"] >= p["start"]) & (h["start"] < p["end"]))
-    named = F.transform(ps.paragraphs(F.col("text")), lambda p, i: F.struct(F.col("place"), i.alias("i"), F.substring("text", p["start"] + 1, p["end"] - p["start"]).alias("text"), F.array_distinct(F.flatten(F.transform(own(p), lambda h: h["terms"]))).alias("terms")))
-    support = found.where(F.col("section").isin(SUPPORT) & (F.size("hits") > 0)).withColumn("place", place).select("doc", F.filter(named, lambda p: F.size(p["terms"]) > 0).alias("p"))
+    support = found.where(F.col("section").isin(SUPPORT)).select("doc", place.alias("place"), with_hits("text", "hits").alias("p"))
+    support = support.select("doc", F.transform("p", lambda p: F.struct(F.col("place"), p["i"].alias("i"), p["text"].alias("text"), p["terms"].alias("terms"))).alias("p"))
     support = support.groupBy("doc").agg(F.sort_array(F.flatten(F.collect_list("p"))).alias("p"))
     rows = about.select("doc", "header").join(main, "doc", "left").join(support, "doc", "left").withColumn("main", F.coalesce("main", F.lit("")))
-    rows = rows.withColumns({"hits": F.coalesce("hits", F.array().cast("array<struct<start:int,end:int,terms:array<string>>>")), "p": F.coalesce("p", F.array().cast("array<struct<place:int,i:int,text:string,terms:array<string>>>"))})
+    rows = rows.withColumns({"hits": F.coalesce("hits", F.array().cast(HITS)), "p": F.coalesce("p", F.array().cast("array<struct<place:int,i:int,text:string,terms:array<string>>>"))})
     rows = rows.withColumn("c", _choice(list(vocabulary), most)(F.transform("p", lambda p: F.char_length(p["text"])), F.transform("p", lambda p: p["terms"])))
 
     def piece(c: Column) -> Column:
@@ -124,8 +147,9 @@ def judge_inputs(about: DataFrame, sections: DataFrame, vocabulary: dict[str, tu
         return F.filter("taken", lambda t: t["place"] == place)
 
     def block(name: str, mine: Column) -> Column:
-        gap = lambda t, i: F.when((i > 0) & (t["i"] > F.get(mine, i - 1)["i"] + 1), GAP).otherwise("")
-        joined = F.array_join(F.transform(mine, lambda t, i: F.concat(gap(t, i), t["text"])), "")
+        # Beside each paragraph the one before it; the list of those is one longer, and the null at its end is not joined.
+        before = F.concat(F.array(F.lit(None).cast("int")), F.transform(mine, lambda t: t["i"]))
+        joined = F.array_join(F.zip_with(mine, before, lambda t, i: F.concat(F.when(t["i"] > i + 1, GAP).otherwise(""), t["text"])), "")
         return F.when(F.size(mine) > 0, F.concat(F.lit(f"【{SECTIONS[name][0]}（該当段落）】\n"), joined))
 
     rows = rows.withColumns({f"s{n}": own_of(n) for n in range(1, len(SUPPORT) + 1)})
